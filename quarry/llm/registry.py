@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, sharding, token_counts
+from quarry.llm import jaccard_join, mixing, sharding, token_counts
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES = {
