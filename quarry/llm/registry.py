@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join, mixing, sharding, token_counts
+from quarry.llm import decontamination, fingerprints, jaccard_join, mixing, sharding, token_counts
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op5_decontamination": decontamination.op5_decontamination,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,

@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits; other bytes belong to words.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[[b for b in range(128) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,11 +76,11 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
 class Words:
     """The words of a chunk: ``start``/``end`` byte spans, ``row`` (of the chunk), 64-bit ``hash``."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR):
         n = len(data)
         self.rows = len(offs) - 1
-        self.data = LOWER[data] if lower else data
-        body = ~SEPARATOR[data]
+        self.data = LOWER[data]
+        body = ~separator[data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = body[:-1], body[1:]
         before[offs[:-1][offs[:-1] < n]] = False
