@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, fingerprints, jaccard_join, mixing, sharding, token_counts
+from quarry.llm import decontamination, fingerprints, jaccard_join, mixing, sharding, token_counts, toxicity
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
