@@ -24,7 +24,8 @@ from quarry.llm.spark import arrow_map, documents, release, stash
 from quarry.llm.text import Words, chunks, mix, shingle_sets
 
 #: Counters of the token frequency sketch.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
 #: Members up to which all pairs of an index key are taken at once.
 SMALL = 8
 #: Texts that one verification group compares with its hub.
@@ -54,22 +55,38 @@ def _sets(column):
         yield from shingle_sets(Words(data, offs))
 
 
+def least_tokens(s: np.ndarray) -> bytes:
+    """The least quarter of a set and some more, the upper 32 bits of each."""
+    return (s[: len(s) // 4 + 8] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def may_link(n: int, p: np.ndarray, m: int, q: np.ndarray) -> bool:
+    """False only if sets of n and m tokens with these least tokens can't link.
+
+    Up to the lesser of the two ends both lists are whole.  The tokens in common
+    up to there are at most those whose upper bits are; beyond, at most what
+    either set has left.
+    """
+    end = min(p[-1] if len(p) < n else 2**32, q[-1] if len(q) < m else 2**32)
+    common = int(np.isin(p[p <= end], q[q <= end]).sum())
+    most = common + min(n - int((p < end).sum()), m - int((q < end).sum()))
+    return 100 * most >= 75 * (n + m - most)
+
+
 def _describe(batches):
     """A row for each document, and one row with the task's token counts (each set once)."""
     count, seen, total = np.zeros(COUNTERS, np.int64), set(), 0
     for b in batches:
-        n, cls = [], []
+        n, cls, sketch = [], [], []
         for s in _sets(b.column(2)):
-            n.append(len(s)), cls.append(_class64(s))
+            n.append(len(s)), cls.append(_class64(s)), sketch.append(least_tokens(s))
             if len(s) and cls[-1] not in seen:
                 seen.add(cls[-1])
-                count += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=COUNTERS) if len(s) > 5000 else 0
-                if len(s) <= 5000:
-                    np.add.at(count, (s >> np.uint64(44)).astype(np.int64), 1)
+                np.add.at(count, (s >> _SHIFT).astype(np.int64), 1)
                 total += len(s)
-        yield {"doc_id": b.column(0), "text_key": b.column(1), "n": n, "cls": cls, "counts": [None] * len(n)}
+        yield {"doc_id": b.column(0), "text_key": b.column(1), "n": n, "cls": cls, "sketch": sketch, "counts": [None] * len(n)}
     if total:
-        yield {"doc_id": [None], "text_key": [None], "n": [None], "cls": [None], "counts": [_pack(count)]}
+        yield {"doc_id": [None], "text_key": [None], "n": [None], "cls": [None], "sketch": [None], "counts": [_pack(count)]}
 
 
 def _pack(count):
@@ -96,7 +113,7 @@ def frequent_tokens(counts: DataFrame) -> np.ndarray:
     parts = arrow_map(arrow_map(counts.coalesce(64), _merge, "counts binary").repartition(4), _merge, "counts binary").collect()
     total = sum((_unpack(r[0]) for r in parts), np.zeros(COUNTERS, np.int64))
     mean = total.sum() / COUNTERS
-    above = total - (mean + 6 * np.sqrt(mean) + 32)
+    above = total - (mean + 4 * np.sqrt(mean) + 4)
     return np.where(above > 0, np.log2(np.maximum(above, 1)).astype(np.int8) + 1, 0).astype(np.int8)
 
 
@@ -107,7 +124,7 @@ def index_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The index keys of a sorted token set."""
     n = len(s)
     p = n - need(n) + 1
-    level = frequent[(s >> np.uint64(44)).astype(np.int64)]
+    level = frequent[(s >> _SHIFT).astype(np.int64)]
     rare = s[level == 0]
     if len(rare) >= p:
         return mix(rare[:p])
@@ -233,48 +250,76 @@ def _unique_pairs(a, b):
     return {"a": pair[:, 0], "b": pair[:, 1]}
 
 
+def _sift(batches):
+    """From rows (a, salt, role, cls, n, sketch) sorted by the first four: the pairs that may link."""
+    at, hub = None, None
+    for batch in batches:
+        a, salt, role, cls, n = (np.asarray(batch.column(i)) for i in range(5))
+        left, right = [], []
+        for i, blob in enumerate(batch.column(5)):
+            p = np.frombuffer(blob.as_buffer(), np.uint32)
+            if role[i] == 0:
+                at, hub = (a[i], salt[i]), (n[i], p)
+            elif at == (a[i], salt[i]) and may_link(*hub, n[i], p):
+                left.append(a[i]), right.append(cls[i])
+        yield {"a": left, "b": right}
+
+
 def _verify(batches):
-    """From rows (a, salt, role, cls, text) sorted by the first four: hub text (role 0), then the texts it is compared with."""
+    """From rows (a, salt, role, cls, text) sorted by the first four: the pairs that link."""
     at, hub = None, None
     for batch in batches:
         a, salt, role, cls = (np.asarray(batch.column(i)) for i in range(4))
-        left, right, linked = [], [], []
+        left, right = [], []
         for i, s in enumerate(_sets(batch.column(4))):
-            if (a[i], salt[i]) != at:
-                at, hub = (a[i], salt[i]), None
             if _class64(s) != cls[i]:
                 continue
             if role[i] == 0:
-                hub = s
-            elif hub is not None:
+                at, hub = (a[i], salt[i]), s
+            elif at == (a[i], salt[i]):
                 same = len(np.intersect1d(hub, s, assume_unique=True))
-                left.append(a[i]), right.append(cls[i])
-                linked.append(100 * same >= 75 * (len(hub) + len(s) - same))
-        yield {"a": left, "b": right, "linked": linked}
+                if 100 * same >= 75 * (len(hub) + len(s) - same):
+                    left.append(a[i]), right.append(cls[i])
+        yield {"a": left, "b": right}
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of set classes with ``linked``, from the whole texts of one document of each class.
+def _deal(pairs: DataFrame) -> DataFrame:
+    """(a, salt, role, cls): for each group of about GROUP partners b of a node a, the classes to bring together; role 0 is a itself.
 
-    The pairs of a hub are dealt to groups of GROUP, each with a copy of the
-    hub's text, so a hub of any degree spreads over tasks.
+    A hub of any degree so spreads over tasks, with a copy of its own data each.
     """
     spread = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     dealt = pairs.join(spread, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / GROUP)).cast("bigint"))
-    dealt = stash(dealt.select("a", "salt", "b"), "dealt")
-    want = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cls")).unionByName(
-        dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls"))
-    )
-    wanted = want.select("cls").distinct()
-    pick = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("text_key", "doc_id")).alias("r")).select("cls", F.col("r.text_key").alias("k"), F.col("r.doc_id").alias("d"))
+    hubs = dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls"))
+    return stash(dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cls")).unionByName(hubs), "dealt")
+
+
+def _together(want: DataFrame, data: DataFrame) -> DataFrame:
+    """want with the columns of data (one row a class), the rows of a group side by side, its hub first."""
+    sent = data.join(want, "cls").select("a", "salt", "role", "cls", *(c for c in data.columns if c != "cls"))
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "cls")
+
+
+def linked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of set classes that link.
+
+    First the least tokens of both sets, 4 bytes each, rule out what merely
+    shares a passage; this loses no link.  What is left is compared on the whole
+    texts of one document of each class.
+    """
+    want = _deal(pairs)
+    one = rows.join(want.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    left = stash(arrow_map(_together(want, one), _sift, "a bigint, b bigint").distinct(), "sifted")
+    release(want)
+    want = _deal(left)
+    wanted = rows.select("cls", "text_key", "doc_id").join(want.select("cls").distinct(), "cls", "left_semi")
+    pick = wanted.groupBy("cls").agg(F.min(F.struct("text_key", "doc_id")).alias("r")).select("cls", F.col("r.text_key").alias("k"), F.col("r.doc_id").alias("d"))
     pick = stash(pick, "pick")
     side = F.broadcast(pick) if pick.count() <= BROADCAST else pick
     texts = docs.join(side, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cls", "text")
     texts = stash(texts.dropDuplicates(["cls"]), "texts")
-    sent = texts.join(want, "cls").select("a", "salt", "role", "cls", "text")
-    sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "cls")
-    out = stash(arrow_map(sent, _verify, "a bigint, b bigint, linked boolean").distinct(), "verified")
-    release(dealt, pick, texts)
+    out = stash(arrow_map(_together(want, texts), _verify, "a bigint, b bigint").distinct(), "linked")
+    release(want, left, pick, texts)
     return out
 
 
@@ -290,28 +335,28 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows stay.  Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
-    described = stash(arrow_map(docs, _describe, "doc_id bigint, text_key bigint, n bigint, cls bigint, counts binary"), "described")
-    rows = described.where("n is not null").select("doc_id", "text_key", "n", "cls")
+    described = stash(arrow_map(docs, _describe, "doc_id bigint, text_key bigint, n bigint, cls bigint, sketch binary, counts binary"), "described")
+    rows = described.where("n is not null").drop("counts")
     frequent = frequent_tokens(described.where("counts is not null").select("counts"))
     index = arrow_map(docs.select("text"), _index(frequent), "key bigint, cls bigint, n int")
     met = arrow_map(index.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "n", "cls"), _meet, "a bigint, b bigint, key bigint, n bigint")
     met = stash(met, "met")
-    pairs = met.where("key is null").select("a", "b").distinct()
-    first = verified(pairs, rows, docs)
-    edges = first.where("linked").select("a", "b")
+    pairs = stash(met.where("key is null").select("a", "b").distinct(), "pairs")
+    edges = linked(pairs, rows, docs)
     label = components(edges)
+    # larger keys compared all members with a hub only; what lies in other components still is to be compared
     members = met.where("key is not null").select("key", F.col("a").alias("cls"), "n")
     members = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.coalesce("component", "cls").alias("comp"), "n", "cls")
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     members = members.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "comp", "n", "cls")
-    more = stash(arrow_map(members, _across, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti"), "more")
+    more = stash(arrow_map(members, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.head(1):
-        second = verified(more, rows, docs)
-        if second.where("linked").head(1):
+        late = linked(more, rows, docs)
+        if late.head(1):
             release(label)
-            label = components(edges.unionByName(second.where("linked").select("a", "b")))
-        release(second)
-    release(met, more, first)
+            label = components(edges.unionByName(late))
+        release(late)
+    release(met, more, pairs, edges)
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = classes.join(heads, "component").select("cls", "component_id")
