@@ -14,8 +14,8 @@ from quarry.llm.spark import arrow_map, crc_mod, documents
 from quarry.llm.text import NOT_ALNUM, Words, chunks, code_points, grams, mix
 
 #: Labelled documents, toxic and clean, that the model is fitted on, about (a hash picks them).
-SAMPLE_TOXIC = 3000
-SAMPLE_CLEAN = 9000
+SAMPLE_TOXIC = 2000
+SAMPLE_CLEAN = 6000
 #: Stems (leading code points) that are features beside the whole word.
 STEMS = (4, 5, 6, 7)
 #: Features that the model keeps: those whose toxic documents are no chance (natural log of its bound), the surest first.
@@ -163,45 +163,87 @@ def _summary(p: np.ndarray, n: int) -> tuple[float, ...]:
     return np.log(some / (1 - some)), np.log1p(p.sum()), np.log((p.sum() + _FEW) / (n + _SHORT)), 1.0
 
 
-def _copy_weights(words: Words) -> np.ndarray:
-    """One over the number of sampled documents that are (near) copies of each other, by shared minima of hashed 5-grams."""
-    label = np.arange(words.rows)
-    h, at = grams(words.hash, words.row, 5)
+class Sample:
+    """The labelled texts as tokens, built chunk by chunk; features are kept once a distinct word."""
+
+    def __init__(self, texts: pa.Array, toxic: np.ndarray):
+        self.texts, self.toxic = lowered(texts), toxic
+        kinds, first, hashes, minima, pairs = [np.zeros(0, np.uint64)], [], [], [], []
+        for w in self.parts():
+            seen, example = np.unique(w.hash, return_index=True)
+            new = ~np.isin(seen, kinds[0], assume_unique=True)
+            token, feature = word_features(w, example[new])
+            pairs.append((w.hash[token], feature))
+            kinds[0] = np.union1d(kinds[0], seen[new])
+            hashes.append(w.hash), first.append(w.count), minima.append(_minima(w))
+        self.kinds = kinds[0]
+        #: kind of each token, and the tokens of row r: first[r] to first[r + 1]
+        self.kind = np.searchsorted(self.kinds, np.concatenate(hashes)).astype(np.int32)
+        self.first = np.r_[0, np.cumsum(np.concatenate(first))]
+        self.row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(self.first))
+        owner = np.searchsorted(self.kinds, np.concatenate([x for x, _ in pairs]))
+        self.keys, key = np.unique(np.concatenate([x for _, x in pairs]), return_inverse=True)
+        order = np.argsort(owner, kind="stable")
+        self.key = key[order]
+        self.cuts = np.searchsorted(owner[order], np.arange(len(self.kinds) + 1))
+        self.weight = _copy_weights(np.concatenate(minima))
+
+    def parts(self):
+        for _, data, offs in chunks(self.texts):
+            yield Words(data, offs, NOT_ALNUM)
+
+    def features(self, kinds: np.ndarray):
+        """(index into kinds, feature) pairs."""
+        n = np.diff(self.cuts)[kinds]
+        return np.repeat(np.arange(len(kinds)), n), self.key[np.repeat(self.cuts[kinds], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+    def document_counts(self):
+        """Per feature the documents, and the toxic ones, that have it; copies of a document share one count."""
+        total, bad = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        for lo in range(0, len(self.toxic), 200):
+            hi = min(lo + 200, len(self.toxic))
+            part = slice(self.first[lo], self.first[hi])
+            held = np.unique((self.row[part] - lo) * np.int64(len(self.kinds)) + self.kind[part])
+            i, f = self.features(held % len(self.kinds))
+            held = np.unique((held // len(self.kinds))[i] * len(self.keys) + f)
+            row, f = lo + held // len(self.keys), held % len(self.keys)
+            total += np.bincount(f, self.weight[row], len(self.keys))
+            bad += np.bincount(f, (self.weight * self.toxic)[row], len(self.keys))
+        return total, bad
+
+
+_MINIMA = 8
+
+
+def _minima(w: Words) -> np.ndarray:
+    """Per row the least of its hashed 5-grams under each of a few permutations; 0 for rows without one."""
+    out = np.zeros((w.rows, _MINIMA), np.uint64)
+    h, at = grams(w.hash, w.row, 5)
     if len(h):
-        row = words.row[at]
+        row = w.row[at]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        owner = row[first]
-        groups = [np.unique(np.minimum.reduceat(mix(h ^ np.uint64(salt)), first), return_inverse=True)[1] for salt in range(1, 9)]
-        for _ in range(4):
-            for g in groups:
-                least = np.full(g.max() + 1, words.rows)
-                np.minimum.at(least, g, label[owner])
-                label[owner] = np.minimum(label[owner], least[g])
-    return 1 / np.bincount(label, minlength=words.rows)[label]
+        for k in range(_MINIMA):
+            out[row[first], k] = np.minimum.reduceat(mix(h ^ np.uint64(k + 1)), first)
+    return out
+
 
+def _copy_weights(minima: np.ndarray) -> np.ndarray:
+    """One over the number of sampled documents that are (near) copies of each other, by shared minima."""
+    label = np.arange(len(minima))
+    has = np.flatnonzero(minima.any(1))
+    groups = [np.unique(minima[has, k], return_inverse=True)[1] for k in range(_MINIMA)] if len(has) else []
+    for _ in range(4):
+        for g in groups:
+            least = np.full(g.max() + 1, len(minima))
+            np.minimum.at(least, g, label[has])
+            label[has] = np.minimum(label[has], least[g])
+    return 1 / np.bincount(label, minlength=len(minima))[label]
 
-def _token_labels(words: Words, toxic: np.ndarray):
+
+def _token_labels(sample: Sample):
     """Features that tell toxic documents, sorted; for each token whether it carries a strong one in a toxic document; (token, index of feature) pairs."""
-    _, example, kind = np.unique(words.hash, return_index=True, return_inverse=True)
-    token, hashes = word_features(words, example)
-    keys, key = np.unique(hashes, return_inverse=True)
-    owner = kind[token]
-    order = np.argsort(owner, kind="stable")
-    owner, key = owner[order], key[order]
-    cuts = np.searchsorted(owner, np.arange(len(example) + 1))
-
-    def features(kinds):
-        """(index into kinds, feature) pairs."""
-        n = np.diff(cuts)[kinds]
-        return np.repeat(np.arange(len(kinds)), n), key[np.repeat(cuts[kinds], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-
-    held = np.unique(words.row * len(example) + kind)
-    i, f = features(held % len(example))
-    held = np.unique((held // len(example))[i] * len(keys) + f)
-    row, f = held // len(keys), held % len(keys)
-    weight = _copy_weights(words)  # a word that only the copies of one document have tells nothing
-    total, bad = np.bincount(f, weight[row], len(keys)), np.bincount(f, (weight * toxic)[row], len(keys))
-    n1, n0 = weight[toxic].sum(), weight[~toxic].sum()
+    total, bad = sample.document_counts()
+    n1, n0 = sample.weight[sample.toxic].sum(), sample.weight[~sample.toxic].sum()
     odds = np.log((bad + 0.5) / n1) - np.log((total - bad + 0.5) / n0)
     # Chernoff's bound of so many toxic documents by chance, for some 1e5 features
     share, base = np.minimum(1, bad / np.maximum(total, 1e-9)), n1 / (n1 + n0)
@@ -209,14 +251,15 @@ def _token_labels(words: Words, toxic: np.ndarray):
         unlikely = total * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
     known = np.flatnonzero((unlikely > SURE) & (odds > 1))
     known = np.sort(known[np.argsort(-unlikely[known], kind="stable")][:MOST_FEATURES])
-    place = np.full(len(keys), -1)
+    place = np.full(len(sample.keys), -1)
     place[known] = np.arange(len(known))
-    some = np.flatnonzero(np.bincount(owner, place[key] >= 0, len(example))[kind] > 0)
-    i, f = features(kind[some])
+    owner = np.repeat(np.arange(len(sample.kinds)), np.diff(sample.cuts))
+    some = np.flatnonzero((np.bincount(owner, place[sample.key] >= 0, len(sample.kinds)) > 0)[sample.kind])
+    i, f = sample.features(sample.kind[some])
     token, f = some[i][place[f] >= 0], place[f][place[f] >= 0]
-    marked = np.zeros(len(words.start), bool)
+    marked = np.zeros(len(sample.kind), bool)
     marked[token[odds[known][f] > 2]] = True
-    return keys[known], marked & toxic[words.row], token, f
+    return sample.keys[known], marked & sample.toxic[sample.row], token, f
 
 
 def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
@@ -224,22 +267,21 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
     none = Crf(np.zeros(0, np.uint64), np.zeros(0), -10.0, np.zeros((2, 2)), np.zeros(2))
     if not toxic.any() or toxic.all():
         return none
-    (_, data, offs), *_ = chunks(lowered(texts), 1 << 40)
-    words = Words(data, offs, NOT_ALNUM)
-    keys, marked, token, index = _token_labels(words, toxic)
+    sample = Sample(texts, toxic)
+    keys, marked, token, index = _token_labels(sample)
     if not len(keys) or not marked.any():
         return none
     length = 2 * AROUND + 1
     rng = np.random.default_rng(5)
-    inside = np.flatnonzero(np.arange(len(words.start)) + length <= words.first[words.row + 1])
+    first, row = sample.first, sample.row
     bad = np.flatnonzero(marked)
     bad = bad[rng.permutation(len(bad))[:20_000]]
-    begin = np.maximum(words.first[words.row[bad]], bad - rng.integers(0, length, len(bad)))
-    begin = begin[begin + length <= words.first[words.row[begin] + 1]]
-    clean = inside[~toxic[words.row[inside]]]
+    begin = np.maximum(first[row[bad]], bad - rng.integers(0, length, len(bad)))
+    begin = begin[begin + length <= first[row[begin] + 1]]
     # half of the clean sequences hold a known feature, so that the model learns what it must not say
-    has = np.zeros(len(words.start), bool)
+    has = np.zeros(len(marked), bool)
     has[token] = True
+    clean = np.flatnonzero(~toxic[row] & (np.arange(len(row)) + length <= first[row + 1]))
     near = clean[has[np.minimum(clean + AROUND, len(has) - 1)]]
     begin = np.concatenate([begin, *(x[rng.integers(0, len(x), 10_000)] for x in (clean, near) if len(x))])
     if not len(begin):
@@ -249,7 +291,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
     # (place in the sequences, feature) pairs
     order = np.argsort(token, kind="stable")
     t, f = token[order], index[order]
-    lo, n = np.searchsorted(t, at.ravel(), "left"), None
+    lo = np.searchsorted(t, at.ravel(), "left")
     n = np.searchsorted(t, at.ravel(), "right") - lo
     place = np.repeat(np.arange(at.size), n)
     feature = f[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -270,7 +312,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta += RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
     model = Crf(keys, theta[:k], float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
-    model.scale = tuple(_logistic(model.aggregate(words)[0], toxic))
+    model.scale = tuple(_logistic(np.concatenate([model.aggregate(w)[0] for w in sample.parts()]), toxic).tolist())
     return model
 
 
