@@ -26,8 +26,12 @@ from quarry.llm.text import Words, chunks, mix, shingle_sets
 #: Counters of the token frequency sketch.
 COUNTERS = 1 << 22
 _SHIFT = np.uint64(64 - 22)
+#: Bits of a set's bitmap.
+BITS = 2048
 #: Members up to which all pairs of an index key are taken at once.
 SMALL = 8
+#: Members of a larger index key that all others are compared with first.
+HUBS = 2
 #: Texts that one verification group compares with its hub.
 GROUP = 64
 #: Wanted texts up to which their keys are broadcast (16 bytes each); beyond, a shuffle join.
@@ -55,38 +59,31 @@ def _sets(column):
         yield from shingle_sets(Words(data, offs))
 
 
-def least_tokens(s: np.ndarray) -> bytes:
-    """The least quarter of a set and some more, the upper 32 bits of each."""
-    return (s[: len(s) // 4 + 8] >> np.uint64(32)).astype(np.uint32).tobytes()
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set as BITS bits, each the parity of the tokens that hash to it."""
+    return np.packbits(np.bincount((s >> np.uint64(64 - 11)).astype(np.int64), minlength=BITS) & 1).view(np.uint64)
 
 
-def may_link(n: int, p: np.ndarray, m: int, q: np.ndarray) -> bool:
-    """False only if sets of n and m tokens with these least tokens can't link.
-
-    Up to the lesser of the two ends both lists are whole.  The tokens in common
-    up to there are at most those whose upper bits are; beyond, at most what
-    either set has left.
-    """
-    end = min(p[-1] if len(p) < n else 2**32, q[-1] if len(q) < m else 2**32)
-    common = int(np.isin(p[p <= end], q[q <= end]).sum())
-    most = common + min(n - int((p < end).sum()), m - int((q < end).sum()))
-    return 100 * most >= 75 * (n + m - most)
+def may_link(n, p, m, q):
+    """False only where sets of n and m tokens with these bitmaps (last axis) can't link: bits that differ are a least number of tokens that do."""
+    most = (n + m - np.bitwise_count(p ^ q).sum(-1, dtype=np.int64)) // 2
+    return (100 * most >= 75 * (n + m - most)) & _linkable(np.minimum(n, m), np.maximum(n, m))
 
 
 def _describe(batches):
     """A row for each document, and one row with the task's token counts (each set once)."""
     count, seen, total = np.zeros(COUNTERS, np.int64), set(), 0
     for b in batches:
-        n, cls, sketch = [], [], []
+        n, cls, bits = [], [], []
         for s in _sets(b.column(2)):
-            n.append(len(s)), cls.append(_class64(s)), sketch.append(least_tokens(s))
+            n.append(len(s)), cls.append(_class64(s)), bits.append(bitmap(s).tobytes())
             if len(s) and cls[-1] not in seen:
                 seen.add(cls[-1])
                 np.add.at(count, (s >> _SHIFT).astype(np.int64), 1)
                 total += len(s)
-        yield {"doc_id": b.column(0), "text_key": b.column(1), "n": n, "cls": cls, "sketch": sketch, "counts": [None] * len(n)}
+        yield {"doc_id": b.column(0), "text_key": b.column(1), "n": n, "cls": cls, "bits": bits, "counts": [None] * len(n)}
     if total:
-        yield {"doc_id": [None], "text_key": [None], "n": [None], "cls": [None], "sketch": [None], "counts": [_pack(count)]}
+        yield {"doc_id": [None], "text_key": [None], "n": [None], "cls": [None], "bits": [None], "counts": [_pack(count)]}
 
 
 def _pack(count):
@@ -154,17 +151,18 @@ def _index(frequent):
     def run(batches):
         seen = set()
         for b in batches:
-            key, cls, size = [], [], []
+            key, cls, size, rare = [], [], [], []
             for s in _sets(b.column(0)):
                 if len(s) and (c := _class64(s)) not in seen:
                     seen.add(c)
                     k = index_keys(s, frequent)
-                    key.append(k), cls.append(np.full(len(k), c)), size.append(np.full(len(k), len(s), np.int32))
-                if sum(map(len, key[-1:])) and len(key) >= 200:
-                    yield {"key": np.concatenate(key).view(np.int64), "cls": np.concatenate(cls), "n": np.concatenate(size)}
-                    key, cls, size = [], [], []
+                    own = int((frequent[(s >> _SHIFT).astype(np.int64)] == 0).sum())
+                    key.append(k), cls.append(np.full(len(k), c)), size.append(np.full(len(k), len(s), np.int32)), rare.append(np.full(len(k), own, np.int32))
+                if len(key) >= 200:
+                    yield {"key": np.concatenate(key).view(np.int64), "cls": np.concatenate(cls), "n": np.concatenate(size), "rare": np.concatenate(rare)}
+                    key, cls, size, rare = [], [], [], []
             if key:
-                yield {"key": np.concatenate(key).view(np.int64), "cls": np.concatenate(cls), "n": np.concatenate(size)}
+                yield {"key": np.concatenate(key).view(np.int64), "cls": np.concatenate(cls), "n": np.concatenate(size), "rare": np.concatenate(rare)}
 
     return run
 
@@ -173,7 +171,7 @@ def _groups(batches, columns):
     """Runs of whole keys from batches sorted by the first column, as numpy columns."""
     held: list = []  # the last key, which may go on
     for b in batches:
-        now = [np.asarray(b.column(i)) for i in range(columns)]
+        now = b if isinstance(b, list) else [np.asarray(b.column(i)) for i in range(columns)]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1], "left"))
@@ -192,8 +190,13 @@ def _linkable(n, m):
 
 
 def _meet(batches):
-    """From rows sorted by (key, n, cls): pairs to verify; members of larger keys are kept for the second round."""
-    for key, n, cls in _groups(batches, 3):
+    """From rows sorted by (key, rare, n, cls): pairs to verify; members of larger keys are kept for the second round.
+
+    All pairs of a small key; of a larger one the pairs with its first HUBS
+    members.  These have the fewest rare tokens: among edited copies the one that
+    the others were made from, to which each is nearer than to the rest.
+    """
+    for key, _, n, cls in _groups(batches, 4):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         key, n, cls = key[new], n[new].astype(np.int64), cls[new]
@@ -205,37 +208,35 @@ def _meet(batches):
         key, n, cls = key[keep], n[keep], cls[keep]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
-        small = np.repeat(size <= SMALL, size)
+        start, own = np.repeat(first, size), np.repeat(size, size)
+        place = np.arange(len(key))
         a, b = [], []
         for d in range(1, SMALL):
-            i = np.flatnonzero((key[d:] == key[:-d]) & small[d:] & _linkable(n[:-d], n[d:]))
-            a.append(cls[i]), b.append(cls[i + d])
-        for f, s in zip(first[size > SMALL], size[size > SMALL]):
-            m, c = n[f : f + s], cls[f : f + s]
-            hub = np.searchsorted(m, -(-75 * m // 100), "left")  # the first that is large enough
-            own = np.flatnonzero(hub < np.arange(s))
-            a.append(c[hub[own]]), b.append(c[own])
+            j = np.flatnonzero((place - start >= d) & (own <= SMALL))
+            a.append(j - d), b.append(j)
+        for h in range(HUBS):
+            j = np.flatnonzero((place - start > h) & (own > SMALL))
+            a.append(start[j] + h), b.append(j)
         a, b = np.concatenate(a), np.concatenate(b)
+        ok = _linkable(np.minimum(n[a], n[b]), np.maximum(n[a], n[b]))
+        a, b = cls[a[ok]], cls[b[ok]]
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         none = np.zeros(len(pair), np.int64)
         yield {"a": pair[:, 0], "b": pair[:, 1], "key": pa.nulls(len(pair), pa.int64()), "n": none}
-        big = ~small
+        big = own > SMALL
         yield {"a": cls[big], "b": cls[big], "key": key[big], "n": n[big]}
 
 
 def _across(batches):
-    """From rows sorted by (key, comp, n, cls): the pairs of a key that lie in different components."""
-    for key, comp, n, cls in _groups(batches, 4):
+    """From rows (key, comp, n, cls, bits) sorted by the first four: the pairs of a key that lie in different components and may link."""
+    for key, comp, n, cls, bits in _groups(_with_bits(batches, 4), 5):
         cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        a, b, waiting = [], [], 0
+        a, b, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for f, t in zip(cuts[:-1], cuts[1:]):
-            if comp[f] == comp[t - 1]:
-                continue
             edge = np.r_[f + np.flatnonzero(np.r_[True, comp[f + 1 : t] != comp[f : t - 1]]), t]
             for x, y in zip(edge[:-2], edge[1:-1]):  # members of a component against all that come after
                 for i in range(x, y):
-                    lo, hi = np.minimum(n[y:t], n[i]), np.maximum(n[y:t], n[i])
-                    j = y + np.flatnonzero(_linkable(lo, hi))
+                    j = y + np.flatnonzero(may_link(n[i], bits[i], n[y:t], bits[y:t]))
                     a.append(np.minimum(cls[i], cls[j])), b.append(np.maximum(cls[i], cls[j]))
                     waiting += len(j)
                     if waiting > 200_000:
@@ -245,22 +246,28 @@ def _across(batches):
             yield _unique_pairs(a, b)
 
 
+def _with_bits(batches, place: int):
+    """Batches as numpy columns, the bitmaps as an array of words."""
+    for b in batches:
+        if b.num_rows:
+            bits = np.frombuffer(b"".join(b.column(place).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            yield [*(np.asarray(b.column(i)) for i in range(place)), bits]
+
+
 def _unique_pairs(a, b):
     pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
     return {"a": pair[:, 0], "b": pair[:, 1]}
 
 
 def _sift(batches):
-    """From rows (a, salt, role, cls, n, sketch) sorted by the first four: the pairs that may link."""
-    at, hub = None, None
-    for batch in batches:
-        a, salt, role, cls, n = (np.asarray(batch.column(i)) for i in range(5))
+    """From rows (a, salt, role, cls, n, bits) sorted by the first four: the pairs that may link."""
+    at, own = None, None
+    for a, salt, role, cls, n, bits in _with_bits(batches, 5):
         left, right = [], []
-        for i, blob in enumerate(batch.column(5)):
-            p = np.frombuffer(blob.as_buffer(), np.uint32)
+        for i in range(len(a)):
             if role[i] == 0:
-                at, hub = (a[i], salt[i]), (n[i], p)
-            elif at == (a[i], salt[i]) and may_link(*hub, n[i], p):
+                at, own = (a[i], salt[i]), (n[i], bits[i])
+            elif at == (a[i], salt[i]) and may_link(*own, n[i], bits[i]):
                 left.append(a[i]), right.append(cls[i])
         yield {"a": left, "b": right}
 
@@ -303,12 +310,12 @@ def _together(want: DataFrame, data: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) of set classes that link.
 
-    First the least tokens of both sets, 4 bytes each, rule out what merely
-    shares a passage; this loses no link.  What is left is compared on the whole
+    First the bitmaps of both sets rule out what merely shares a passage; this
+    loses no link.  What is left is compared on the whole
     texts of one document of each class.
     """
     want = _deal(pairs)
-    one = rows.join(want.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    one = rows.join(want.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     left = stash(arrow_map(_together(want, one), _sift, "a bigint, b bigint").distinct(), "sifted")
     release(want)
     want = _deal(left)
@@ -335,11 +342,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows stay.  Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
-    described = stash(arrow_map(docs, _describe, "doc_id bigint, text_key bigint, n bigint, cls bigint, sketch binary, counts binary"), "described")
+    described = stash(arrow_map(docs, _describe, "doc_id bigint, text_key bigint, n bigint, cls bigint, bits binary, counts binary"), "described")
     rows = described.where("n is not null").drop("counts")
     frequent = frequent_tokens(described.where("counts is not null").select("counts"))
-    index = arrow_map(docs.select("text"), _index(frequent), "key bigint, cls bigint, n int")
-    met = arrow_map(index.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "n", "cls"), _meet, "a bigint, b bigint, key bigint, n bigint")
+    index = arrow_map(docs.select("text"), _index(frequent), "key bigint, cls bigint, n int, rare int")
+    met = arrow_map(index.repartition("key").sortWithinPartitions("key", "rare", "n", "cls").select("key", "rare", "n", "cls"), _meet, "a bigint, b bigint, key bigint, n bigint")
     met = stash(met, "met")
     pairs = stash(met.where("key is null").select("a", "b").distinct(), "pairs")
     edges = linked(pairs, rows, docs)
@@ -348,7 +355,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     members = met.where("key is not null").select("key", F.col("a").alias("cls"), "n")
     members = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.coalesce("component", "cls").alias("comp"), "n", "cls")
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = members.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "comp", "n", "cls")
+    one = rows.groupBy("cls").agg(F.first("bits").alias("bits"))
+    members = members.join(mixed, "key", "left_semi").join(one, "cls").select("key", "comp", F.col("n").cast("bigint").alias("n"), "cls", "bits")
+    members = members.repartition("key").sortWithinPartitions("key", "comp", "n", "cls")
     more = stash(arrow_map(members, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.head(1):
         late = linked(more, rows, docs)
