@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, fingerprints, jaccard_join, mixing, sharding, suffix_tree, token_counts, toxicity
+from quarry.llm import decontamination, fingerprints, jaccard_join, mixing, pii, sharding, suffix_tree, token_counts, toxicity
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op2_suffix_tree": suffix_tree.op2_suffix_tree,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_pii": pii.op6_pii,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
