@@ -26,8 +26,8 @@ from quarry.llm.text import Words, chunks, mix, shingle_sets
 #: Counters of the token frequency sketch.
 COUNTERS = 1 << 22
 _SHIFT = np.uint64(64 - 22)
-#: Bits of a set's bitmap.
-BITS = 2048
+#: Bits of a set's bitmap, at least; larger sets have one for each token or more.
+BITS = 1024
 #: Members up to which all pairs of an index key are taken at once.
 SMALL = 8
 #: Members of a larger index key that all others are compared with first.
@@ -59,9 +59,17 @@ def _sets(column):
         yield from shingle_sets(Words(data, offs))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A set as BITS bits, each the parity of the tokens that hash to it."""
-    return np.packbits(np.bincount((s >> np.uint64(64 - 11)).astype(np.int64), minlength=BITS) & 1).view(np.uint64)
+def bitmap(s: np.ndarray, size: int = 0) -> np.ndarray:
+    """A set as bits, each the parity of the tokens that hash to it; more bits for a larger set."""
+    size = size or max(BITS, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set in fewer words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def may_link(n, p, m, q):
@@ -74,16 +82,16 @@ def _describe(batches):
     """A row for each document, and one row with the task's token counts (each set once)."""
     count, seen, total = np.zeros(COUNTERS, np.int64), set(), 0
     for b in batches:
-        n, cls, bits = [], [], []
+        n, cls, bits, small = [], [], [], []
         for s in _sets(b.column(2)):
-            n.append(len(s)), cls.append(_class64(s)), bits.append(bitmap(s).tobytes())
+            n.append(len(s)), cls.append(_class64(s)), bits.append(bitmap(s).tobytes()), small.append(bitmap(s, BITS).tobytes() if len(s) > BITS else None)
             if len(s) and cls[-1] not in seen:
                 seen.add(cls[-1])
                 np.add.at(count, (s >> _SHIFT).astype(np.int64), 1)
                 total += len(s)
-        yield {"doc_id": b.column(0), "text_key": b.column(1), "n": n, "cls": cls, "bits": bits, "counts": [None] * len(n)}
+        yield {"doc_id": b.column(0), "text_key": b.column(1), "n": n, "cls": cls, "bits": bits, "small": small, "counts": [None] * len(n)}
     if total:
-        yield {"doc_id": [None], "text_key": [None], "n": [None], "cls": [None], "bits": [None], "counts": [_pack(count)]}
+        yield {"doc_id": [None], "text_key": [None], "n": [None], "cls": [None], "bits": [None], "small": [None], "counts": [_pack(count)]}
 
 
 def _pack(count):
@@ -229,7 +237,8 @@ def _meet(batches):
 
 def _across(batches):
     """From rows (key, comp, n, cls, bits) sorted by the first four: the pairs of a key that lie in different components and may link."""
-    for key, comp, n, cls, bits in _groups(_with_bits(batches, 4), 5):
+    folded = ([*(np.asarray(b.column(i)) for i in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)] for b in batches if b.num_rows)
+    for key, comp, n, cls, bits in _groups(folded, 5):
         cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
         a, b, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for f, t in zip(cuts[:-1], cuts[1:]):
@@ -246,14 +255,6 @@ def _across(batches):
             yield _unique_pairs(a, b)
 
 
-def _with_bits(batches, place: int):
-    """Batches as numpy columns, the bitmaps as an array of words."""
-    for b in batches:
-        if b.num_rows:
-            bits = np.frombuffer(b"".join(b.column(place).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            yield [*(np.asarray(b.column(i)) for i in range(place)), bits]
-
-
 def _unique_pairs(a, b):
     pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
     return {"a": pair[:, 0], "b": pair[:, 1]}
@@ -261,14 +262,18 @@ def _unique_pairs(a, b):
 
 def _sift(batches):
     """From rows (a, salt, role, cls, n, bits) sorted by the first four: the pairs that may link."""
-    at, own = None, None
-    for a, salt, role, cls, n, bits in _with_bits(batches, 5):
+    at, size, own = None, 0, None
+    for batch in batches:
+        a, salt, role, cls, n = (np.asarray(batch.column(i)) for i in range(5))
         left, right = [], []
-        for i in range(len(a)):
+        for i, blob in enumerate(batch.column(5).to_pylist()):
+            bits = np.frombuffer(blob, np.uint64)
             if role[i] == 0:
-                at, own = (a[i], salt[i]), (n[i], bits[i])
-            elif at == (a[i], salt[i]) and may_link(*own, n[i], bits[i]):
-                left.append(a[i]), right.append(cls[i])
+                at, size, own = (a[i], salt[i]), n[i], bits
+            elif at == (a[i], salt[i]):
+                words = min(len(own), len(bits))
+                if may_link(size, fold(own, words), n[i], fold(bits, words)):
+                    left.append(a[i]), right.append(cls[i])
         yield {"a": left, "b": right}
 
 
@@ -330,19 +335,10 @@ def linked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs(doc_id, text, ...).
-
-    Links are pairs with 100 * |intersection| >= 75 * |union| of their sets of
-    distinct 5-word shingles; with fewer words the whole sequence is the one
-    shingle.  Documents without words (null or empty text) have no shingle and
-    link with nothing: component_id is their own doc_id.  component_id is the
-    least doc_id of the component (null ids count only where there is no other).
-    Documents with equal sets form one class, which is compared once.  Repeated
-    rows stay.  Extra columns are ignored.
-    """
+def set_components(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n (tokens), cls (of equal sets), component (its least class; null without tokens) of each row."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
-    described = stash(arrow_map(docs, _describe, "doc_id bigint, text_key bigint, n bigint, cls bigint, bits binary, counts binary"), "described")
+    described = stash(arrow_map(docs, _describe, "doc_id bigint, text_key bigint, n bigint, cls bigint, bits binary, small binary, counts binary"), "described")
     rows = described.where("n is not null").drop("counts")
     frequent = frequent_tokens(described.where("counts is not null").select("counts"))
     index = arrow_map(docs.select("text"), _index(frequent), "key bigint, cls bigint, n int, rare int")
@@ -355,7 +351,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     members = met.where("key is not null").select("key", F.col("a").alias("cls"), "n")
     members = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.coalesce("component", "cls").alias("comp"), "n", "cls")
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    one = rows.groupBy("cls").agg(F.first("bits").alias("bits"))
+    # sets beyond BITS tokens have small bitmaps of their own for this
+    one = rows.groupBy("cls").agg(F.first(F.coalesce("small", "bits")).alias("bits"))
     members = members.join(mixed, "key", "left_semi").join(one, "cls").select("key", "comp", F.col("n").cast("bigint").alias("n"), "cls", "bits")
     members = members.repartition("key").sortWithinPartitions("key", "comp", "n", "cls")
     more = stash(arrow_map(members, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
@@ -366,10 +363,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             label = components(edges.unionByName(late))
         release(late)
     release(met, more, pairs, edges)
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.join(heads, "component").select("cls", "component_id")
-    found = rows.join(classes, "cls", "left")
+    return rows.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_key", "n", "cls", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs(doc_id, text, ...).
+
+    Links are pairs with 100 * |intersection| >= 75 * |union| of their sets of
+    distinct 5-word shingles; with fewer words the whole sequence is the one
+    shingle.  Documents without words (null or empty text) have no shingle and
+    link with nothing: component_id is their own doc_id.  component_id is the
+    least doc_id of the component (null ids count only where there is no other).
+    Documents with equal sets form one class, which is compared once.  Repeated
+    rows stay.  Extra columns are ignored.
+    """
+    rows = stash(set_components(docs), "components")
+    heads = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(heads, "component", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
