@@ -96,5 +96,19 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it; those it doesn't take go."""
+    key = ["doc_id", "source", "text_key"]
+    taken = mix_sources(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    taken = stash(taken, "taken")
+    rows = docs.withColumn("_quarry_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    if taken.where("n > 1").head(1):  # equal rows are dealt as a group, so one of them stands for it
+        rows = rows.dropDuplicates(["doc_id", "source", "_quarry_key"])
+    taken = taken.where("copies > 0").select(*(F.col(c).alias(f"_quarry_{i}") for i, c in enumerate(key)), F.col("copies").alias("_quarry_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_quarry_0")) & F.col("source").eqNullSafe(F.col("_quarry_1")) & (F.col("_quarry_key") == F.col("_quarry_2"))
+    out = rows.join(taken, same).withColumn("_quarry_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_quarry_copies"))))
+    return out.select(*docs.columns)
+
+
 def op8_mixing(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

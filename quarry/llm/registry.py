@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, fingerprints, jaccard_join, mixing, pii, sharding, suffix_tree, token_counts, toxicity
+from quarry.llm import decontamination, fingerprints, jaccard_join, licenses, mixing, pii, sharding, suffix_tree, token_counts, toxicity
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op1_licenses": licenses.op1_licenses,
     "op2_suffix_tree": suffix_tree.op2_suffix_tree,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
