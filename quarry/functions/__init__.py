@@ -1 +1 @@
-"""Functions of the engine."""
+"""Expressions whose meaning differs from Spark's default."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Relational operators and statistics over DataFrames."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Statements, plan inspection, diagnostics and the query catalogue."""

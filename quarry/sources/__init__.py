@@ -1 +1 @@
-"""Sources of the engine."""
+"""Tables: the versioned Parquet store, its catalog, SQL scripts and result export."""

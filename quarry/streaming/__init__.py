@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming over the events table (an extension)."""
