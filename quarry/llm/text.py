@@ -41,12 +41,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK * 2)
+    """The first n powers of the base and of its inverse; kept for the next chunk unless a text was very long."""
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+        found = {}
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(max(n, CHUNK * 2), base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
+            found[name] = np.multiply.accumulate(steps)
+        if n > CHUNK * 16:
+            return found["up"][:n], found["down"][:n]
+        _POWERS.update(found)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
