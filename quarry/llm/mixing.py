@@ -112,3 +112,42 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def op8_mixing(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# fixed values: as in the functions above
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+g AS (
+  SELECT doc_id, source, k, size, count(*) AS n,
+    (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d GROUP BY ALL),
+s AS (
+  SELECT source, sum(size * n)::BIGINT AS source_size, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM g GROUP BY source),
+filled AS (
+  SELECT *, {MOST} * source_size / weight AS ratio,
+    ((SELECT sum(source_size) FROM s) - coalesce(sum({MOST} * source_size) OVER (ORDER BY {MOST} * source_size / weight, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(weight) OVER (ORDER BY {MOST} * source_size / weight, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM s),
+t AS (
+  SELECT source, source_size, least((SELECT share FROM filled WHERE share <= ratio ORDER BY ratio, encode(source) LIMIT 1) * weight, ({MOST} * source_size)::DOUBLE) AS target FROM s),
+f AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {MOST}) ELSE 0 END AS whole, target - CASE WHEN source_size > 0 THEN least(floor(target / source_size), {MOST}) ELSE 0 END * source_size AS wanted FROM t),
+r AS (
+  SELECT g.*, f.source_size, f.target, f.whole, f.wanted, u / (1 - u) / sqrt(greatest(size, 1)::DOUBLE) AS rank FROM g JOIN f ON g.source IS NOT DISTINCT FROM f.source),
+c AS (
+  SELECT *, wanted - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM r),
+m AS (
+  SELECT *, CASE WHEN open < 0 THEN 0 WHEN size = 0 THEN n ELSE least(n, floor(open / size)) END AS fit FROM c),
+p AS (
+  SELECT *, CASE WHEN coalesce(max(CASE WHEN fit < n THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 0 ELSE fit END AS more FROM m),
+gap AS (SELECT source, any_value(wanted) - sum(more * size) AS gap FROM p GROUP BY source),
+last AS (
+  SELECT p.source, arg_min(struct_pack(d := p.doc_id, k := p.k), struct_pack(a := abs(gap - size), b := rank)) AS pick
+  FROM p JOIN gap ON p.source IS NOT DISTINCT FROM gap.source WHERE more < n AND size > 0 AND abs(gap - size) < gap GROUP BY p.source),
+e AS (
+  SELECT p.*, more + CASE WHEN pick IS NULL THEN 0 ELSE 1 END AS extra
+  FROM p LEFT JOIN last ON p.source IS NOT DISTINCT FROM last.source AND p.doc_id IS NOT DISTINCT FROM pick.d AND p.k = pick.k)
+SELECT doc_id, size::BIGINT AS size, source_size, target, ((whole + CASE WHEN i <= extra THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM e)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_sharding": sharding.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
 
 
