@@ -17,6 +17,8 @@ LEAST_TOKENS = 5
 COVERAGE = 0.5
 #: A mismatch in an overlap costs so many matches.
 PENALTY = 1.5
+#: Diagonals that are this far apart at most belong to one place.
+DRIFT = 8
 #: Bytes of benchmark text that are searched for at once.
 BLOCK_BYTES = 32 << 20
 _LANES = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
@@ -79,30 +81,39 @@ class SeedIndex:
         """(row, item, matched tokens, first word, end word) of documents that hold enough of an item.
 
         On each diagonal that a seed hit, the run with the best sum of matches
-        less PENALTY a mismatch is taken; runs of several diagonals (a token was
-        put in or left out) add up by the item's tokens that they match.
+        less PENALTY a mismatch is taken; runs on diagonals within DRIFT of the
+        next (tokens were put in or left out) add up by the item's tokens that
+        they match.  Of several such places the one that matches most counts.
         """
         hits = self.hits(words)
-        start = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1)]) if len(hits) else []
-        for f, t in zip(start, [*start[1:], len(hits)]):
-            row, item = hits[f, :2]
-            want = self.tokens[item]
-            matched, first, end = np.zeros(len(want), bool), None, None
-            for diagonal in hits[f:t, 2]:
-                lo, hi = max(words.first[row], diagonal), min(words.first[row + 1], diagonal + len(want))
-                same = words.hash[lo:hi] == want[lo - diagonal : hi - diagonal]
-                total = np.r_[0, np.cumsum(np.where(same, 1.0, -PENALTY))]
-                low = np.minimum.accumulate(total)
-                b = int(np.argmax(total - low))
-                if b == 0:
-                    continue
-                a = int(np.argmin(total[:b]))
-                if b - a < LEAST_TOKENS:
-                    continue
-                matched[lo - diagonal + a : lo - diagonal + b] |= same[a:b]
-                first, end = min(lo + a, lo + a if first is None else first), max(lo + b, end or 0)
-            if matched.sum() >= max(LEAST_TOKENS, COVERAGE * len(want)):
-                yield int(row), int(item), int(matched.sum()), int(first), int(end)
+        if not len(hits):
+            return
+        new = (hits[1:, :2] != hits[:-1, :2]).any(1)
+        place = np.flatnonzero(np.r_[True, new | (hits[1:, 2] - hits[:-1, 2] > DRIFT)])
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for f, t in zip(place, [*place[1:], len(hits)]):
+            found = self._overlap(words, *hits[f, :2].tolist(), hits[f:t, 2])
+            if found and found > best.get(key := tuple(hits[f, :2].tolist()), (0, 0, 0)):
+                best[key] = found
+        for (row, item), found in best.items():
+            yield row, item, *found
+
+    def _overlap(self, words: Words, row: int, item: int, diagonals: np.ndarray):
+        want = self.tokens[item]
+        matched, first, end = np.zeros(len(want), bool), None, 0
+        for diagonal in diagonals:
+            lo, hi = max(words.first[row], diagonal), min(words.first[row + 1], diagonal + len(want))
+            same = words.hash[lo:hi] == want[lo - diagonal : hi - diagonal]
+            total = np.r_[0, np.cumsum(np.where(same, 1.0, -PENALTY))]
+            b = int(np.argmax(total - np.minimum.accumulate(total)))
+            a = int(np.argmin(total[:b])) if b else 0
+            if b - a < LEAST_TOKENS:
+                continue
+            matched[lo - diagonal + a : lo - diagonal + b] |= same[a:b]
+            first, end = min(lo + a, lo + a if first is None else first), max(lo + b, end)
+        if matched.sum() >= max(LEAST_TOKENS, COVERAGE * len(want)):
+            return int(matched.sum()), int(first), int(end)
+        return None
 
 
 def _blocks(benchmark: DataFrame):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.spark import documents
@@ -80,14 +80,11 @@ def extendible_shards(docs: DataFrame, max_bytes: int, keep: list[str] | None =
     names = [f"k_{c}" for c in keep]
     if full.head(1):
         alike = dealt.join(full, "prefix", "left_semi").groupBy(*names, "bits", "n_bytes", "prefix", "depth").agg(F.count("*").alias("copies"))
-        # rows that differ only in columns beside doc_id and text start pages of their own
-        several = alike.withColumn("kind", F.xxhash64(*names)).withColumn("fit", F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.col("n_bytes"), F.lit(1)))))
-        first = several.groupBy("prefix").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.max(F.ceil(F.col("copies") / F.col("fit"))).alias("most"))
-        chain = (
-            several.join(first, "prefix")
-            .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-            .withColumn("page", (F.array_position("kinds", F.col("kind")) - 1) * F.col("most") + F.floor(F.col("i") / F.col("fit")))
-        )
+        # rows that differ only in columns beside doc_id and text follow each other; a row here is a count, not a copy
+        earlier = Window.partitionBy("prefix").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+        alike = alike.withColumn("kind", F.xxhash64(*names)).withColumn("before", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
+        fit = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.col("n_bytes"), F.lit(1))))
+        chain = alike.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).withColumn("page", F.floor((F.col("before") + F.col("i")) / fit))
         dealt = dealt.join(full, "prefix", "left_anti").select(*names, "n_bytes", "prefix", "depth", "page").unionByName(chain.select(*names, "n_bytes", "prefix", "depth", "page"))
     return dealt.select(*(F.col(f"k_{c}").alias(c) for c in keep), "n_bytes", F.col("prefix").alias("shard"), "depth", "page")
 
