@@ -77,6 +77,14 @@ def _drop_all(spark: SparkSession) -> None:
             return
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; sees to it that Python gets them in batches of a few MB (Spark's default of 64 MB costs each worker several times that)."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) == "67108864b":  # unless set otherwise
+        conf.set(name, "4m")
+    return df
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow where f yields dicts of columns (arrays, lists or Arrow arrays) in the schema's types."""
     kind = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else df.sparkSession.createDataFrame([], schema).schema
@@ -90,7 +98,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[di
             if out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, kind)
+    return small_batches(df).mapInArrow(run, kind)
 
 
 def text_key() -> F.Column:

@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.spark import arrow_map, crc_mod, documents
+from quarry.llm.spark import arrow_map, crc_mod, documents, small_batches
 from quarry.llm.text import NOT_ALNUM, Words, chunks, code_points, grams, mix
 
 #: Labelled documents, toxic and clean, that the model is fitted on, about (a hash picks them).
-SAMPLE_TOXIC = 2000
-SAMPLE_CLEAN = 6000
+SAMPLE_TOXIC = 1500
+SAMPLE_CLEAN = 4500
 #: Stems (leading code points) that are features beside the whole word.
 STEMS = (4, 5, 6, 7)
 #: Features that the model keeps: those whose toxic documents are no chance (natural log of its bound), the surest first.
@@ -386,7 +386,7 @@ def without_toxic(docs: DataFrame, model: Crf) -> DataFrame:
             keep = np.concatenate([np.zeros(0), *score]) < THRESHOLD
             yield b if keep.all() else b.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_toxicity(spark, sf_dir):
