@@ -30,6 +30,8 @@ _SHIFT = np.uint64(64 - 22)
 BITS = 1024
 #: Members up to which all pairs of an index key are taken at once.
 SMALL = 8
+#: Rows of an index key that are held at once.
+RUN = 200_000
 #: Members of a larger index key that all others are compared with first.
 HUBS = 2
 #: Texts that one verification group compares with its hub.
@@ -175,8 +177,12 @@ def _index(frequent):
     return run
 
 
-def _groups(batches, columns):
-    """Runs of whole keys from batches sorted by the first column, as numpy columns."""
+def _groups(batches, columns, most=None):
+    """Runs of whole keys from batches sorted by the first column, as numpy columns.
+
+    With ``most``, a key of more rows comes in several runs, alone in all but the
+    last of them.
+    """
     held: list = []  # the last key, which may go on
     for b in batches:
         now = b if isinstance(b, list) else [np.asarray(b.column(i)) for i in range(columns)]
@@ -188,6 +194,9 @@ def _groups(batches, columns):
             yield [np.concatenate(x) for x in zip(*done)]
             held = []
         held.append([x[cut:] for x in now])
+        if most and sum(len(h[0]) for h in held) > most:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
     if held:
         yield [np.concatenate(x) for x in zip(*held)]
 
@@ -204,10 +213,18 @@ def _meet(batches):
     members.  These have the fewest rare tokens: among edited copies the one that
     the others were made from, to which each is nearer than to the rest.
     """
-    for key, _, n, cls in _groups(batches, 4):
+    last, hubs_n, hubs_cls = None, None, None
+    for key, _, n, cls in _groups(batches, 4, RUN):
+        n = n.astype(np.int64)
+        goes_on, goes_on_key = len(key) > 0 and key[0] == last, last
+        if goes_on:  # a very large key: its hubs come again in front of its next members
+            key, n, cls = np.r_[np.full(len(hubs_n), last), key], np.r_[hubs_n, n], np.r_[hubs_cls, cls]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, n, cls = key[new], n[new].astype(np.int64), cls[new]
+        key, n, cls = key[new], n[new], cls[new]
+        if len(key):
+            f = int(np.searchsorted(key, key[-1], "left"))
+            last, hubs_n, hubs_cls = key[-1], n[f : f + HUBS], cls[f : f + HUBS]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         keep = np.repeat(size > 1, size)
@@ -218,6 +235,10 @@ def _meet(batches):
         size = np.diff(np.r_[first, len(key)])
         start, own = np.repeat(first, size), np.repeat(size, size)
         place = np.arange(len(key))
+        again = 0
+        if goes_on and len(first) and key[0] == goes_on_key:
+            own[: size[0]] = np.maximum(own[: size[0]], SMALL + 1)
+            again = HUBS
         a, b = [], []
         for d in range(1, SMALL):
             j = np.flatnonzero((place - start >= d) & (own <= SMALL))
@@ -231,7 +252,7 @@ def _meet(batches):
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         none = np.zeros(len(pair), np.int64)
         yield {"a": pair[:, 0], "b": pair[:, 1], "key": pa.nulls(len(pair), pa.int64()), "n": none}
-        big = own > SMALL
+        big = (own > SMALL) & (place >= again)
         yield {"a": cls[big], "b": cls[big], "key": key[big], "n": n[big]}
 
 

@@ -61,6 +61,27 @@ def test_copies_with_frequent_tokens(spark):
     assert got(as_table(spark, rows)) == brute(rows)
 
 
+def test_runs_of_large_keys(monkeypatch):
+    """A key that comes in several runs gives the same hub pairs and members."""
+    rng = np.random.default_rng(5)
+    key = np.sort(np.r_[np.zeros(500, np.int64), rng.integers(1, 40, 300), np.full(400, 50)])
+    rows = np.stack([key, rng.integers(0, 3, len(key)), np.full(len(key), 100), rng.integers(0, 10**6, len(key))], 1)
+    rows = rows[np.lexsort(rows.T[::-1])]
+
+    def meet(step, run):
+        monkeypatch.setattr(jaccard_join, "RUN", run)
+        names = ("key", "rare", "n", "cls")
+        batches = [pa.RecordBatch.from_pydict({c: rows[i : i + step, j] for j, c in enumerate(names)}) for i in range(0, len(rows), step)]
+        pairs, members = set(), set()
+        for out in jaccard_join._meet(batches):
+            for a, b, k in zip(out["a"].tolist(), out["b"].tolist(), out["key"].tolist()):
+                pairs.add((a, b)) if k is None else members.add((k, a))
+        return pairs, members
+
+    whole = meet(10**6, 10**6)
+    assert whole[1] and all(meet(step, run) == whole for step, run in ((7, 50), (60, 20), (100, 130), (33, 10**6)))
+
+
 def test_no_link_is_lost_between_random_sets():
     """Linked sets share an index key, whatever is frequent."""
     rng = np.random.default_rng(3)
