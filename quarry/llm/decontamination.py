@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.spark import arrow_map, documents, small_batches
+from quarry.llm.spark import arrow_map, documents, small_batches, trim
 from quarry.llm.text import NOT_ALNUM, Words, chunks, code_points, mix
 
 #: Masks over token positions: 1 is hashed, 0 is ignored, so a hit survives a substitution there.
@@ -173,6 +173,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for row, *_ in index.overlaps(Words(data, offs, NOT_ALNUM)):
                         bad[at + row] = True
                 yield b.filter(~bad) if bad.any() else b
+            trim()
 
         docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -82,7 +82,7 @@ def may_link(n, p, m, q):
 
 def _describe(batches):
     """A row for each document, and one row with the task's token counts (each set once)."""
-    count, seen, total = np.zeros(COUNTERS, np.int64), set(), 0
+    count, seen, total = np.zeros(COUNTERS, np.uint32), set(), 0
     for b in batches:
         n, cls, bits, small = [], [], [], []
         for s in _sets(b.column(2)):
@@ -97,20 +97,21 @@ def _describe(batches):
 
 
 def _pack(count):
-    return zstandard.compress(count.astype(np.uint32 if count.max() < 2**32 else np.uint64).tobytes(), 1)
+    small = np.uint32 if count.max() < 2**32 else np.uint64
+    return zstandard.compress(memoryview(count if count.dtype == small else count.astype(small)), 1)
 
 
 def _unpack(blob):
     x = zstandard.decompress(blob)
-    return np.frombuffer(x, np.uint32 if len(x) == 4 * COUNTERS else np.uint64).astype(np.int64)
+    return np.frombuffer(x, np.uint32 if len(x) == 4 * COUNTERS else np.uint64)
 
 
 def _merge(batches):
     out = None
     for b in batches:
         for blob in b.column(0):
-            x = _unpack(blob.as_py())
-            out = x if out is None else out + x
+            out = np.zeros(COUNTERS, np.uint64) if out is None else out
+            out += _unpack(blob.as_py())
     if out is not None:
         yield {"counts": [_pack(out)]}
 
@@ -118,8 +119,8 @@ def _merge(batches):
 def frequent_tokens(counts: DataFrame) -> np.ndarray:
     """Per counter 0 for rare tokens, else the binary order of magnitude; counts are merged in two steps before the driver adds four."""
     parts = arrow_map(arrow_map(counts.coalesce(64), _merge, "counts binary").repartition(4), _merge, "counts binary").collect()
-    total = sum((_unpack(r[0]) for r in parts), np.zeros(COUNTERS, np.int64))
-    mean = total.sum() / COUNTERS
+    total = sum((_unpack(r[0]).astype(np.float64) for r in parts), np.zeros(COUNTERS))
+    mean = total.mean()
     above = total - (mean + 4 * np.sqrt(mean) + 4)
     return np.where(above > 0, np.log2(np.maximum(above, 1)).astype(np.int8) + 1, 0).astype(np.int8)
 

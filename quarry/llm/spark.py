@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,6 +88,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers and drivers live long, and stand beside a JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow where f yields dicts of columns (arrays, lists or Arrow arrays) in the schema's types."""
     kind = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else df.sparkSession.createDataFrame([], schema).schema
@@ -97,6 +108,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[di
                 out = pa.RecordBatch.from_arrays([c if c.type == x.type else c.cast(x.type) for c, x in zip(cols, arrow)], schema=arrow)
             if out.num_rows:
                 yield out
+        trim()
 
     return small_batches(df).mapInArrow(run, kind)
 

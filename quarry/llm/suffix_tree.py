@@ -79,7 +79,7 @@ def _slices(columns: dict, step: int = 100_000):
 
 def _count_words(batches):
     """Rows (word, count), and one with the task's counters of the strings of 2 to DEPTH + 1 tokens."""
-    counters, held, some = np.zeros(COUNTERS, np.int64), [], False
+    counters, held, some = np.zeros(COUNTERS, np.uint32), [], False
 
     def rows(keys, counts):
         for part in _slices({"word": keys.view(np.int64), "count": counts}):
@@ -104,20 +104,21 @@ def _count_words(batches):
 
 
 def _pack(x):
-    return zstandard.compress(x.astype(np.uint32 if x.max() < 2**32 else np.uint64).tobytes(), 1)
+    small = np.uint32 if x.max() < 2**32 else np.uint64
+    return zstandard.compress(memoryview(x if x.dtype == small else x.astype(small)), 1)
 
 
 def _unpack(blob):
     x = zstandard.decompress(blob)
-    return np.frombuffer(x, np.uint32 if len(x) == 4 * COUNTERS else np.uint64).astype(np.int64)
+    return np.frombuffer(x, np.uint32 if len(x) == 4 * COUNTERS else np.uint64)
 
 
 def _add_counters(batches):
     out = None
     for b in batches:
         for blob in b.column(0):
-            x = _unpack(blob.as_py())
-            out = x if out is None else out + x
+            out = np.zeros(COUNTERS, np.uint64) if out is None else out
+            out += _unpack(blob.as_py())
     if out is not None:
         yield {"counters": [_pack(out)]}
 
@@ -294,7 +295,7 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     words = Table(np.asarray(known["word"]).view(np.uint64), np.asarray(known["count"]).astype(float))
     blobs = raw.where("counters is not null").select("counters")
     blobs = arrow_map(arrow_map(blobs.coalesce(64), _add_counters, "counters binary").repartition(4), _add_counters, "counters binary").collect()
-    counters = sum((_unpack(r[0]) for r in blobs), np.zeros(COUNTERS, np.int64))
+    counters = sum((_unpack(r[0]).astype(np.float64) for r in blobs), np.zeros(COUNTERS))
     release(raw)
     least = max(2, GRAM_SHARE * total)
     strings = arrow_map(learn, _frequent_strings(counters >= least), "length int, string bigint, context bigint, suffix bigint, word bigint, count bigint")

@@ -27,7 +27,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[str, np.ndarray] = {}
 
 #: Bytes of text that are worked on at once; a longer text comes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,10 +45,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         found = {}
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n, CHUNK * 2), base, np.uint64)
+            steps = np.full(max(n, CHUNK * 3 // 2), base, np.uint64)
             steps[0] = 1
             found[name] = np.multiply.accumulate(steps)
-        if n > CHUNK * 16:
+        if n > CHUNK * 64:
             return found["up"][:n], found["down"][:n]
         _POWERS.update(found)
     return _POWERS["up"][:n], _POWERS["down"][:n]

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.spark import arrow_map, crc_mod, documents, small_batches
+from quarry.llm.spark import arrow_map, crc_mod, documents, small_batches, trim
 from quarry.llm.text import NOT_ALNUM, Words, chunks, code_points, grams, mix
 
 #: Labelled documents, toxic and clean, that the model is fitted on, about (a hash picks them).
@@ -350,7 +350,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
     # some SAMPLE_TOXIC + SAMPLE_CLEAN ids of 12 bytes; repeated rows of a document count once
     rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["l_id"]).select("l_id", "text", "l_toxic").dropDuplicates(["l_id"])
     got = rows.select("text", (F.col("l_toxic") > 0).alias("toxic"), "l_id").toArrow().sort_by("l_id")
-    return fit(got["text"].combine_chunks(), got["toxic"].to_numpy(zero_copy_only=False).astype(bool))
+    model = fit(got["text"].combine_chunks(), got["toxic"].to_numpy(zero_copy_only=False).astype(bool))
+    del got
+    trim()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Crf) -> DataFrame:
@@ -385,6 +388,7 @@ def without_toxic(docs: DataFrame, model: Crf) -> DataFrame:
             score = [model.score(Words(data, offs, NOT_ALNUM))[0] for _, data, offs in chunks(lowered(b.column(place)))]
             keep = np.concatenate([np.zeros(0), *score]) < THRESHOLD
             yield b if keep.all() else b.filter(keep)
+        trim()
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 
