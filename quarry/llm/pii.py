@@ -22,6 +22,8 @@ PATTERNS = {
 TRIGGER = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Words with a digit or an @: where unseen identifiers are looked for.
 MENTION = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+#: Matches of a text whose places are summed together.
+BLOCK = 128
 #: Rounds of scoring; distinct seeds a pattern needs; confidence of patterns and score of instances that count.
 ROUNDS = 3
 SUPPORT = 3
@@ -49,19 +51,30 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(10, 15)
 
 
-def _found(gaps: Column, matches: Column) -> Column:
-    """Array of (start, end, value, before, after): matches with their places in code points and the gaps around them."""
-    rows = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("before"), m.alias("m"), F.get(gaps, i + 1).alias("after")))
-    kind = "struct<at:bigint,out:array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>>"
-    start = F.from_json(F.lit('{"at":0,"out":[]}'), kind)
+def _place(df: DataFrame, name: str) -> DataFrame:
+    """df with l_name, the code points from the end of each match's predecessor to its own, and s_name, their sums before each block of BLOCK."""
+    size = F.size(f"m_{name}")
+    df = df.withColumn(f"l_{name}", F.transform(f"m_{name}", lambda m, i: F.length(F.get(f"g_{name}", i)) + F.length(m)))
+    each = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(f"l_{name}", k * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda x, y: x + y))
+    zero = F.from_json(F.lit('{"at":0,"out":[]}'), "struct<at:int,out:array<int>>")
+    sums = F.aggregate(each, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    return df.withColumn(f"s_{name}", F.when(size > 0, sums).otherwise(F.array().cast("array<int>")))
 
-    def add(acc, x):
-        a = acc["at"] + F.length(x["before"])
-        b = a + F.length(x["m"])
-        one = F.struct(a.alias("start"), b.alias("end"), x["m"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(rows, start, add, lambda acc: acc["out"])
+def _found(name: str) -> Column:
+    """Array of (start, end, value, before, after): matches with their places in code points and the gaps around them.
+
+    A place is the sum before its block and of its predecessors in the block, so
+    texts with very many matches don't cost their square.
+    """
+    gap = lambda i: F.get(f"g_{name}", i)
+
+    def one(m, i):
+        block = F.floor(i / BLOCK).cast("int")
+        until = F.get(f"s_{name}", block) + F.aggregate(F.slice(f"l_{name}", block * BLOCK + 1, i - block * BLOCK + 1), F.lit(0), lambda x, y: x + y)
+        return F.struct((until - F.length(m)).cast("bigint").alias("start"), until.cast("bigint").alias("end"), m.alias("value"), gap(i).alias("before"), gap(i + 1).alias("after"))
+
+    return F.transform(f"m_{name}", one)
 
 
 def _joined(spans: Column) -> Column:
@@ -76,13 +89,14 @@ def base_spans(docs: DataFrame) -> DataFrame:
         none = F.array().cast("array<string>")
         out = out.withColumn(f"m_{name}", F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
         out = out.withColumn(f"g_{name}", F.when(F.size(f"m_{name}") > 0, F.split("text", pattern, -1)).otherwise(none))
+        out = _place(out, name)
     spans = []
     for i, kind in enumerate(KINDS):
-        good = F.filter(_found(F.col(f"g_{kind}"), F.col(f"m_{kind}")), lambda s: _valid(kind, s["value"]))
+        good = F.filter(_found(kind), lambda s: _valid(kind, s["value"]))
         spans.append(F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))))
     word = lambda gap, last: F.substring_index(F.trim(F.translate(gap, "\t\n\x0b\x0c\r", " " * 5)), " ", -1 if last else 1)
     mentions = F.transform(
-        _found(F.col("g_mention"), F.col("m_mention")),
+        _found("mention"),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lower(word(s["before"], True)).alias("left"), F.lower(word(s["after"], False)).alias("right")),
     )
     return out.select("doc_id", F.xxhash64("text").alias("text_key"), F.array_sort(F.concat(*spans)).alias("base"), mentions.alias("mentions"))
@@ -90,12 +104,13 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def _mentions(found: DataFrame) -> DataFrame:
     """A row for each mention of a distinct text: place, instance, kind of the base span it lies in (or null), patterns."""
-    rows = found.where(F.size("mentions") > 0).select("text_key", "base", F.explode("mentions").alias("m"))
+    kind = lambda m: F.get(F.filter("base", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])), F.lit(0))["kind"]
+    with_kind = F.transform("mentions", lambda m: m.withField("kind", kind(m)))
+    rows = found.where(F.size("mentions") > 0).select("text_key", F.explode(with_kind).alias("m"))
     # quotes, brackets and marks around an identifier are not part of it
     lead = F.length(F.regexp_extract("m.value", r"""^["'(\[<]++""", 0))
     tail = F.length(F.regexp_extract("m.value", r"""(?<!["')\]>.,;:!?*#$%])["')\]>.,;:!?*#$%]++$""", 0))
     rows = rows.withColumn("start", F.col("m.start") + lead).withColumn("end", F.col("m.end") - tail).where(F.col("start") < F.col("end"))
-    hit = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     core = F.lower(F.expr("substring(m.value, int(start - m.start) + 1, int(end - start))"))
     runs = F.regexp_replace(core, r"[a-z0-9\x{80}-\x{10FFFF}]*+(?<=[a-z\x{80}-\x{10FFFF}])[0-9][a-z0-9\x{80}-\x{10FFFF}]*+|[0-9]++[a-z\x{80}-\x{10FFFF}][a-z0-9\x{80}-\x{10FFFF}]*+", "x")
     runs = F.regexp_replace(F.regexp_replace(runs, "[0-9]++", "9"), r"[a-wyz\x{80}-\x{10FFFF}][a-z\x{80}-\x{10FFFF}]*+", "a")
@@ -104,7 +119,7 @@ def _mentions(found: DataFrame) -> DataFrame:
     # no word there (the text ends, or another mention stands beside) is no context
     no_word = lambda words: F.array_contains(F.array(*map(F.col, words)), "")
     sides = F.array_compact(F.array(*(F.when(~no_word(words), F.concat_ws("|", F.lit(name), *words, last)) for name, *words in sides for last in (shape, F.lit("any")))))
-    return rows.select("text_key", "start", "end", F.sha2(core, 256).alias("instance"), F.get(hit, F.lit(0))["kind"].alias("kind"), sides.alias("patterns"))
+    return rows.select("text_key", "start", "end", F.sha2(core, 256).alias("instance"), F.col("m.kind").alias("kind"), sides.alias("patterns"))
 
 
 def discovered(found: DataFrame) -> DataFrame:
