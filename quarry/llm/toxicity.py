@@ -14,8 +14,8 @@ from quarry.llm.spark import arrow_map, crc_mod, documents, small_batches, trim
 from quarry.llm.text import NOT_ALNUM, Words, chunks, code_points, grams, mix
 
 #: Labelled documents, toxic and clean, that the model is fitted on, about (a hash picks them).
-SAMPLE_TOXIC = 1500
-SAMPLE_CLEAN = 4500
+SAMPLE_TOXIC = 1200
+SAMPLE_CLEAN = 3600
 #: Stems (leading code points) that are features beside the whole word.
 STEMS = (4, 5, 6, 7)
 #: Features that the model keeps: those whose toxic documents are no chance (natural log of its bound), the surest first.
@@ -181,10 +181,12 @@ class Sample:
         self.kind = np.searchsorted(self.kinds, np.concatenate(hashes)).astype(np.int32)
         self.first = np.r_[0, np.cumsum(np.concatenate(first))]
         self.row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(self.first))
-        owner = np.searchsorted(self.kinds, np.concatenate([x for x, _ in pairs]))
+        del hashes
+        owner = np.searchsorted(self.kinds, np.concatenate([x for x, _ in pairs])).astype(np.int32)
         self.keys, key = np.unique(np.concatenate([x for _, x in pairs]), return_inverse=True)
+        del pairs
         order = np.argsort(owner, kind="stable")
-        self.key = key[order]
+        self.key = key[order].astype(np.int32)
         self.cuts = np.searchsorted(owner[order], np.arange(len(self.kinds) + 1))
         self.weight = _copy_weights(np.concatenate(minima))
 
@@ -268,7 +270,9 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
     if not toxic.any() or toxic.all():
         return none
     sample = Sample(texts, toxic)
+    trim()
     keys, marked, token, index = _token_labels(sample)
+    trim()
     if not len(keys) or not marked.any():
         return none
     length = 2 * AROUND + 1
