@@ -1,5 +1,4 @@
 import collections
-import random
 import re
 
 import numpy as np
@@ -19,7 +18,8 @@ def shingles(text):
     return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def aligned(rows):
+    """(doc_id, shingles, least doc_id of the component) of each row, by comparing all pairs."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -37,7 +37,11 @@ def brute(rows):
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    return sorted(((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)), key=str)
+    return [(i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)]
+
+
+def brute(rows):
+    return sorted(aligned(rows), key=str)
 
 
 def got(df):
@@ -112,22 +116,15 @@ def test_shingles_match_python(texts):
             assert len(np.intersect1d(sets[a], sets[b])) == len(wanted[a] & wanted[b])
 
 
-def test_one_of_each(odd, none, spark):
+def test_one_of_each(odd, none):
     rows = odd_rows()
     kept = deduplication.one_of_each(odd)
     assert kept.columns == odd.columns
-    have = collections.Counter(r[0:2] for r in kept.select("doc_id", "text").collect())
     wanted = collections.Counter()
-    seen = set()
-    parts = dict(zip(range(len(rows)), rows))
-    heads = {}
-    for (i, t), (_, n, c) in zip(rows, [x for i, t in rows for x in [next(y for y in brute(rows) if y[0] == i and y[1] == len(shingles(t)))]]):
+    for (i, t), (_, n, head) in zip(rows, aligned(rows)):
         if n == 0:
-            wanted[(i, t)] += 1
-        elif i == c and (i, t) not in seen:
-            wanted[(i, t)] += 1
-            seen.add((i, t))
-    wanted[(None, "stray text")] += (None, "stray text") not in wanted
-    assert have == wanted and parts and not heads
+            wanted[(i, t)] += 1  # links with nothing
+        elif i == head:
+            wanted[(i, t)] = 1  # once, even if its row repeats
+    assert collections.Counter(tuple(r) for r in kept.select("doc_id", "text").collect()) == wanted
     assert deduplication.one_of_each(none).count() == 0
-    random.seed(0)

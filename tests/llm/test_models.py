@@ -253,7 +253,6 @@ def test_licenses(spark, none):
 def test_contamination(spark, odd, none):
     items = [(i, " ".join(words(3000 + i, 15 + i))) for i in range(20)] + [(50, None), (51, "too short"), (None, " ".join(words(77, 20)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rng = random.Random(8)
     rows, wanted = [], set()
     for i, t in items[:20]:
         w = t.split()
@@ -275,7 +274,6 @@ def test_contamination(spark, odd, none):
     assert clean.columns == docs.columns and clean.count() == docs.count() - len({d for d, _ in wanted})
     assert decontamination.contaminated(none, bench).count() == 0
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
-    assert rng
 
 
 def test_blocks_find_the_same(spark, monkeypatch):
