@@ -1,22 +1,24 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Contexts are the last one to DEPTH words.  Strings (a context and the word after
-it) are counted over all training text; those with a share of at least
-GRAM_SHARE of all tokens, at most 1 / GRAM_SHARE of each length, are exact, found
-with a counting sketch in front.  A context stays as a state if its next-word
-distribution diverges from that of its longest kept suffix by more than its
-parameters cost.  Distributions are smoothed by absolute discounting, the
+it) are counted over all training text; all that occur LEAST times or more are
+kept, with exact counts.  A longer string is counted where its two parts may be
+such strings.  Counts and tree are tables that grow with the corpus; texts are
+scored in parts, each joined with the entries that its strings need.  A context
+stays as a state if its next-word distribution diverges from that of its longest
+kept suffix by more than its parameters cost.  Distributions are smoothed by absolute discounting, the
 discounted mass going to the suffix state, down to add-one word frequencies.
 A token is scored in the longest suffix state of what precedes it.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.spark import arrow_map, crc_mod, documents, release, stash
@@ -24,15 +26,18 @@ from quarry.llm.text import Words, chunks, grams
 
 #: Words of the longest context.
 DEPTH = 3
-#: Share of all training tokens that a counted string has at least; so the tree has at most DEPTH / GRAM_SHARE entries.
-GRAM_SHARE = 5e-6
+#: Occurrences in training that a string needs, whatever the corpus.
+LEAST = 2
+#: Bytes of text that are scored together, with the part of the tree that they need.
+PART_BYTES = 8 << 20
 #: Share of all training tokens of the words whose counts every task holds (at most 1 / WORD_SHARE); others are joined.
 WORD_SHARE = 1e-6
 DISCOUNT = 0.75
 #: Nats of training likelihood that a context must gain for each of its entries.
 PRICE = 5.0
-COUNTERS = 1 << 22
-_SHIFT = np.uint64(64 - 22)
+#: Bits of a sieve.
+BITS = 1 << 27
+_SHIFT = np.uint64(64 - 27)
 #: The token that ends every text.
 END = np.uint64(0xE4D0F7EC7E11D0C5)
 #: Distinct words that a task holds before it hands their counts on.
@@ -78,79 +83,96 @@ def _slices(columns: dict, step: int = 100_000):
 
 
 def _count_words(batches):
-    """Rows (word, count), and one with the task's counters of the strings of 2 to DEPTH + 1 tokens."""
-    counters, held, some = np.zeros(COUNTERS, np.uint32), [], False
-
-    def rows(keys, counts):
-        for part in _slices({"word": keys.view(np.int64), "count": counts}):
-            yield part | {"counters": [None] * len(part["word"])}
-
+    """Rows (word, count), added up within a task as far as memory allows."""
+    held: list = []
     for b in batches:
         for _, data, offs in chunks(b.column(0)):
-            s = Stream(data, offs)
-            held.append(np.unique(s.token, return_counts=True))
-            some = True
-            for k in range(2, DEPTH + 2):
-                np.add.at(counters, (s.string(k)[s.starts(k)] >> _SHIFT).astype(np.int64), 1)
+            held.append(np.unique(Stream(data, offs).token, return_counts=True))
             if sum(len(k) for k, _ in held) > 2 * HELD:
                 _tally(held, held)
                 if len(held[0][0]) > HELD:
-                    yield from rows(*held.pop())
+                    keys, counts = held.pop()
+                    yield from _slices({"word": keys.view(np.int64), "count": counts})
     if held:
         _tally(held, held)
-        yield from rows(*held.pop())
-    if some:
-        yield {"word": [None], "count": [None], "counters": [_pack(counters)]}
+        keys, counts = held.pop()
+        yield from _slices({"word": keys.view(np.int64), "count": counts})
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    return (h >> _SHIFT).astype(np.int64)
 
 
-def _pack(x):
-    small = np.uint32 if x.max() < 2**32 else np.uint64
-    return zstandard.compress(memoryview(x if x.dtype == small else x.astype(small)), 1)
+def _mark(batches):
+    """One bit table of the task's keys."""
+    bits = None
+    for b in batches:
+        bits = np.zeros(BITS, bool) if bits is None else bits
+        bits[_places(np.asarray(b.column(0)).view(np.uint64))] = True
+    if bits is not None:
+        yield {"bits": [zstandard.compress(np.packbits(bits), 1)]}
 
 
-def _unpack(blob):
-    x = zstandard.decompress(blob)
-    return np.frombuffer(x, np.uint32 if len(x) == 4 * COUNTERS else np.uint64)
+def _unpack(blob) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.uint8)
 
 
-def _add_counters(batches):
+def _merge(batches):
     out = None
     for b in batches:
         for blob in b.column(0):
-            out = np.zeros(COUNTERS, np.uint64) if out is None else out
-            out += _unpack(blob.as_py())
+            out = np.zeros(BITS // 8, np.uint8) if out is None else out
+            out |= _unpack(blob.as_py())
     if out is not None:
-        yield {"counters": [_pack(out)]}
+        yield {"bits": [zstandard.compress(out, 1)]}
+
+
+class Sieve:
+    """A bit table in front of a table of keys: what it rules out isn't there; what it lets pass is joined."""
+
+    def __init__(self, keys: DataFrame):
+        marked = arrow_map(keys.coalesce(8), _mark, "bits binary").repartition(1)
+        self.blob = next((bytes(r[0]) for r in arrow_map(marked, _merge, "bits binary").collect()), None)
 
+    def table(self) -> np.ndarray:
+        return np.zeros(BITS // 8, np.uint8) if self.blob is None else _unpack(self.blob)
 
-def _frequent_strings(likely: np.ndarray):
-    """Rows (length, string, context, suffix, word, count) of the strings whose counter allows them."""
+
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _places(h)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _count_strings(k: int, sieve: Sieve):
+    """Rows (string, context, suffix, word, count) of the strings of k tokens whose parts of k - 1 may all be repeated."""
+
+    def add_up(held):
+        string, context, suffix, word, count = (np.concatenate(c) for c in zip(*held))
+        key, first, back = np.unique(string, return_index=True, return_inverse=True)
+        return key, context[first], suffix[first], word[first], np.bincount(back, count).astype(np.int64)
+
+    def rows(part):
+        names = ("string", "context", "suffix", "word")
+        return _slices({n: c.view(np.int64) for n, c in zip(names, part)} | {"count": part[4]})
 
     def run(batches):
-        held: list = []
-        facts: dict[int, dict[int, tuple]] = {k: {} for k in range(2, DEPTH + 2)}
-        counts: dict[int, dict[int, int]] = {k: {} for k in facts}
+        bits, held = None, []
         for b in batches:
+            bits = sieve.table() if bits is None else bits
             for _, data, offs in chunks(b.column(0)):
                 s = Stream(data, offs)
-                for k in facts:
-                    at = s.starts(k)
-                    at = at[likely[(s.string(k)[at] >> _SHIFT).astype(np.int64)]]
-                    h, first, n = np.unique(s.string(k)[at], return_index=True, return_counts=True)
-                    own = counts[k]
-                    for x, i, c in zip(h.tolist(), at[first].tolist(), n.tolist()):
-                        if x in own:
-                            own[x] += c
-                        else:
-                            own[x] = c
-                            facts[k][x] = (int(s.string(k - 1)[i]), int(s.string(k - 1)[i + 1]), int(s.token[i + k - 1]))
-        for k, own in counts.items():
-            if own:
-                keys = np.array(list(own), np.uint64)
-                held = np.array([facts[k][x] for x in own], np.uint64)
-                cols = {"string": keys.view(np.int64), "context": held[:, 0].copy().view(np.int64), "suffix": held[:, 1].copy().view(np.int64), "word": held[:, 2].copy().view(np.int64), "count": np.array(list(own.values()), np.int64)}
-                for part in _slices(cols):
-                    yield part | {"length": np.full(len(part["count"]), k, np.int32)}
+                may = _passes(bits, s.string(k - 1))
+                at = s.starts(k)
+                at = at[may[at] & may[at + 1]]
+                if not len(at):
+                    continue
+                held.append(add_up([(s.string(k)[at], s.string(k - 1)[at], s.string(k - 1)[at + 1], s.token[at + k - 1], np.ones(len(at)))]))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [add_up(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield from rows(held.pop())
+        if held:
+            yield from rows(add_up(held))
 
     return run
 
@@ -191,13 +213,17 @@ class SuffixTree:
 
     def log_probabilities(self, s: Stream):
         """Per token log10 probability (an unlisted word counting as unseen), the same of word frequency, and whether its word is listed."""
+        return self.walk(s)[:3]
+
+    def walk(self, s: Stream):
+        """log_probabilities(), and whether a state knows the token: then its word's frequency is in the probability already."""
         n = len(s.token)
         at, c = self.words.find(s.token)
         listed = np.zeros(n, bool)
         listed[at] = True
         base = np.full(n, -np.log10(self.total))
         base[at] += np.log10(c + 1)
-        out = base.copy()
+        out, known = base.copy(), np.zeros(n, bool)
         for k in self.left:
             at = s.starts(k + 1)
             i, mass = self.left[k].find(s.string(k)[at])
@@ -205,11 +231,12 @@ class SuffixTree:
             out[place + k] += mass
             j, p = self.next[k].find(s.string(k + 1)[place])
             out[place[j] + k] = p
-        return out, base, listed
+            known[place[j] + k] = True
+        return out, base, listed, known
 
 
 def build_tree(words: Table, total: float, strings) -> SuffixTree:
-    """Keep the contexts that pass the divergence test, shorter ones first, and smooth.
+    """Keep the contexts that pass the divergence test, shorter ones first, and smooth; tree_level() in memory.
 
     strings: dict of columns (length, string, context, suffix, word, count).
     """
@@ -245,22 +272,115 @@ def build_tree(words: Table, total: float, strings) -> SuffixTree:
     return SuffixTree(words, total, left, nxt)
 
 
-def _score(tree: SuffixTree):
+def tree_level(k: int, strings: DataFrame, counts: DataFrame, shorter: DataFrame | None, total: float) -> DataFrame:
+    """string, context, count, mass, stays, p of the strings with contexts of k words; build_tree() says how.
+
+    counts: word, count; shorter: this of k - 1.
+    """
+    if k == 1:
+        e = strings.join(counts.select(F.col("word").alias("context"), F.col("count").alias("seen")), "context")
+        e = e.join(counts.select("word", ((F.col("count") + 1) / F.lit(total)).alias("low")), "word")
+    else:
+        e = strings.join(shorter.select(F.col("string").alias("context"), F.col("count").alias("seen")), "context")
+        e = e.join(shorter.select(F.col("string").alias("suffix"), F.col("p").alias("low")), "suffix")
+    state = Window.partitionBy("context")
+    e = e.withColumn("kept", (F.col("count") - DISCOUNT) / F.col("seen"))
+    e = e.withColumn("mass", F.greatest(1 - F.sum("kept").over(state), F.lit(1e-9)))
+    e = e.withColumn("p", F.col("kept") + F.col("mass") * F.col("low"))
+    rest = F.greatest(F.col("seen") - F.sum("count").over(state), F.lit(0))
+    gain = F.sum(F.col("count") * F.log(F.col("p") / F.col("low"))).over(state) + rest * F.log("mass")
+    e = e.withColumn("stays", gain > PRICE * F.count("*").over(state))
+    return e.select("string", "context", "count", "mass", "stays", F.when(F.col("stays"), F.col("p")).otherwise(F.col("low")).alias("p"))
+
+
+def grow_tree(learn: DataFrame, counts: DataFrame, total: float) -> DataFrame:
+    """key, next (log10 probability of the string's last word in its state), left (log10 of the mass that the string leaves as a state)."""
+    levels, sieve = [], Sieve(counts.where(F.col("count") >= LEAST).select("word"))
+    for k in range(1, DEPTH + 1):
+        found = arrow_map(learn, _count_strings(k + 1, sieve), "string bigint, context bigint, suffix bigint, word bigint, count bigint")
+        # every row of a string agrees in the other columns
+        found = found.groupBy("string").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("word").alias("word"), F.sum("count").alias("count"))
+        found = stash(found.where(F.col("count") >= LEAST), "strings")
+        levels.append(stash(tree_level(k, found, counts, levels[-1] if levels else None, total), "level"))
+        release(found)
+        if k < DEPTH:
+            sieve = Sieve(levels[-1].select("string"))
+    stays = functools.reduce(DataFrame.unionAll, levels).where("stays")
+    ends = stays.select(F.col("string").alias("key"), F.log10("p").alias("next"), F.lit(None).cast("double").alias("left"))
+    states = stays.groupBy("context").agg(F.log10(F.first("mass")).alias("left")).select(F.col("context").alias("key"), F.lit(None).cast("double").alias("next"), "left")
+    tree = stash(ends.unionAll(states).groupBy("key").agg(F.max("next").alias("next"), F.max("left").alias("left")), "tree")
+    release(*levels)
+    return tree
+
+
+def _parts(batches):
+    """The rows, dealt to parts of about PART_BYTES of text."""
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    done, task = 0, TaskContext.get().partitionId() << 32
+    for b in batches:
+        size = np.asarray(pc.binary_length(b.column(3))).astype(np.int64)
+        part = task + (done + np.cumsum(size)) // PART_BYTES
+        done += int(size.sum())
+        yield {"part": part, "doc_id": b.column(0), "held_out": b.column(1), "row_id": b.column(2), "text": b.column(3)}
+
+
+def _needed(sieve: Sieve):
+    """Rows (part, key): the strings of each part that the tree may hold."""
+
+    def rows(part, held):
+        keys = np.unique(np.concatenate(held)).view(np.int64)
+        return _slices({"part": np.full(len(keys), part, np.int64), "key": keys})
+
     def run(batches):
-        seen = set()
+        bits, part, held = None, None, []
         for b in batches:
-            row_id = np.asarray(b.column(2))
-            for at, data, offs in chunks(b.column(3)):
+            bits = sieve.table() if bits is None else bits
+            of = np.asarray(b.column(0))
+            cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if held and of[lo] != part:
+                    yield from rows(part, held)
+                    held = []
+                part = int(of[lo])
+                for _, data, offs in chunks(b.column(1).slice(lo, hi - lo)):
+                    s = Stream(data, offs)
+                    for k in range(1, DEPTH + 2):
+                        h = np.unique(s.string(k)[s.starts(k)])
+                        held.append(h[_passes(bits, h)])
+        if held:
+            yield from rows(part, held)
+
+    return run
+
+
+def _score(words: Table, total: float):
+    import pyarrow as pa
+
+    def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        def table(name):
+            x = entries.filter(entries[name].is_valid())
+            return Table(np.asarray(x["key"]).view(np.uint64), np.asarray(x[name]).astype(float))
+
+        left, nxt = table("left"), table("next")
+        tree = SuffixTree(words, total, dict.fromkeys(range(1, DEPTH + 1), left), dict.fromkeys(range(1, DEPTH + 1), nxt))
+        seen, out = set(), []
+        for b in texts.to_batches():
+            row_id = np.asarray(b["row_id"])
+            for at, data, offs in chunks(b["text"]):
                 s = Stream(data, offs)
-                score, base, listed = tree.log_probabilities(s)
+                score, base, listed, known = tree.walk(s)
                 part = slice(at, at + s.rows)
                 ids = row_id[part]
                 new = np.array([not (x in seen or seen.add(x)) for x in ids.tolist()])
                 cut = s.first[:-1]
-                yield {
-                    "doc_id": b.column(0)[part], "held_out": b.column(1)[part], "row_id": ids, "n_tokens": s.count, "n_known": np.add.reduceat(listed, cut, dtype=np.int64),
-                    "base": np.add.reduceat(base, cut), "score": np.add.reduceat(score, cut), "first": new.astype(np.int32), "words": _unlisted(s, listed, new),
+                cols = {
+                    "doc_id": b["doc_id"][part], "held_out": b["held_out"][part], "row_id": ids, "n_tokens": s.count, "n_known": np.add.reduceat(listed, cut, dtype=np.int64),
+                    "base": np.add.reduceat(base, cut), "score": np.add.reduceat(score, cut), "first": new.astype(np.int32), "words": _unlisted(s, listed | known, new), "in_tree": _unlisted(s, listed | ~known, new),
                 }
+                out.append(pa.table({n: c if isinstance(c, pa.Array) else pa.array(c) for n, c in cols.items()}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -287,40 +407,36 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(~training, F.lit(True)).alias("held_out"), "text")
     learn = texts.where(~F.col("held_out")).select("text")
-    raw = stash(arrow_map(learn, _count_words, "word bigint, count bigint, counters binary"), "words")
-    counts = stash(raw.where("word is not null").groupBy("word").agg(F.sum("count").alias("count")), "counts")
+    counts = stash(arrow_map(learn, _count_words, "word bigint, count bigint").groupBy("word").agg(F.sum("count").alias("count")), "counts")
     total, distinct = counts.agg(F.sum("count"), F.count("*")).first()
     total = total or 0
     known = counts.where(F.col("count") >= WORD_SHARE * total).toArrow()
     words = Table(np.asarray(known["word"]).view(np.uint64), np.asarray(known["count"]).astype(float))
-    blobs = raw.where("counters is not null").select("counters")
-    blobs = arrow_map(arrow_map(blobs.coalesce(64), _add_counters, "counters binary").repartition(4), _add_counters, "counters binary").collect()
-    counters = sum((_unpack(r[0]).astype(np.float64) for r in blobs), np.zeros(COUNTERS))
-    release(raw)
-    least = max(2, GRAM_SHARE * total)
-    strings = arrow_map(learn, _frequent_strings(counters >= least), "length int, string bigint, context bigint, suffix bigint, word bigint, count bigint")
-    # every row of a string agrees in the other columns
-    strings = strings.groupBy("string").agg(F.first("length").alias("length"), F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("word").alias("word"), F.sum("count").alias("count"))
-    got = strings.where(F.col("count") >= least).toArrow()
-    columns = {c: np.asarray(got[c]) for c in got.column_names}
-    columns |= {c: columns[c].view(np.uint64) for c in ("string", "context", "suffix", "word")}
-    tree = build_tree(words, total + distinct + 1.0, columns)
+    tree = grow_tree(learn, counts, total + distinct + 1.0)
 
     row_id = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
-    scored = arrow_map(
-        texts.select("doc_id", "held_out", row_id, "text"), _score(tree),
-        "doc_id bigint, held_out boolean, row_id bigint, n_tokens bigint, n_known bigint, base double, score double, first int, words array<bigint>",
+    parts = arrow_map(texts.select("doc_id", "held_out", row_id, F.coalesce("text", F.lit(""))), _parts, "part bigint, doc_id bigint, held_out boolean, row_id bigint, text string")
+    parts = stash(parts, "parts")
+    needed = arrow_map(parts.select("part", "text"), _needed(Sieve(tree.select("key"))), "part bigint, key bigint")
+    entries = needed.distinct().join(tree, "key")
+    scored = parts.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(
+        _score(words, total + distinct + 1.0),
+        "doc_id bigint, held_out boolean, row_id bigint, n_tokens bigint, n_known bigint, base double, score double, first int, words array<bigint>, in_tree array<bigint>",
     )
     scored = stash(scored, "scored")
-    # of equal rows only the first of a task hands its words on; their sums are divided by how many did
-    rare = scored.where("first = 1").select("row_id", F.explode("words").alias("word")).join(counts.where(F.col("count") < WORD_SHARE * total), "word", "left")
-    rare = rare.groupBy("row_id").agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 1)).alias("more"), F.sum(F.when(F.col("count") > 0, 1).otherwise(0)).alias("known"))
+    release(tree, parts)
+    # of equal rows only the first of a part hands its words on; their sums are divided by how many did
+    rare = scored.where("first = 1").select("row_id", F.size("words").alias("n_open"), F.posexplode(F.concat("words", "in_tree")).alias("at", "word"))
+    rare = rare.join(counts.where(F.col("count") < WORD_SHARE * total), "word", "left")
+    log = F.log10(F.coalesce("count", F.lit(0)) + 1)
+    # a word that a state knows has its frequency in the score already
+    rare = rare.groupBy("row_id").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("at") < F.col("n_open"), log).otherwise(0.0)).alias("open"), F.sum(F.when(F.col("count") > 0, 1).otherwise(0)).alias("known"))
     times = scored.groupBy("row_id").agg(F.sum("first").alias("times"))
-    rare = rare.join(times, "row_id").select("row_id", (F.col("more") / F.col("times")).alias("more"), (F.col("known") / F.col("times")).cast("bigint").alias("known"))
-    more = F.coalesce("more", F.lit(0.0))
+    rare = rare.join(times, "row_id").select("row_id", (F.col("more") / F.col("times")).alias("more"), (F.col("open") / F.col("times")).alias("open"), (F.col("known") / F.col("times")).cast("bigint").alias("known"))
     return scored.join(rare, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
-    )
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("open", F.lit(0.0))).alias("score"),
+    )
 
 
 def op2_suffix_tree(spark, sf_dir):

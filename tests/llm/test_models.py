@@ -92,6 +92,45 @@ def test_no_training_rows(spark, none, odd):
     assert all(r.train_tokens == 0 and r.score == 0 and r.base_score == 0 for r in out) and len(out) == len(odd_rows())
 
 
+def test_joined_scores_are_those_of_the_whole_tree(spark):
+    rng = random.Random(8)
+    phrases = [words(900 + i, 4) for i in range(40)]
+    rows = [(i, " ".join(itertools.chain.from_iterable(rng.choice(phrases) for _ in range(40)))) for i in range(90)] + [(90, None), (91, "")]
+    trains = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    counts, strings, facts = collections.Counter(), collections.Counter(), {}
+
+    def stream(t):
+        (_, d, o), *_ = chunks(pa.array([t or ""]))
+        return suffix_tree.Stream(d, o)
+
+    for _, t in (r for r in rows if trains(r[0])):
+        s = stream(t)
+        counts.update(s.token.tolist())
+        for k in (2, 3, 4):
+            for i in s.starts(k).tolist():
+                strings[key := int(s.string(k)[i])] += 1
+                facts[key] = (k, key, int(s.string(k - 1)[i]), int(s.string(k - 1)[i + 1]), int(s.token[i + k - 1]))
+    kept = [x for x in strings if strings[x] >= 2]
+    columns = {n: np.array([facts[x][j] for x in kept], np.int32 if n == "length" else np.uint64) for j, n in enumerate(("length", "string", "context", "suffix", "word"))}
+    columns["count"] = np.array([strings[x] for x in kept])
+    table = suffix_tree.Table(np.array(list(counts), np.uint64), np.array(list(counts.values()), float))
+    tree = suffix_tree.build_tree(table, sum(counts.values()) + len(counts) + 1.0, columns)
+    assert all(len(tree.next[k].keys) for k in (1, 2))
+    for share in (suffix_tree.WORD_SHARE, 2.0):  # words held by every task, words joined
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(suffix_tree, "WORD_SHARE", share)
+            out = suffix_tree.suffix_tree_scores(as_table(spark, rows), crc_mod(7) != 2).collect()
+        assert {r.doc_id: r.score for r in out} == pytest.approx({i: tree.log_probabilities(stream(t))[0].sum() for i, t in rows}, abs=1e-6)
+
+
+def test_strings_seen_twice_are_learned_in_a_large_corpus(spark):
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, "pad " * 10_000 + " ".join(f"x{j} y{j}" for j in (i // 2 * 2, i // 2 * 2 + 1))) for i in learned] + [(held, " ".join(f"x{j} y{j}" for j in range(200)))]
+    r = next(r for r in suffix_tree.suffix_tree_scores(as_table(spark, rows), crc_mod(7) != 2).collect() if r.doc_id == held)
+    assert r.score > r.base_score + 100
+
+
 # -- toxicity
 
 
