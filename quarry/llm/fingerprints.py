@@ -15,7 +15,7 @@ from quarry.llm.text import mix
 #: Two prime moduli and bases: a span's hash has 62 bits.
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 1_664_525_013)
-#: Code points of the spans that are sampled, and how many a fingerprint keeps.
+#: Code points of the spans that are sampled (a third of the text, if that is less), and how many a fingerprint keeps.
 SPAN = 24
 KEPT = 32
 _POWERS: dict[int, list[np.ndarray]] = {}
@@ -84,29 +84,44 @@ class PrefixHash:
         return lo
 
 
+def _span(n: int) -> int:
+    """Code points of the spans by which a text of n is compared: some lie inside any two thirds of it."""
+    return max(1, min(SPAN, n // 3))
+
+
 class Print:
     """Length, hash of the whole text, and the KEPT least mixed hashes of its spans."""
 
     def __init__(self, h: PrefixHash):
         self.whole = (h.n, int(h.spans(0, h.n)))
-        x = mix(h.windows(SPAN)) if h.n >= SPAN else mix(np.array([self.whole[1]], np.uint64) ^ np.uint64(h.n << 40)) if h.n else np.zeros(0, np.uint64)
-        x >>= np.uint64(32)
-        least = np.unique(np.partition(x, 2 * KEPT)[: 2 * KEPT]) if len(x) > 2 * KEPT else np.unique(x)
-        if len(least) < KEPT < len(x):
-            least = np.unique(x)
-        self.least = least[:KEPT].astype(np.uint32)
+        self.h = h
+        self.samples: dict[int, np.ndarray] = {}
+        self.least = self.sample(_span(h.n))
+
+    def sample(self, span: int) -> np.ndarray:
+        """The KEPT least mixed hashes of the spans of a size."""
+        if span not in self.samples:
+            x = mix(self.h.windows(span)) if self.h.n >= span else np.zeros(0, np.uint64)
+            x >>= np.uint64(32)
+            least = np.unique(np.partition(x, 2 * KEPT)[: 2 * KEPT]) if len(x) > 2 * KEPT else np.unique(x)
+            if len(least) < KEPT < len(x):
+                least = np.unique(x)
+            self.samples[span] = least[:KEPT].astype(np.uint32)
+        return self.samples[span]
 
     def __str__(self) -> str:
         return f"{self.whole[0]:x}-{self.whole[1]:016x}-{self.least.astype('>u4').tobytes().hex()}"
 
     def likeness(self, other: Print) -> float:
-        """Share of sampled spans in common (Dice, from a bottom-k estimate of Jaccard); 1 for equal texts."""
+        """Share of sampled spans in common (Dice, from a bottom-k estimate of Jaccard), of the size that suits the shorter text; 1 for equal texts."""
         if self.whole == other.whole:
             return 1.0
-        if not len(self.least) or not len(other.least):
+        span = _span(min(self.h.n, other.h.n))
+        mine, others = self.sample(span), other.sample(span)
+        if not len(mine) or not len(others):
             return 0.0
-        both = np.union1d(self.least, other.least)[:KEPT]
-        j = len(np.intersect1d(np.intersect1d(both, self.least, True), other.least, True)) / len(both)
+        both = np.union1d(mine, others)[:KEPT]
+        j = len(np.intersect1d(np.intersect1d(both, mine, True), others, True)) / len(both)
         return 2 * j / (1 + j)
 
 

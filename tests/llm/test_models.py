@@ -245,6 +245,21 @@ def test_fingerprints(odd, none, spark):
     assert fingerprints.fingerprints(odd).count() == len(odd_rows()) and fingerprints.fingerprints(none).count() == 0
 
 
+def test_short_texts_have_spans_in_common():
+    def printed(text):
+        return fingerprints.Print(fingerprints.PrefixHash(fingerprints._codes(text)))
+
+    full = "The quick brown fox jumps over a lazy dog; 0123456789 were VEXED by Zeus, Kim & Q."
+    for n in range(3, 80):
+        text = full[:n]
+        new = fingerprints.edited(text, "~" * 100)
+        assert new != text and 0 < printed(text).likeness(printed(new)) < 1
+        assert printed(text).likeness(printed(new)) == printed(new).likeness(printed(text))
+        assert printed(text).likeness(printed("^" * 200)) == 0
+    assert printed(full[:30]).likeness(printed(full[:29] + "~")) > 0.7
+    assert printed("").likeness(printed("a")) == 0 and printed("").likeness(printed("")) == 1
+
+
 # -- licenses
 
 
