@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 
 import numpy as np
@@ -152,6 +153,31 @@ def align(want: np.ndarray, have: np.ndarray, low: int, high: int) -> tuple[int,
     return matched, start, end
 
 
+def places(want: np.ndarray, have: np.ndarray, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(matched, start, end in have) of the alignments that reach COVERAGE, around the candidates' lowest and highest diagonals.
+
+    The best alignment of each candidate comes first; what is left on both sides
+    of an alignment is aligned again while it holds enough of want's tokens.
+    """
+    least, wanted, out, rest = COVERAGE * len(want), np.isin(have, want), [], []
+
+    def find(b, e, low, high, alone):
+        matched, s, t = align(want, have[b:e], low - b, high - b)
+        if matched >= least and not (alone and any(b + s < y and x < b + t for _, x, y in out)):
+            out.append((matched, b + s, b + t))
+        if matched:
+            rest.extend([(b, b + s, low, high), (b + t, e, low, high)])
+
+    for low, high in bands:
+        find(max(0, low - BAND), min(len(have), high + len(want) + BAND), low - BAND, high + BAND, False)
+    while rest:
+        b, e, low, high = rest.pop()
+        low, high = max(low, b - len(want) + 1), min(high, e - 1)
+        if low <= high and np.count_nonzero(wanted[b:e]) >= least:
+            find(b, e, low, high, True)
+    return out
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """A row for each place of a document that holds at least COVERAGE of a template's tokens.
 
@@ -169,14 +195,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
             for at, data, offs in chunks(b.column(1)):
                 w = Words(data, offs, NOT_ALNUM)
                 out, cp = [], None
-                for row, template, low, high in index.candidates(w):
-                    want, first, last = index.tokens[template], w.first[row], w.first[row + 1]
-                    begin, stop = max(first, low - BAND), min(last, high + len(want) + BAND)
-                    matched, s, e = align(want, w.hash[begin:stop], low - BAND - begin, high + BAND - begin)
-                    if matched >= COVERAGE * len(want):
+                for (row, template), found in itertools.groupby(index.candidates(w), key=lambda x: x[:2]):
+                    want, first, last = index.tokens[template], int(w.first[row]), int(w.first[row + 1])
+                    for matched, s, e in places(want, w.hash[first:last], [(low - first, high - first) for *_, low, high in found]):
                         cp = code_points(data) if cp is None else cp
                         zero = cp[offs[row]]
-                        out.append((ids[at + row], index.names[template], len(want), matched, matched / len(want), int(cp[w.start[begin + s]] - zero), int(cp[w.end[begin + e - 1]] - zero)))
+                        out.append((ids[at + row], index.names[template], len(want), matched, matched / len(want), int(cp[w.start[first + s]] - zero), int(cp[w.end[first + e - 1]] - zero)))
                 if out:
                     yield dict(zip(("doc_id", "license", "template_tokens", "matched", "coverage", "start", "end"), map(list, zip(*out))))
 

@@ -301,6 +301,17 @@ def test_licenses(spark, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_close_copies_of_a_license_line(spark):
+    rows = [(1, "Released under the MIT License. " * 4), (2, "one: Licensed under CC BY-NC 4.0.\ntwo: Licensed under CC BY-NC 4.0.\nthree: licensed under cc by-nc 4.0")]
+    rows += [(3, " ".join(f"p{i} " + licenses.TEMPLATES["gpl-3.0-line"] for i in range(30)))]
+    out = licenses.license_scan(as_table(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.license) for r in out) == {(1, "mit-line"): 4, (2, "cc-by-nc-4.0-line"): 3, (3, "gpl-3.0-line"): 30}
+    text = dict(rows)
+    for r in out:
+        assert kernel(text[r.doc_id][r.start : r.end]).hash.tolist() == kernel(licenses.TEMPLATES[r.license]).hash.tolist()
+        assert all(r is q or r.doc_id != q.doc_id or r.end <= q.start or q.end <= r.start for q in out)
+
+
 # -- decontamination
 
 
