@@ -21,6 +21,8 @@ PENALTY = 1.5
 DRIFT = 8
 #: Bytes of benchmark text that are searched for at once.
 BLOCK_BYTES = 32 << 20
+#: Pieces of an item that follow in order add up within so many times its length.
+REACH = 2
 _LANES = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -83,37 +85,84 @@ class SeedIndex:
         On each diagonal that a seed hit, the run with the best sum of matches
         less PENALTY a mismatch is taken; runs on diagonals within DRIFT of the
         next (tokens were put in or left out) add up by the item's tokens that
-        they match.  Of several such places the one that matches most counts.
+        they match.  Where that isn't the whole item, pieces() add up as well.
+        Of several such places the one that matches most counts.
         """
         hits = self.hits(words)
         if not len(hits):
             return
-        new = (hits[1:, :2] != hits[:-1, :2]).any(1)
-        place = np.flatnonzero(np.r_[True, new | (hits[1:, 2] - hits[:-1, 2] > DRIFT)])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for f, t in zip(place, [*place[1:], len(hits)]):
-            found = self._overlap(words, *hits[f, :2].tolist(), hits[f:t, 2])
-            if found and found > best.get(key := tuple(hits[f, :2].tolist()), (0, 0, 0)):
-                best[key] = found
-        for (row, item), found in best.items():
-            yield row, item, *found
-
-    def _overlap(self, words: Words, row: int, item: int, diagonals: np.ndarray):
+        pair = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1)])
+        for f, t in zip(pair, [*pair[1:], len(hits)]):
+            row, item = hits[f, :2].tolist()
+            diagonals, want = hits[f:t, 2], self.tokens[item]
+            place = np.flatnonzero(np.r_[True, np.diff(diagonals) > DRIFT])
+            best = max(self._overlap(words, row, item, x) for x in np.split(diagonals, place[1:]))
+            if best[0] < len(want):
+                best = max(best, in_order(self._pieces(words, row, item, diagonals), REACH * len(want)))
+            if best[0] >= max(LEAST_TOKENS, COVERAGE * len(want)):
+                yield row, item, *best
+
+    def _same(self, words: Words, row: int, item: int, diagonal: int) -> tuple[int, np.ndarray]:
+        """(first word, whether it and each after it equal the item's token there)."""
         want = self.tokens[item]
-        matched, first, end = np.zeros(len(want), bool), None, 0
+        lo, hi = max(words.first[row], diagonal), min(words.first[row + 1], diagonal + len(want))
+        return int(lo), words.hash[lo:hi] == want[lo - diagonal : hi - diagonal]
+
+    def _overlap(self, words: Words, row: int, item: int, diagonals: np.ndarray) -> tuple[int, int, int]:
+        matched, first, end = np.zeros(len(self.tokens[item]), bool), None, 0
         for diagonal in diagonals:
-            lo, hi = max(words.first[row], diagonal), min(words.first[row + 1], diagonal + len(want))
-            same = words.hash[lo:hi] == want[lo - diagonal : hi - diagonal]
-            total = np.r_[0, np.cumsum(np.where(same, 1.0, -PENALTY))]
-            b = int(np.argmax(total - np.minimum.accumulate(total)))
-            a = int(np.argmin(total[:b])) if b else 0
+            lo, same = self._same(words, row, item, diagonal)
+            a, b = best_run(same)
             if b - a < LEAST_TOKENS:
                 continue
             matched[lo - diagonal + a : lo - diagonal + b] |= same[a:b]
             first, end = min(lo + a, lo + a if first is None else first), max(lo + b, end)
-        if matched.sum() >= max(LEAST_TOKENS, COVERAGE * len(want)):
-            return int(matched.sum()), int(first), int(end)
-        return None
+        return int(matched.sum()), int(first or 0), int(end)
+
+    def _pieces(self, words: Words, row: int, item: int, diagonals: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+        """(first word, end word, first item token, matches) of all runs of LEAST_TOKENS or more, on all diagonals."""
+        out = []
+        for diagonal in diagonals.tolist():
+            lo, same = self._same(words, row, item, diagonal)
+            parts = [(0, len(same))]
+            while parts:
+                x, y = parts.pop()
+                a, b = best_run(same[x:y])
+                if b - a >= LEAST_TOKENS:
+                    out.append((lo + x + a, lo + x + b, lo + x + a - diagonal, same[x + a : x + b]))
+                    parts += [(x, x + a), (x + b, y)]
+        return sorted(out, key=lambda p: p[:3])
+
+
+def best_run(same: np.ndarray) -> tuple[int, int]:
+    """Start and end of the run with the best sum of matches less PENALTY a mismatch."""
+    total = np.r_[0, np.cumsum(np.where(same, 1.0, -PENALTY))]
+    b = int(np.argmax(total - np.minimum.accumulate(total)))
+    return (int(np.argmin(total[:b])) if b else 0), b
+
+
+def in_order(pieces: list[tuple[int, int, int, np.ndarray]], reach: int) -> tuple[int, int, int]:
+    """(matched item tokens, first, end word) of the best chain of pieces that follow in document and item, within reach words."""
+    best = (0, 0, 0)
+    for i, (first, end, _, same) in enumerate(pieces):
+        chains = [(int(same.sum()), end, i)]  # best chains from piece i: matched, end, last piece
+        for j in range(i + 1, len(pieces)):
+            f, e, at, m = pieces[j]
+            if f >= first + reach:
+                break
+            if e > first + reach:
+                continue
+            after = []
+            for got, _, k in chains:
+                pf, pe, pat, pm = pieces[k]
+                done = pat + len(pm)
+                if f > pf and e > pe and at > pat and at + len(m) > done:
+                    after.append(got + int(m[max(0, done - at) :].sum()))
+            if after:
+                chains.append((max(after), e, j))
+        got, end, _ = max(chains)
+        best = max(best, (got, first, end))
+    return best
 
 
 def _blocks(benchmark: DataFrame):
@@ -133,7 +182,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are runs of letters and digits, A-Z lower-cased.  Null and empty texts hold
     nothing; null ids pass through; repeated documents or items give repeated
     rows.  An empty benchmark gives no rows.  Benchmarks beyond BLOCK_BYTES are
-    searched for in blocks, one pass over the documents each.
+    searched for in blocks, one pass over the documents each.  Pieces of an item
+    that follow in order add up within REACH times its length.  Items of fewer
+    than LEAST_TOKENS tokens would match ordinary prose and are never reported.
     """
     out = None
     for index in _blocks(benchmark):

@@ -348,3 +348,21 @@ def test_blocks_find_the_same(spark, monkeypatch):
     one = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
     assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect())) == one and len(one) == 30
+
+
+def test_pieces_in_order_add_up(spark):
+    item, other = words(3100, 30), words(77, 200)
+    a, b, c = item[:10], item[10:20], item[20:]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "four tokens of item")], "item_id long, text string")
+    texts = {
+        1: other[:40] + a + other[40:52] + b + other[52:64] + c + other[64:90],  # two insertions
+        2: a + other[:10] + c,  # the middle replaced
+        3: a + other[:100] + b + other[100:200] + c,  # too far apart
+        4: c + other[:12] + a,  # out of order
+        5: a + other[:12] + a,  # the same tokens twice
+        6: "four tokens of item".split(),
+    }
+    out = decontamination.contaminated(as_table(spark, [(i, " ".join(w)) for i, w in texts.items()]), bench).collect()
+    assert {(r.doc_id, r.item_id, r.matched) for r in out} == {(1, 1, 30), (2, 1, 20)}
+    found = {r.doc_id: r for r in out}
+    assert " ".join(texts[1])[found[1].start : found[1].end] == " ".join(texts[1][40:94])
