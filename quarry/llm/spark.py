@@ -46,15 +46,28 @@ def drop(spark: SparkSession, path: str) -> None:
 _live: set[str] = set()
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the length of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends, each row is computed once.
 
-    (checkpoint() computes its input twice unless that is cached.)  The table
-    goes when release() is called or with the process.
+    (checkpoint() computes its input twice unless that is cached.)  Shuffle
+    files that the write needed go once it is done.  The table goes when
+    release() is called or with the process.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     if not _live:
         atexit.register(_drop_all, spark)
     _live.add(path)

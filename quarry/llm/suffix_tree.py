@@ -3,45 +3,76 @@
 Contexts are the last one to DEPTH words.  Strings (a context and the word after
 it) are counted over all training text; all that occur LEAST times or more are
 kept, with exact counts.  A longer string is counted where its two parts may be
-such strings.  Counts and tree are tables that grow with the corpus; texts are
-scored in parts, each joined with the entries that its strings need.  A context
-stays as a state if its next-word distribution diverges from that of its longest
-kept suffix by more than its parameters cost.  Distributions are smoothed by absolute discounting, the
-discounted mass going to the suffix state, down to add-one word frequencies.
-A token is scored in the longest suffix state of what precedes it.
+such strings.  A context stays as a state if its next-word distribution diverges
+from that of its longest kept suffix by more than its parameters cost.
+Distributions are smoothed by absolute discounting, the discounted mass going to
+the suffix state, down to add-one word frequencies.  A token is scored in the
+longest suffix state of what precedes it.
+
+On the logarithmic scale that is a sum over the strings of a text: a state adds
+the logarithm of the mass that it leaves to its suffix, and a string of the tree
+adds what its word's probability differs by from that mass times the suffix
+state's probability.  So the tree is one table of keys and numbers, and a text's
+score a sum of its entries.
+
+Tables that grow with the corpus are dealt to places by the high bits of their
+keys, and travel as packed blocks of sorted numbers.  lookup() sends sorted keys
+to their places and the numbers found there back; a place holds about
+PLACE_TOKENS tokens' share of a table, a part of the texts PART_BYTES.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.spark import arrow_map, crc_mod, documents, release, stash
-from quarry.llm.text import Words, chunks, grams
+from quarry.llm.spark import arrow_map, crc_mod, documents, release, stash, trim
+from quarry.llm.text import Words, chunks, mix
 
 #: Words of the longest context.
 DEPTH = 3
 #: Occurrences in training that a string needs, whatever the corpus.
 LEAST = 2
 #: Bytes of text that are scored together, with the part of the tree that they need.
-PART_BYTES = 8 << 20
-#: Share of all training tokens of the words whose counts every task holds (at most 1 / WORD_SHARE); others are joined.
+PART_BYTES = 16 << 20
+#: Training tokens for each place of a table.
+PLACE_TOKENS = 1 << 20
+#: Places of a table, at least.
+PLACES = 64
+#: Share of all training tokens of the words whose counts every task holds (at most 1 / WORD_SHARE); others are looked up.
 WORD_SHARE = 1e-6
 DISCOUNT = 0.75
 #: Nats of training likelihood that a context must gain for each of its entries.
 PRICE = 5.0
-#: Bits of a sieve.
-BITS = 1 << 27
-_SHIFT = np.uint64(64 - 27)
+#: Binary logarithm of the bits of a sieve.
+SIEVE = 28
+#: The numbers of entries are whole multiples of one over this; counts come divided by it.
+FINE = 2.0**27
 #: The token that ends every text.
 END = np.uint64(0xE4D0F7EC7E11D0C5)
-#: Distinct words that a task holds before it hands their counts on.
+#: Distinct strings that a task holds before it hands their counts on.
 HELD = 1 << 20
+_STEP = np.uint64(0x9FB21C651E98DF25)
+_WORD = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def longer(string: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of strings and a word after each."""
+    return mix(string * _STEP + word)
+
+
+def word_key(word: np.ndarray) -> np.ndarray:
+    """The keys under which words have their counts."""
+    return mix(word ^ _WORD)
 
 
 class Stream:
@@ -59,9 +90,8 @@ class Stream:
     def string(self, k: int) -> np.ndarray:
         """Hash of the k tokens that start at each token; 0 where the row ends before."""
         if k not in self.strings:
-            out = np.zeros(len(self.token), np.uint64)
-            h, at = grams(self.token, self.row, k)
-            out[at] = h
+            out, at = np.zeros(len(self.token), np.uint64), self.starts(k)
+            out[at] = longer(self.string(k - 1)[at], self.token[at + k - 1])
             self.strings[k] = out
         return self.strings[k]
 
@@ -70,6 +100,163 @@ class Stream:
         return np.flatnonzero(self.row[: max(0, len(self.row) - k + 1)] == self.row[k - 1 :])
 
 
+# -- packed blocks
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers, equally long, as a block: byte by byte, so that what sorted or small numbers share takes no room."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), 1)
+
+
+def unpack(block: bytes, columns: int = 1) -> list[np.ndarray]:
+    """The columns of a block, as uint64."""
+    return [np.ascontiguousarray(c.reshape(8, -1).T).reshape(-1).view(np.uint64) for c in np.split(np.frombuffer(zstandard.decompress(block), np.uint8), columns)]
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as a block of their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(block: bytes) -> np.ndarray:
+    return np.cumsum(unpack(block)[0], dtype=np.uint64)
+
+
+def numbers(x: np.ndarray) -> np.ndarray:
+    """Fractions as integers whose high bytes are alike (the sign comes last)."""
+    i = np.rint(x * FINE).astype(np.int64)
+    return ((i << 1) ^ (i >> 63)).view(np.uint64)
+
+
+def fractions(x: np.ndarray) -> np.ndarray:
+    return ((x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)) / FINE
+
+
+def places(keys: np.ndarray, n: int) -> np.ndarray:
+    """Of n places, ascending with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def by_place(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """(place, its run of sorted keys)."""
+    at = places(keys, n)
+    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+    for f, t in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
+        yield int(at[f]), slice(f, t)
+
+
+_NAMES = ("kind", "place", "source", "a", "b")
+_BLOCKS = "kind int, place bigint, source bigint, a binary, b binary"
+
+
+def _block_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(_NAMES)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=_NAMES)
+
+
+def _entries(kind: int, keys: np.ndarray, values: np.ndarray, n: int) -> list[tuple]:
+    """Rows of keys and their numbers, at the keys' places."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    return [(kind, at, None, pack_keys(keys[i]), pack(values[i])) for at, i in by_place(keys, n)]
+
+
+def _requests(kind: int, keys: np.ndarray, source: int, n: int) -> list[tuple]:
+    """Rows that ask for the numbers of sorted distinct keys."""
+    return [(kind, at, source, pack_keys(keys[i]), None) for at, i in by_place(keys, n)]
+
+
+def _summed(entries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of blocks, sorted, and the sum of the entries of each."""
+    none = np.zeros(0, np.uint64)
+    keys, back = np.unique(np.concatenate([none, *(unpack_keys(x.as_py()) for x in entries["a"])]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([none, *(fractions(unpack(x.as_py())[0]) for x in entries["b"])]), len(keys))
+
+
+def _merged(entries: pa.Table) -> pa.Table:
+    """The entries of a place as one block."""
+    keys, values = _summed(entries)
+    return _block_table([(0, entries["place"][0].as_py(), None, pack_keys(keys), pack(numbers(values)))])
+
+
+def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """A row for each request block: its source and place, and (a) the sums of the entries of each of its keys, 0 where there is none."""
+
+    def find(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values = _summed(known)
+        rows = []
+        for source, place, block in zip(asked["source"].to_pylist(), asked["place"].to_pylist(), asked["a"]):
+            h = unpack_keys(block.as_py())
+            out = np.zeros(len(h))
+            if len(keys):
+                i = np.searchsorted(keys, h)
+                i[i == len(keys)] = 0
+                out = np.where(keys[i] == h, values[i], 0.0)
+            rows.append((0, place, source, pack(numbers(out)), None))
+        return _block_table(rows)
+
+    return requests.groupBy("place").cogroup(entries.groupBy("place")).applyInArrow(find, _BLOCKS)
+
+
+def _answers(table: pa.Table) -> np.ndarray:
+    """The numbers of a source's keys, in the keys' order."""
+    blocks = sorted(zip(table["place"].to_pylist(), table["a"]), key=lambda x: x[0])
+    return np.concatenate([np.zeros(0), *(fractions(unpack(x.as_py())[0]) for _, x in blocks)])
+
+
+class Sieve:
+    """A bit table in front of the keys (a) of blocks: what it rules out isn't there; what it lets pass is looked up."""
+
+    def __init__(self, blocks: DataFrame):
+        n = max(8, math.isqrt(blocks.rdd.getNumPartitions()))
+        marked = arrow_map(blocks.select("a").coalesce(n), _mark, "bits binary").repartition(1)
+        self.block = next((bytes(r[0]) for r in arrow_map(marked, _merge, "bits binary").collect()), None)
+
+    def table(self) -> np.ndarray:
+        return np.zeros(1 << SIEVE - 3, np.uint8) if self.block is None else np.frombuffer(zstandard.decompress(self.block), np.uint8)
+
+
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a sieve for each key."""
+    return (h >> np.uint64(64 - SIEVE)).view(np.int64), (h << np.uint64(SIEVE) >> np.uint64(64 - SIEVE)).view(np.int64)
+
+
+def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = _bits(h)
+    out = (table[a >> 3] >> (a & 7).astype(np.uint8)) & 1 == 1
+    at = np.flatnonzero(out)
+    b = b[at]
+    out[at] = (table[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _mark(batches):
+    """One bit table of the task's keys."""
+    table = None
+    for batch in batches:
+        table = np.zeros(1 << SIEVE - 3, np.uint8) if table is None else table
+        for block in batch.column(0):
+            for at in _bits(unpack_keys(block.as_py())):
+                at = np.sort(at)
+                first = np.flatnonzero(np.r_[True, at[1:] >> 3 != at[:-1] >> 3])
+                table[at[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
+    if table is not None:
+        yield {"bits": [zstandard.compress(table, 1)]}
+
+
+def _merge(batches):
+    out = None
+    for b in batches:
+        for block in b.column(0):
+            out = np.zeros(1 << SIEVE - 3, np.uint8) if out is None else out
+            out |= np.frombuffer(zstandard.decompress(block.as_py()), np.uint8)
+    if out is not None:
+        yield {"bits": [zstandard.compress(out, 1)]}
+
+
+# -- counts
+
+
 def _tally(held: list, into: list):
     """Add up (keys, counts) pairs."""
     key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
@@ -99,84 +286,144 @@ def _count_words(batches):
         yield from _slices({"word": keys.view(np.int64), "count": counts})
 
 
-def _places(h: np.ndarray) -> np.ndarray:
-    return (h >> _SHIFT).astype(np.int64)
+def _word_blocks(n: int):
+    """Entries of each word's count (kind 0), and the words themselves that are repeated (kind 1)."""
 
+    def run(batches):
+        for b in batches:
+            word, count = np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))
+            often = word[count >= LEAST]
+            yield from _block_table([*_entries(0, word_key(word), numbers(count / FINE), n), *([(1, None, None, pack_keys(np.sort(often)), None)] if len(often) else [])]).to_batches(1000)
 
-def _mark(batches):
-    """One bit table of the task's keys."""
-    bits = None
-    for b in batches:
-        bits = np.zeros(BITS, bool) if bits is None else bits
-        bits[_places(np.asarray(b.column(0)).view(np.uint64))] = True
-    if bits is not None:
-        yield {"bits": [zstandard.compress(np.packbits(bits), 1)]}
+    return run
 
 
-def _unpack(blob) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), np.uint8)
+def _count_strings(k: int, sieve: Sieve, n: int):
+    """Blocks of the strings of k tokens whose parts of k - 1 may all be repeated, at their contexts' places.
 
+    a: the contexts, how often each is seen, and how many strings it has; b: the
+    words, suffixes and counts of these strings.
+    """
 
-def _merge(batches):
-    out = None
-    for b in batches:
-        for blob in b.column(0):
-            out = np.zeros(BITS // 8, np.uint8) if out is None else out
-            out |= _unpack(blob.as_py())
-    if out is not None:
-        yield {"bits": [zstandard.compress(out, 1)]}
+    def blocks(held):
+        context, string, word, suffix = (np.concatenate(c) for c in zip(*held))
+        has = string != 0
+        _, first, count = np.unique(string[has], return_index=True, return_counts=True)
+        of, word, suffix = (c[has][first] for c in (context, word, suffix))
+        order = np.argsort(of, kind="stable")
+        of, word, suffix, count = of[order], word[order], suffix[order], count[order]
+        context, seen = np.unique(context, return_counts=True)
+        at = np.searchsorted(of, context)
+        many = np.diff(np.r_[at, len(of)])
+        for place, i in by_place(context, n):
+            j = slice(at[i.start], at[i.stop] if i.stop < len(at) else len(of))
+            yield (0, place, None, pack(context[i], seen[i], many[i]), pack(word[j], suffix[j], count[j]))
 
+    def run(batches):
+        bits, held = None, []
+        for b in batches:
+            bits = sieve.table() if bits is None else bits
+            for _, data, offs in chunks(b.column(0)):
+                s = Stream(data, offs)
+                short, at = s.string(k - 1), s.starts(k)
+                may = _passes(bits, short)
+                at = at[may[at]]
+                if not len(at):
+                    continue
+                word, suffix = s.token[at + k - 1], short[at + 1]
+                held.append((short[at], np.where(may[at + 1], longer(short[at], word), np.uint64(0)), word, suffix))
+                if sum(len(x[0]) for x in held) > 2 * HELD:
+                    yield from _block_table(list(blocks(held))).to_batches(200)
+                    held = []
+        if held:
+            yield from _block_table(list(blocks(held))).to_batches(200)
 
-class Sieve:
-    """A bit table in front of a table of keys: what it rules out isn't there; what it lets pass is joined."""
+    return run
 
-    def __init__(self, keys: DataFrame):
-        marked = arrow_map(keys.coalesce(8), _mark, "bits binary").repartition(1)
-        self.blob = next((bytes(r[0]) for r in arrow_map(marked, _merge, "bits binary").collect()), None)
 
-    def table(self) -> np.ndarray:
-        return np.zeros(BITS // 8, np.uint8) if self.blob is None else _unpack(self.blob)
+def _add_up(k: int, n: int):
+    """From the blocks of a place: one with the strings that are repeated (kind 0), and requests for their suffixes (kind 1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place = table["place"][0].as_py()
+        parts = [(*unpack(a.as_py(), 3), *unpack(b.as_py(), 3)) for a, b in zip(table["a"], table["b"])]
+        context, seen, many, word, suffix, count = (np.concatenate(c) for c in zip(*parts))
+        of = np.repeat(context, many.view(np.int64))
+        _, first, back = np.unique(longer(of, word), return_index=True, return_inverse=True)
+        count = np.bincount(back, count).astype(np.int64)
+        kept = first[count >= LEAST]
+        if not len(kept):
+            return _block_table([])
+        count, of, word, suffix = count[count >= LEAST], of[kept], word[kept], suffix[kept]
+        order = np.argsort(of, kind="stable")
+        state, many = np.unique(of, return_counts=True)
+        context, back = np.unique(context, return_inverse=True)
+        seen = np.bincount(back, seen).astype(np.int64)[np.searchsorted(context, state)]
+        strings = (0, place, place, pack(state, seen, many), pack(word[order], suffix[order], count[order]))
+        return _block_table([strings, *_requests(1, np.unique(_low_key(k, suffix)), place, n)])
 
+    return run
 
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _places(h)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
+def _low_key(k: int, suffix: np.ndarray) -> np.ndarray:
+    return word_key(suffix) if k == 2 else suffix
 
-def _count_strings(k: int, sieve: Sieve):
-    """Rows (string, context, suffix, word, count) of the strings of k tokens whose parts of k - 1 may all be repeated."""
 
-    def add_up(held):
-        string, context, suffix, word, count = (np.concatenate(c) for c in zip(*held))
-        key, first, back = np.unique(string, return_index=True, return_inverse=True)
-        return key, context[first], suffix[first], word[first], np.bincount(back, count).astype(np.int64)
+# -- the tree
 
-    def rows(part):
-        names = ("string", "context", "suffix", "word")
-        return _slices({n: c.view(np.int64) for n, c in zip(names, part)} | {"count": part[4]})
 
-    def run(batches):
-        bits, held = None, []
-        for b in batches:
-            bits = sieve.table() if bits is None else bits
-            for _, data, offs in chunks(b.column(0)):
-                s = Stream(data, offs)
-                may = _passes(bits, s.string(k - 1))
-                at = s.starts(k)
-                at = at[may[at] & may[at + 1]]
-                if not len(at):
-                    continue
-                held.append(add_up([(s.string(k)[at], s.string(k - 1)[at], s.string(k - 1)[at + 1], s.token[at + k - 1], np.ones(len(at)))]))
-                if sum(len(x[0]) for x in held) > HELD:
-                    held = [add_up(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield from rows(held.pop())
-        if held:
-            yield from rows(add_up(held))
+def smooth(count: np.ndarray, of: np.ndarray, seen: np.ndarray, low: np.ndarray):
+    """(p of each string's word in its state, mass that each state leaves to its suffix, whether each state stays).
+
+    count, of: of the strings and their states; seen: of the states; low: the
+    words' probabilities in the suffix states.
+    """
+    n = len(seen)
+    kept = (count - DISCOUNT) / seen[of]
+    mass = np.maximum(1 - np.bincount(of, kept, n), 1e-9)
+    p = kept + mass[of] * low
+    rest = np.maximum(seen - np.bincount(of, count, n), 0)
+    gain = np.bincount(of, count * np.log(p / low), n) + rest * np.log(mass)
+    return p, mass, gain > PRICE * np.bincount(of, minlength=n)
+
+
+def _level(k: int, n: int, total: float):
+    """From the strings of a place and the answers to its requests: probabilities of the strings' words (kind 0), and entries of the tree (kind 1)."""
+
+    def run(strings: pa.Table, answers: pa.Table) -> pa.Table:
+        context, seen, many = unpack(strings["a"][0].as_py(), 3)
+        word, suffix, count = unpack(strings["b"][0].as_py(), 3)
+        of = np.repeat(np.arange(len(context)), many.view(np.int64))
+        _, back = np.unique(_low_key(k, suffix), return_inverse=True)
+        low = _answers(answers)[back]
+        low = (low * FINE + 1) / total if k == 2 else 10**low
+        p, mass, stays = smooth(count.astype(float), of, seen.astype(float), low)
+        string, log = longer(context[of], word), np.log10(p)
+        mine = stays[of]
+        rows = _entries(0, string, numbers(np.where(mine, log, np.log10(low))), n) if k <= DEPTH else []
+        rows += _entries(1, string[mine], numbers((log - np.log10(low * mass[of]))[mine]), n)
+        return _block_table(rows + _entries(1, context[stays], numbers(np.log10(mass[stays])), n))
 
     return run
 
 
+def grow_tree(learn: DataFrame, words: DataFrame, total: float, n: int) -> DataFrame:
+    """The tree's entries and the words' counts, a block for each place; words: those of _word_blocks()."""
+    levels, low, often = [], words.where("kind = 0"), words.where("kind = 1")
+    for k in range(2, DEPTH + 2):
+        found = arrow_map(learn, _count_strings(k, Sieve(often), n), _BLOCKS).groupBy("place").applyInArrow(_add_up(k, n), _BLOCKS)
+        found = stash(found, "strings")
+        answers = lookup(found.where("kind = 1"), low)
+        level = found.where("kind = 0").groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_level(k, n, total), _BLOCKS)
+        levels.append(stash(level, "level"))
+        release(found)
+        low = often = levels[-1].where("kind = 0")
+    entries = functools.reduce(DataFrame.unionAll, levels).where("kind = 1").unionAll(words.where("kind = 0"))
+    tree = stash(entries.groupBy("place").applyInArrow(_merged, _BLOCKS), "tree")
+    release(*levels, words)
+    return tree
+
+
 @dataclass
 class Table:
     """Sorted keys with values, and a bit table in front."""
@@ -236,7 +483,7 @@ class SuffixTree:
 
 
 def build_tree(words: Table, total: float, strings) -> SuffixTree:
-    """Keep the contexts that pass the divergence test, shorter ones first, and smooth; tree_level() in memory.
+    """The tree in memory, walked state by state: the plain form of what the tables hold and add up.
 
     strings: dict of columns (length, string, context, suffix, word, count).
     """
@@ -259,12 +506,7 @@ def build_tree(words: Table, total: float, strings) -> SuffixTree:
         seen = np.ones(len(state))
         i, c = counts.find(state)
         seen[i] = c
-        kept = (count - DISCOUNT) / seen[of]
-        mass = np.maximum(1 - np.bincount(of, kept, len(state)), 1e-9)
-        p = kept + mass[of] * low
-        rest = np.maximum(seen - np.bincount(of, count, len(state)), 0)
-        gain = np.bincount(of, count * np.log(p / low), len(state)) + rest * np.log(mass)
-        stays = gain > PRICE * np.bincount(of, minlength=len(state))
+        p, mass, stays = smooth(count, of, seen, low)
         left[k] = Table(state[stays], np.log10(mass[stays]))
         nxt[k] = Table(string[stays[of]], np.log10(p[stays[of]]))
         shorter = Table(string, np.where(stays[of], p, low))
@@ -272,126 +514,104 @@ def build_tree(words: Table, total: float, strings) -> SuffixTree:
     return SuffixTree(words, total, left, nxt)
 
 
-def tree_level(k: int, strings: DataFrame, counts: DataFrame, shorter: DataFrame | None, total: float) -> DataFrame:
-    """string, context, count, mass, stays, p of the strings with contexts of k words; build_tree() says how.
-
-    counts: word, count; shorter: this of k - 1.
-    """
-    if k == 1:
-        e = strings.join(counts.select(F.col("word").alias("context"), F.col("count").alias("seen")), "context")
-        e = e.join(counts.select("word", ((F.col("count") + 1) / F.lit(total)).alias("low")), "word")
-    else:
-        e = strings.join(shorter.select(F.col("string").alias("context"), F.col("count").alias("seen")), "context")
-        e = e.join(shorter.select(F.col("string").alias("suffix"), F.col("p").alias("low")), "suffix")
-    state = Window.partitionBy("context")
-    e = e.withColumn("kept", (F.col("count") - DISCOUNT) / F.col("seen"))
-    e = e.withColumn("mass", F.greatest(1 - F.sum("kept").over(state), F.lit(1e-9)))
-    e = e.withColumn("p", F.col("kept") + F.col("mass") * F.col("low"))
-    rest = F.greatest(F.col("seen") - F.sum("count").over(state), F.lit(0))
-    gain = F.sum(F.col("count") * F.log(F.col("p") / F.col("low"))).over(state) + rest * F.log("mass")
-    e = e.withColumn("stays", gain > PRICE * F.count("*").over(state))
-    return e.select("string", "context", "count", "mass", "stays", F.when(F.col("stays"), F.col("p")).otherwise(F.col("low")).alias("p"))
-
-
-def grow_tree(learn: DataFrame, counts: DataFrame, total: float) -> DataFrame:
-    """key, next (log10 probability of the string's last word in its state), left (log10 of the mass that the string leaves as a state)."""
-    levels, sieve = [], Sieve(counts.where(F.col("count") >= LEAST).select("word"))
-    for k in range(1, DEPTH + 1):
-        found = arrow_map(learn, _count_strings(k + 1, sieve), "string bigint, context bigint, suffix bigint, word bigint, count bigint")
-        # every row of a string agrees in the other columns
-        found = found.groupBy("string").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("word").alias("word"), F.sum("count").alias("count"))
-        found = stash(found.where(F.col("count") >= LEAST), "strings")
-        levels.append(stash(tree_level(k, found, counts, levels[-1] if levels else None, total), "level"))
-        release(found)
-        if k < DEPTH:
-            sieve = Sieve(levels[-1].select("string"))
-    stays = functools.reduce(DataFrame.unionAll, levels).where("stays")
-    ends = stays.select(F.col("string").alias("key"), F.log10("p").alias("next"), F.lit(None).cast("double").alias("left"))
-    states = stays.groupBy("context").agg(F.log10(F.first("mass")).alias("left")).select(F.col("context").alias("key"), F.lit(None).cast("double").alias("next"), "left")
-    tree = stash(ends.unionAll(states).groupBy("key").agg(F.max("next").alias("next"), F.max("left").alias("left")), "tree")
-    release(*levels)
-    return tree
+# -- scores
 
 
 def _parts(batches):
-    """The rows, dealt to parts of about PART_BYTES of text."""
-    import pyarrow.compute as pc
+    """The rows in blocks (a) of about PART_BYTES of text, each a source."""
     from pyspark import TaskContext
 
-    done, task = 0, TaskContext.get().partitionId() << 32
-    for b in batches:
-        size = np.asarray(pc.binary_length(b.column(3))).astype(np.int64)
-        part = task + (done + np.cumsum(size)) // PART_BYTES
-        done += int(size.sum())
-        yield {"part": part, "doc_id": b.column(0), "held_out": b.column(1), "row_id": b.column(2), "text": b.column(3)}
+    source, held, size = TaskContext.get().partitionId() << 32, [], 0
 
+    def block():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in held:
+                out.write_batch(b)
+        return _block_table([(0, None, source, sink.getvalue().to_pybytes(), None)]).to_batches()[0]
 
-def _needed(sieve: Sieve):
-    """Rows (part, key): the strings of each part that the tree may hold."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(b.column(2))).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = min(b.num_rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES - size, "right"))))
+            held.append(b.slice(at, to - at))
+            size += int(ends[to - 1] - (ends[at - 1] if at else 0))
+            at = to
+            if size >= PART_BYTES or at < b.num_rows:
+                yield block()
+                source, held, size = source + 1, [], 0
+    if held:
+        yield block()
 
-    def rows(part, held):
-        keys = np.unique(np.concatenate(held)).view(np.int64)
-        return _slices({"part": np.full(len(keys), part, np.int64), "key": keys})
 
-    def run(batches):
-        bits, part, held = None, None, []
+def _streams(block: bytes):
+    """(Stream, doc_id, held_out) of the chunks of a part."""
+    with pa.ipc.open_stream(block) as batches:
         for b in batches:
-            bits = sieve.table() if bits is None else bits
-            of = np.asarray(b.column(0))
-            cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if held and of[lo] != part:
-                    yield from rows(part, held)
-                    held = []
-                part = int(of[lo])
-                for _, data, offs in chunks(b.column(1).slice(lo, hi - lo)):
-                    s = Stream(data, offs)
-                    for k in range(1, DEPTH + 2):
-                        h = np.unique(s.string(k)[s.starts(k)])
-                        held.append(h[_passes(bits, h)])
-        if held:
-            yield from rows(part, held)
+            for at, data, offs in chunks(b.column(2)):
+                s = Stream(data, offs)
+                yield s, b.column(0).slice(at, s.rows), b.column(1).slice(at, s.rows)
 
-    return run
 
+def _asked(s: Stream, listed: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token, key) of the entries that a chunk may have: counts of words that aren't listed first, then strings."""
+    at = np.flatnonzero(~listed)
+    yield at, word_key(s.token[at])
+    for k in range(1, DEPTH + 2):
+        at = s.starts(k)
+        h = s.string(k)[at]
+        may = _passes(table, h)
+        yield at[may], h[may]
 
-def _score(words: Table, total: float):
-    import pyarrow as pa
 
-    def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        def table(name):
-            x = entries.filter(entries[name].is_valid())
-            return Table(np.asarray(x["key"]).view(np.uint64), np.asarray(x[name]).astype(float))
+def _listed(words: Table, s: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token's word is among the words, and its count."""
+    listed, count = np.zeros(len(s.token), bool), np.zeros(len(s.token))
+    at, c = words.find(s.token)
+    listed[at], count[at] = True, c
+    return listed, count
 
-        left, nxt = table("left"), table("next")
-        tree = SuffixTree(words, total, dict.fromkeys(range(1, DEPTH + 1), left), dict.fromkeys(range(1, DEPTH + 1), nxt))
-        seen, out = set(), []
-        for b in texts.to_batches():
-            row_id = np.asarray(b["row_id"])
-            for at, data, offs in chunks(b["text"]):
-                s = Stream(data, offs)
-                score, base, listed, known = tree.walk(s)
-                part = slice(at, at + s.rows)
-                ids = row_id[part]
-                new = np.array([not (x in seen or seen.add(x)) for x in ids.tolist()])
-                cut = s.first[:-1]
-                cols = {
-                    "doc_id": b["doc_id"][part], "held_out": b["held_out"][part], "row_id": ids, "n_tokens": s.count, "n_known": np.add.reduceat(listed, cut, dtype=np.int64),
-                    "base": np.add.reduceat(base, cut), "score": np.add.reduceat(score, cut), "first": new.astype(np.int32), "words": _unlisted(s, listed | known, new), "in_tree": _unlisted(s, listed | ~known, new),
-                }
-                out.append(pa.table({n: c if isinstance(c, pa.Array) else pa.array(c) for n, c in cols.items()}))
-        return pa.concat_tables(out)
+
+def _ask(words: Table, sieve: Sieve, n: int):
+    """Requests for all entries that a part may need."""
+
+    def run(batches):
+        table = None
+        for b in batches:
+            table = sieve.table() if table is None else table
+            for source, block in zip(b.column(0).to_pylist(), b.column(1)):
+                found = [np.unique(np.concatenate([h for _, h in _asked(s, _listed(words, s)[0], table)])) for s, _, _ in _streams(block.as_py())]
+                yield from _block_table(_requests(0, np.unique(np.concatenate(found)), source, n)).to_batches(1000)
 
     return run
 
 
-def _unlisted(s: Stream, listed: np.ndarray, wanted: np.ndarray):
-    """Per row the words that aren't listed, repeats and all; none for rows that aren't wanted."""
-    import pyarrow as pa
+def _score(words: Table, total: float, sieve: Sieve):
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        table, held, keys = sieve.table(), [], []
+        for s, doc_id, held_out in _streams(texts["a"][0].as_py()):
+            listed, count = _listed(words, s)
+            asked = list(_asked(s, listed, table))
+            own, back = np.unique(np.concatenate([h for _, h in asked]), return_inverse=True)
+            row = np.concatenate([s.row[at] for at, _ in asked]).astype(np.int32)
+            sums = np.add.reduceat(np.log10(count + 1), s.first[:-1]), np.add.reduceat(listed, s.first[:-1], dtype=np.int64)
+            held.append((doc_id, held_out, s.count, *sums, len(asked[0][0]), row, back.astype(np.int32)))
+            keys.append(own)
+        every, value, out = np.unique(np.concatenate(keys)), _answers(answers), []
+        for own, (doc_id, held_out, tokens, base, known, n_words, row, back) in zip(keys, held):
+            x, n = value[np.searchsorted(every, own)][back], len(tokens)
+            c = np.rint(x[:n_words] * FINE)  # counts of words
+            base = base + np.bincount(row[:n_words], np.log10(c + 1), n) - tokens * math.log10(total)
+            known = known + np.bincount(row[:n_words][c > 0], minlength=n)
+            score = base + np.bincount(row[n_words:], x[n_words:], n)
+            out.append(pa.table([doc_id, held_out, *(pa.array(a) for a in (tokens, known, base, score))], schema=schema))
+        trim()
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    i = np.flatnonzero(~listed & wanted[s.row])
-    n = np.bincount(s.row[i], minlength=s.rows)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(s.token[i].view(np.int64)))
+    return run
 
 
 def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
@@ -402,41 +622,31 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     base_score sums log10((c + 1) / (N + V + 1)) over the tokens, c being the
     token's count in training, N all training tokens, V the distinct ones; score
     is the tree's log10 probability.  Null and empty texts have the end alone.
-    Repeated rows stay.  Without training rows every token is unknown and both
-    scores are 0.  Words are told apart by 64-bit hashes.
+    Repeated rows stay, and get one score.  Without training rows every token is
+    unknown and both scores are 0; an empty table gives no rows.  A text of any
+    length is scored whole, in chunks only between texts.  Extra columns are
+    ignored.  Words and strings are told apart by 64-bit hashes; the tree's
+    numbers are exact to 2**-28.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(~training, F.lit(True)).alias("held_out"), "text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(~training, F.lit(True)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     learn = texts.where(~F.col("held_out")).select("text")
     counts = stash(arrow_map(learn, _count_words, "word bigint, count bigint").groupBy("word").agg(F.sum("count").alias("count")), "counts")
-    total, distinct = counts.agg(F.sum("count"), F.count("*")).first()
-    total = total or 0
-    known = counts.where(F.col("count") >= WORD_SHARE * total).toArrow()
-    words = Table(np.asarray(known["word"]).view(np.uint64), np.asarray(known["count"]).astype(float))
-    tree = grow_tree(learn, counts, total + distinct + 1.0)
-
-    row_id = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
-    parts = arrow_map(texts.select("doc_id", "held_out", row_id, F.coalesce("text", F.lit(""))), _parts, "part bigint, doc_id bigint, held_out boolean, row_id bigint, text string")
-    parts = stash(parts, "parts")
-    needed = arrow_map(parts.select("part", "text"), _needed(Sieve(tree.select("key"))), "part bigint, key bigint")
-    entries = needed.distinct().join(tree, "key")
-    scored = parts.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(
-        _score(words, total + distinct + 1.0),
-        "doc_id bigint, held_out boolean, row_id bigint, n_tokens bigint, n_known bigint, base double, score double, first int, words array<bigint>, in_tree array<bigint>",
-    )
-    scored = stash(scored, "scored")
-    release(tree, parts)
-    # of equal rows only the first of a part hands its words on; their sums are divided by how many did
-    rare = scored.where("first = 1").select("row_id", F.size("words").alias("n_open"), F.posexplode(F.concat("words", "in_tree")).alias("at", "word"))
-    rare = rare.join(counts.where(F.col("count") < WORD_SHARE * total), "word", "left")
-    log = F.log10(F.coalesce("count", F.lit(0)) + 1)
-    # a word that a state knows has its frequency in the score already
-    rare = rare.groupBy("row_id").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("at") < F.col("n_open"), log).otherwise(0.0)).alias("open"), F.sum(F.when(F.col("count") > 0, 1).otherwise(0)).alias("known"))
-    times = scored.groupBy("row_id").agg(F.sum("first").alias("times"))
-    rare = rare.join(times, "row_id").select("row_id", (F.col("more") / F.col("times")).alias("more"), (F.col("open") / F.col("times")).alias("open"), (F.col("known") / F.col("times")).cast("bigint").alias("known"))
-    return scored.join(rare, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("open", F.lit(0.0))).alias("score"),
-    )
+    tokens, distinct = counts.agg(F.sum("count"), F.count("*")).first()
+    tokens = tokens or 0
+    total, n = tokens + distinct + 1.0, max(PLACES, tokens // PLACE_TOKENS)
+    often = counts.where(F.col("count") >= WORD_SHARE * tokens).toArrow()
+    often = Table(np.asarray(often["word"]).view(np.uint64), np.asarray(often["count"]).astype(float))
+    words = stash(arrow_map(counts, _word_blocks(n), _BLOCKS), "words")
+    release(counts)
+    tree = grow_tree(learn, words, total, n)
+    sieve = Sieve(tree)
+
+    parts = stash(arrow_map(texts, _parts, _BLOCKS), "parts")
+    asked = arrow_map(parts.select("source", "a"), _ask(often, sieve, n), _BLOCKS)
+    answers = stash(lookup(asked, tree), "answers")
+    release(tree)
+    scored = parts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(often, total, sieve), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op2_suffix_tree(spark, sf_dir):
