@@ -31,10 +31,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.blocks import Sieve, distinct, grouped, pack, pack_keys, passes, steps, unpack, unpack_keys
 from quarry.llm.spark import arrow_map, crc_mod, documents, release, stash, trim
 from quarry.llm.text import Words, chunks, mix
 
@@ -48,13 +48,13 @@ PART_BYTES = 16 << 20
 PLACE_TOKENS = 1 << 20
 #: Places of a table, at least.
 PLACES = 64
+#: Turns in which the parts ask for their entries.
+TURNS = 2
 #: Share of all training tokens of the words whose counts every task holds (at most 1 / WORD_SHARE); others are looked up.
 WORD_SHARE = 1e-6
 DISCOUNT = 0.75
 #: Nats of training likelihood that a context must gain for each of its entries.
 PRICE = 5.0
-#: Binary logarithm of the bits of a sieve.
-SIEVE = 28
 #: The numbers of entries are whole multiples of one over this; counts come divided by it.
 FINE = 2.0**27
 #: The token that ends every text.
@@ -100,26 +100,7 @@ class Stream:
         return np.flatnonzero(self.row[: max(0, len(self.row) - k + 1)] == self.row[k - 1 :])
 
 
-# -- packed blocks
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 8-byte numbers, equally long, as a block: byte by byte, so that what sorted or small numbers share takes no room."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), 1)
-
-
-def unpack(block: bytes, columns: int = 1) -> list[np.ndarray]:
-    """The columns of a block, as uint64."""
-    return [np.ascontiguousarray(c.reshape(8, -1).T).reshape(-1).view(np.uint64) for c in np.split(np.frombuffer(zstandard.decompress(block), np.uint8), columns)]
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys, as a block of their differences."""
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_keys(block: bytes) -> np.ndarray:
-    return np.cumsum(unpack(block)[0], dtype=np.uint64)
+# -- blocks
 
 
 def numbers(x: np.ndarray) -> np.ndarray:
@@ -169,8 +150,10 @@ def _requests(kind: int, keys: np.ndarray, source: int, n: int) -> list[tuple]:
 def _summed(entries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of blocks, sorted, and the sum of the entries of each."""
     none = np.zeros(0, np.uint64)
-    keys, back = np.unique(np.concatenate([none, *(unpack_keys(x.as_py()) for x in entries["a"])]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([none, *(fractions(unpack(x.as_py())[0]) for x in entries["b"])]), len(keys))
+    keys = np.concatenate([none, *(unpack_keys(x.as_py()) for x in entries["a"])])
+    values = np.concatenate([none, *(fractions(unpack(x.as_py())[0]) for x in entries["b"])])
+    order, first, _ = grouped(keys)
+    return keys[order[first]], np.add.reduceat(values[order], first) if len(first) else values
 
 
 def _merged(entries: pa.Table) -> pa.Table:
@@ -204,63 +187,14 @@ def _answers(table: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0), *(fractions(unpack(x.as_py())[0]) for _, x in blocks)])
 
 
-class Sieve:
-    """A bit table in front of the keys (a) of blocks: what it rules out isn't there; what it lets pass is looked up."""
-
-    def __init__(self, blocks: DataFrame):
-        n = max(8, math.isqrt(blocks.rdd.getNumPartitions()))
-        marked = arrow_map(blocks.select("a").coalesce(n), _mark, "bits binary").repartition(1)
-        self.block = next((bytes(r[0]) for r in arrow_map(marked, _merge, "bits binary").collect()), None)
-
-    def table(self) -> np.ndarray:
-        return np.zeros(1 << SIEVE - 3, np.uint8) if self.block is None else np.frombuffer(zstandard.decompress(self.block), np.uint8)
-
-
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of a sieve for each key."""
-    return (h >> np.uint64(64 - SIEVE)).view(np.int64), (h << np.uint64(SIEVE) >> np.uint64(64 - SIEVE)).view(np.int64)
-
-
-def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _bits(h)
-    out = (table[a >> 3] >> (a & 7).astype(np.uint8)) & 1 == 1
-    at = np.flatnonzero(out)
-    b = b[at]
-    out[at] = (table[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-    return out
-
-
-def _mark(batches):
-    """One bit table of the task's keys."""
-    table = None
-    for batch in batches:
-        table = np.zeros(1 << SIEVE - 3, np.uint8) if table is None else table
-        for block in batch.column(0):
-            for at in _bits(unpack_keys(block.as_py())):
-                at = np.sort(at)
-                first = np.flatnonzero(np.r_[True, at[1:] >> 3 != at[:-1] >> 3])
-                table[at[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
-    if table is not None:
-        yield {"bits": [zstandard.compress(table, 1)]}
-
-
-def _merge(batches):
-    out = None
-    for b in batches:
-        for block in b.column(0):
-            out = np.zeros(1 << SIEVE - 3, np.uint8) if out is None else out
-            out |= np.frombuffer(zstandard.decompress(block.as_py()), np.uint8)
-    if out is not None:
-        yield {"bits": [zstandard.compress(out, 1)]}
-
-
 # -- counts
 
 
 def _tally(held: list, into: list):
     """Add up (keys, counts) pairs."""
-    key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    into[:] = [(key, np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64))]
+    key, count = (np.concatenate(c) for c in zip(*held))
+    order, first, _ = grouped(key)
+    into[:] = [(key[order[first]], np.add.reduceat(count[order], first))]
 
 
 def _slices(columns: dict, step: int = 100_000):
@@ -298,75 +232,114 @@ def _word_blocks(n: int):
     return run
 
 
-def _count_strings(k: int, sieve: Sieve, n: int):
-    """Blocks of the strings of k tokens whose parts of k - 1 may all be repeated, at their contexts' places.
+def _coded(words: Table, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as their numbers in a table (from 1), 0 for others; and these others."""
+    code = np.zeros(len(x), np.uint64)
+    i, at = words.places(x)
+    code[i] = at + 1
+    return code, x[code == 0]
+
+
+def _decoded(words: Table, code: np.ndarray, others: np.ndarray) -> np.ndarray:
+    out = np.empty(len(code), np.uint64)
+    listed = code > 0
+    out[listed] = words.keys[code[listed].view(np.int64) - 1]
+    out[~listed] = others
+    return out
+
 
-    a: the contexts, how often each is seen, and how many strings it has; b: the
-    words, suffixes and counts of these strings.
+def _string_block(k: int, words: Table, place: int, source, states: tuple, strings: tuple) -> tuple:
+    """A row with strings of k tokens.
+
+    states: sorted contexts, how often each is seen, how many strings it has,
+    and, of those that have any, the tail (the context without its first token);
+    strings: the words after the contexts, and their counts.
     """
+    context, seen, many, tail = states
+    tail = () if k == 2 else _coded(words, tail) if k == 3 else (tail,)
+    return 0, place, source, pack(steps(context), seen, many, *tail), pack(*_coded(words, strings[0]), strings[1])
+
+
+def _strings(k: int, words: Table, a: bytes, b: bytes) -> tuple:
+    """(contexts, seen, many; of each string: context, tail, word, count) of a block."""
+    context, seen, many, *tail = unpack(a)
+    context, seen, many = np.cumsum(context, dtype=np.uint64), seen.view(np.int64), many.view(np.int64)
+    code, others, count = unpack(b)
+    has = many > 0
+    tail = np.zeros(has.sum(), np.uint64) if k == 2 else _decoded(words, *tail) if k == 3 else tail[0]
+    return context, seen, many, np.repeat(context, many), np.repeat(tail, many[has]), _decoded(words, code, others), count.view(np.int64)
+
+
+def _count_strings(k: int, sieve: Sieve, words: Table, n: int):
+    """Blocks of the strings of k tokens whose parts of k - 1 may all be repeated, at their contexts' places."""
 
     def blocks(held):
-        context, string, word, suffix = (np.concatenate(c) for c in zip(*held))
-        has = string != 0
-        _, first, count = np.unique(string[has], return_index=True, return_counts=True)
-        of, word, suffix = (c[has][first] for c in (context, word, suffix))
-        order = np.argsort(of, kind="stable")
-        of, word, suffix, count = of[order], word[order], suffix[order], count[order]
-        context, seen = np.unique(context, return_counts=True)
+        context, string, word, tail = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        has = np.flatnonzero(string)
+        order, first, count = grouped(string[has])
+        pick = has[order[first]]
+        pick = pick[by := np.argsort(context[pick])]
+        of, word, tail, count = context[pick], word[pick], tail[pick] if k > 2 else word[pick], count[by]
+        order, first, seen = grouped(context)
+        context = context[order[first]]
         at = np.searchsorted(of, context)
         many = np.diff(np.r_[at, len(of)])
         for place, i in by_place(context, n):
             j = slice(at[i.start], at[i.stop] if i.stop < len(at) else len(of))
-            yield (0, place, None, pack(context[i], seen[i], many[i]), pack(word[j], suffix[j], count[j]))
+            own = at[i][many[i] > 0]
+            yield _string_block(k, words, place, None, (context[i], seen[i], many[i], tail[own]), (word[j], count[j]))
 
     def run(batches):
-        bits, held = None, []
+        held = []
         for b in batches:
-            bits = sieve.table() if bits is None else bits
+            bits = sieve.table()
             for _, data, offs in chunks(b.column(0)):
                 s = Stream(data, offs)
                 short, at = s.string(k - 1), s.starts(k)
-                may = _passes(bits, short)
+                may = passes(bits, short)
                 at = at[may[at]]
                 if not len(at):
                     continue
-                word, suffix = s.token[at + k - 1], short[at + 1]
-                held.append((short[at], np.where(may[at + 1], longer(short[at], word), np.uint64(0)), word, suffix))
-                if sum(len(x[0]) for x in held) > 2 * HELD:
+                word = s.token[at + k - 1]
+                string = np.where(may[at + 1], longer(short[at], word), np.uint64(0))
+                held.append((short[at], string, word, s.string(k - 2)[at + 1] if k > 2 else word[:0]))
+                if sum(len(x[0]) for x in held) > HELD * 3 // 2:
                     yield from _block_table(list(blocks(held))).to_batches(200)
-                    held = []
         if held:
             yield from _block_table(list(blocks(held))).to_batches(200)
 
     return run
 
 
-def _add_up(k: int, n: int):
+def _add_up(k: int, words: Table, n: int):
     """From the blocks of a place: one with the strings that are repeated (kind 0), and requests for their suffixes (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         place = table["place"][0].as_py()
-        parts = [(*unpack(a.as_py(), 3), *unpack(b.as_py(), 3)) for a, b in zip(table["a"], table["b"])]
-        context, seen, many, word, suffix, count = (np.concatenate(c) for c in zip(*parts))
-        of = np.repeat(context, many.view(np.int64))
-        _, first, back = np.unique(longer(of, word), return_index=True, return_inverse=True)
-        count = np.bincount(back, count).astype(np.int64)
-        kept = first[count >= LEAST]
-        if not len(kept):
+        parts = [_strings(k, words, a.as_py(), b.as_py()) for a, b in zip(table["a"], table["b"])]
+        context, seen, _, of, tail, word, count = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order, first, _ = grouped(longer(of, word))
+        count = np.add.reduceat(count[order], first) if len(first) else count
+        kept = count >= LEAST
+        pick, count = order[first[kept]], count[kept]
+        if not len(pick):
             return _block_table([])
-        count, of, word, suffix = count[count >= LEAST], of[kept], word[kept], suffix[kept]
-        order = np.argsort(of, kind="stable")
-        state, many = np.unique(of, return_counts=True)
-        context, back = np.unique(context, return_inverse=True)
-        seen = np.bincount(back, seen).astype(np.int64)[np.searchsorted(context, state)]
-        strings = (0, place, place, pack(state, seen, many), pack(word[order], suffix[order], count[order]))
-        return _block_table([strings, *_requests(1, np.unique(_low_key(k, suffix)), place, n)])
+        pick, count = pick[by := np.argsort(of[pick])], count[by]
+        of, word, tail = of[pick], word[pick], tail[pick]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        order, start, _ = grouped(context)
+        seen = np.add.reduceat(seen[order], start)[np.searchsorted(context[order[start]], of[first])]
+        strings = _string_block(k, words, place, place, (of[first], seen, np.diff(np.r_[first, len(of)]), tail[first]), (word, count))
+        return _block_table([strings, *_requests(1, distinct(_low_key(k, tail, word)), place, n)])
 
     return run
 
 
-def _low_key(k: int, suffix: np.ndarray) -> np.ndarray:
-    return word_key(suffix) if k == 2 else suffix
+def _low_key(k: int, tail: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The keys of the strings' suffixes: words have their counts, longer ones their probabilities."""
+    return word_key(word) if k == 2 else longer(tail, word)
 
 
 # -- the tree
@@ -387,18 +360,17 @@ def smooth(count: np.ndarray, of: np.ndarray, seen: np.ndarray, low: np.ndarray)
     return p, mass, gain > PRICE * np.bincount(of, minlength=n)
 
 
-def _level(k: int, n: int, total: float):
+def _level(k: int, words: Table, n: int, total: float):
     """From the strings of a place and the answers to its requests: probabilities of the strings' words (kind 0), and entries of the tree (kind 1)."""
 
     def run(strings: pa.Table, answers: pa.Table) -> pa.Table:
-        context, seen, many = unpack(strings["a"][0].as_py(), 3)
-        word, suffix, count = unpack(strings["b"][0].as_py(), 3)
-        of = np.repeat(np.arange(len(context)), many.view(np.int64))
-        _, back = np.unique(_low_key(k, suffix), return_inverse=True)
+        context, seen, many, named, tail, word, count = _strings(k, words, strings["a"][0].as_py(), strings["b"][0].as_py())
+        of = np.repeat(np.arange(len(context)), many)
+        _, back = np.unique(_low_key(k, tail, word), return_inverse=True)
         low = _answers(answers)[back]
         low = (low * FINE + 1) / total if k == 2 else 10**low
         p, mass, stays = smooth(count.astype(float), of, seen.astype(float), low)
-        string, log = longer(context[of], word), np.log10(p)
+        string, log = longer(named, word), np.log10(p)
         mine = stays[of]
         rows = _entries(0, string, numbers(np.where(mine, log, np.log10(low))), n) if k <= DEPTH else []
         rows += _entries(1, string[mine], numbers((log - np.log10(low * mass[of]))[mine]), n)
@@ -407,14 +379,14 @@ def _level(k: int, n: int, total: float):
     return run
 
 
-def grow_tree(learn: DataFrame, words: DataFrame, total: float, n: int) -> DataFrame:
-    """The tree's entries and the words' counts, a block for each place; words: those of _word_blocks()."""
+def grow_tree(learn: DataFrame, words: DataFrame, listed: Table, total: float, n: int) -> DataFrame:
+    """The tree's entries and the words' counts, a block for each place; words: those of _word_blocks(); listed: the words that every task holds."""
     levels, low, often = [], words.where("kind = 0"), words.where("kind = 1")
     for k in range(2, DEPTH + 2):
-        found = arrow_map(learn, _count_strings(k, Sieve(often), n), _BLOCKS).groupBy("place").applyInArrow(_add_up(k, n), _BLOCKS)
+        found = arrow_map(learn, _count_strings(k, Sieve(often), listed, n), _BLOCKS).groupBy("place").applyInArrow(_add_up(k, listed, n), _BLOCKS)
         found = stash(found, "strings")
         answers = lookup(found.where("kind = 1"), low)
-        level = found.where("kind = 0").groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_level(k, n, total), _BLOCKS)
+        level = found.where("kind = 0").groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_level(k, listed, n, total), _BLOCKS)
         levels.append(stash(level, "level"))
         release(found)
         low = often = levels[-1].where("kind = 0")
@@ -439,13 +411,18 @@ class Table:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(indexes of h that are known, their values)."""
+        i, at = self.places(h)
+        return i, self.values[at]
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indexes of h that are known, their places among the keys)."""
         if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         i = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.keys, h[i])
         at[at == len(self.keys)] = 0
         hit = self.keys[at] == h[i]
-        return i[hit], self.values[at[hit]]
+        return i[hit], at[hit]
 
 
 @dataclass
@@ -561,7 +538,7 @@ def _asked(s: Stream, listed: np.ndarray, table: np.ndarray) -> Iterator[tuple[n
     for k in range(1, DEPTH + 2):
         at = s.starts(k)
         h = s.string(k)[at]
-        may = _passes(table, h)
+        may = passes(table, h)
         yield at[may], h[may]
 
 
@@ -577,12 +554,11 @@ def _ask(words: Table, sieve: Sieve, n: int):
     """Requests for all entries that a part may need."""
 
     def run(batches):
-        table = None
         for b in batches:
-            table = sieve.table() if table is None else table
+            table = sieve.table()
             for source, block in zip(b.column(0).to_pylist(), b.column(1)):
-                found = [np.unique(np.concatenate([h for _, h in _asked(s, _listed(words, s)[0], table)])) for s, _, _ in _streams(block.as_py())]
-                yield from _block_table(_requests(0, np.unique(np.concatenate(found)), source, n)).to_batches(1000)
+                found = [distinct(np.concatenate([h for _, h in _asked(s, _listed(words, s)[0], table)])) for s, _, _ in _streams(block.as_py())]
+                yield from _block_table(_requests(0, distinct(np.concatenate(found)), source, n)).to_batches(1000)
 
     return run
 
@@ -600,7 +576,7 @@ def _score(words: Table, total: float, sieve: Sieve):
             sums = np.add.reduceat(np.log10(count + 1), s.first[:-1]), np.add.reduceat(listed, s.first[:-1], dtype=np.int64)
             held.append((doc_id, held_out, s.count, *sums, len(asked[0][0]), row, back.astype(np.int32)))
             keys.append(own)
-        every, value, out = np.unique(np.concatenate(keys)), _answers(answers), []
+        every, value, out = distinct(np.concatenate(keys)), _answers(answers), []
         for own, (doc_id, held_out, tokens, base, known, n_words, row, back) in zip(keys, held):
             x, n = value[np.searchsorted(every, own)][back], len(tokens)
             c = np.rint(x[:n_words] * FINE)  # counts of words
@@ -638,12 +614,15 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     often = Table(np.asarray(often["word"]).view(np.uint64), np.asarray(often["count"]).astype(float))
     words = stash(arrow_map(counts, _word_blocks(n), _BLOCKS), "words")
     release(counts)
-    tree = grow_tree(learn, words, total, n)
+    tree = grow_tree(learn, words, often, total, n)
     sieve = Sieve(tree)
 
     parts = stash(arrow_map(texts, _parts, _BLOCKS), "parts")
-    asked = arrow_map(parts.select("source", "a"), _ask(often, sieve, n), _BLOCKS)
-    answers = stash(lookup(asked, tree), "answers")
+    answers = []
+    for turn in range(TURNS):  # each time a part of the requests lies about
+        asked = parts.where(F.pmod(F.xxhash64("source"), F.lit(TURNS)) == turn).select("source", "a")
+        answers.append(stash(lookup(arrow_map(asked, _ask(often, sieve, n), _BLOCKS), tree), "answers"))
+    answers = functools.reduce(DataFrame.unionAll, answers)
     release(tree)
     scored = parts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(often, total, sieve), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
