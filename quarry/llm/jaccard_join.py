@@ -13,6 +13,8 @@ index keys meet are verified on their whole texts.  No link is lost.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -30,8 +32,10 @@ _SHIFT = np.uint64(64 - 22)
 BITS = 1024
 #: Members up to which all pairs of an index key are taken at once.
 SMALL = 8
-#: Rows of an index key that are held at once.
+#: Distinct sets of an index key that are held at once.
 RUN = 200_000
+#: Members of a key that the second round compares in one place; larger keys are split into blocks of about so many.
+BLOCK = 2048
 #: Members of a larger index key that all others are compared with first.
 HUBS = 2
 #: Texts that one verification group compares with its hub.
@@ -118,7 +122,8 @@ def _merge(batches):
 
 def frequent_tokens(counts: DataFrame) -> np.ndarray:
     """Per counter 0 for rare tokens, else the binary order of magnitude; counts are merged in two steps before the driver adds four."""
-    parts = arrow_map(arrow_map(counts.coalesce(64), _merge, "counts binary").repartition(4), _merge, "counts binary").collect()
+    n = max(8, math.isqrt(counts.rdd.getNumPartitions()))
+    parts = arrow_map(arrow_map(counts.coalesce(n), _merge, "counts binary").repartition(4), _merge, "counts binary").collect()
     total = sum((_unpack(r[0]).astype(np.float64) for r in parts), np.zeros(COUNTERS))
     mean = total.mean()
     above = total - (mean + 4 * np.sqrt(mean) + 4)
@@ -178,15 +183,26 @@ def _index(frequent):
     return run
 
 
-def _groups(batches, columns, most=None):
-    """Runs of whole keys from batches sorted by the first column, as numpy columns.
+def _distinct(batches, columns):
+    """Sorted batches as numpy columns, each (key, ..., cls) once: a task sends a class once, so a key has it as often as tasks do."""
+    key = cls = None
+    for b in batches:
+        now = [np.asarray(b.column(i)) for i in range(columns)]
+        if not len(now[0]):
+            continue
+        new = np.r_[(key, cls) != (now[0][0], now[-1][0]), (now[0][1:] != now[0][:-1]) | (now[-1][1:] != now[-1][:-1])]
+        key, cls = now[0][-1], now[-1][-1]
+        yield [x[new] for x in now]
+
+
+def _groups(batches, most=None):
+    """Runs of whole keys from numpy columns sorted by the first.
 
     With ``most``, a key of more rows comes in several runs, alone in all but the
     last of them.
     """
     held: list = []  # the last key, which may go on
-    for b in batches:
-        now = b if isinstance(b, list) else [np.asarray(b.column(i)) for i in range(columns)]
+    for now in batches:
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1], "left"))
@@ -212,17 +228,15 @@ def _meet(batches):
 
     All pairs of a small key; of a larger one the pairs with its first HUBS
     members.  These have the fewest rare tokens: among edited copies the one that
-    the others were made from, to which each is nearer than to the rest.
+    the others were made from, to which each is nearer than to the rest.  A run
+    of a key that goes on has more than RUN distinct members, so all of them are kept.
     """
     last, hubs_n, hubs_cls = None, None, None
-    for key, _, n, cls in _groups(batches, 4, RUN):
+    for key, _, n, cls in _groups(_distinct(batches, 4), max(RUN, SMALL)):
         n = n.astype(np.int64)
         goes_on, goes_on_key = len(key) > 0 and key[0] == last, last
         if goes_on:  # a very large key: its hubs come again in front of its next members
             key, n, cls = np.r_[np.full(len(hubs_n), last), key], np.r_[hubs_n, n], np.r_[hubs_cls, cls]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, n, cls = key[new], n[new], cls[new]
         if len(key):
             f = int(np.searchsorted(key, key[-1], "left"))
             last, hubs_n, hubs_cls = key[-1], n[f : f + HUBS], cls[f : f + HUBS]
@@ -258,21 +272,27 @@ def _meet(batches):
 
 
 def _across(batches):
-    """From rows (key, comp, n, cls, bits) sorted by the first four: the pairs of a key that lie in different components and may link."""
-    folded = ([*(np.asarray(b.column(i)) for i in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)] for b in batches if b.num_rows)
-    for key, comp, n, cls, bits in _groups(folded, 5):
-        cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+    """From rows (unit, side, comp, n, cls, bits) sorted by the first five: the pairs of a unit that lie in different components and may link.
+
+    Where a unit has two sides, only pairs across them.
+    """
+    rows = ([*(np.asarray(b.column(i)) for i in range(5)), np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(b.num_rows, -1)] for b in batches if b.num_rows)
+    for unit, side, comp, n, cls, bits in _groups(rows):
+        cuts = np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(unit)]
         a, b, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for f, t in zip(cuts[:-1], cuts[1:]):
-            edge = np.r_[f + np.flatnonzero(np.r_[True, comp[f + 1 : t] != comp[f : t - 1]]), t]
-            for x, y in zip(edge[:-2], edge[1:-1]):  # members of a component against all that come after
-                for i in range(x, y):
-                    j = y + np.flatnonzero(may_link(n[i], bits[i], n[y:t], bits[y:t]))
-                    a.append(np.minimum(cls[i], cls[j])), b.append(np.maximum(cls[i], cls[j]))
-                    waiting += len(j)
-                    if waiting > 200_000:
-                        yield _unique_pairs(a, b)
-                        a, b, waiting = [], [], 0
+            half = f + int(np.searchsorted(side[f:t], 1))
+            whole = half in (f, t)
+            edge = np.r_[f + np.flatnonzero(np.r_[True, comp[f + 1 : t] != comp[f : t - 1]]), t] if whole else None
+            for i in range(f, t if whole else half):
+                start = int(edge[np.searchsorted(edge, i, "right")]) if whole else half  # members of a component against all that come after
+                j = start + np.flatnonzero(may_link(n[i], bits[i], n[start:t], bits[start:t]))
+                j = j if whole else j[comp[j] != comp[i]]
+                a.append(np.minimum(cls[i], cls[j])), b.append(np.maximum(cls[i], cls[j]))
+                waiting += len(j)
+                if waiting > 200_000:
+                    yield _unique_pairs(a, b)
+                    a, b, waiting = [], [], 0
         if waiting:
             yield _unique_pairs(a, b)
 
@@ -357,6 +377,22 @@ def linked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def _units(members: DataFrame) -> DataFrame:
+    """unit, side, comp, n, cls: members of a key that are to be compared in one place.
+
+    A key of at most BLOCK members is one unit.  A larger one is dealt to blocks
+    by class, and each two blocks (or one with itself) are a unit, so that any
+    two members meet, and no unit outgrows two blocks.
+    """
+    large = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    large = stash(large, "large")
+    blocks = members.join(F.broadcast(large) if large.count() <= BROADCAST else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("cls"), F.col("blocks")), F.col("other")
+    out = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return out.select(unit.alias("unit"), F.when(F.col("own") > other, 1).otherwise(0).alias("side"), "comp", "n", "cls")
+
+
 def set_components(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n (tokens), cls (of equal sets), component (its least class; null without tokens) of each row."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
@@ -375,9 +411,11 @@ def set_components(docs: DataFrame) -> DataFrame:
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     # sets beyond BITS tokens have small bitmaps of their own for this
     one = rows.groupBy("cls").agg(F.first(F.coalesce("small", "bits")).alias("bits"))
-    members = members.join(mixed, "key", "left_semi").join(one, "cls").select("key", "comp", F.col("n").cast("bigint").alias("n"), "cls", "bits")
-    members = members.repartition("key").sortWithinPartitions("key", "comp", "n", "cls")
-    more = stash(arrow_map(members, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    members = stash(members.join(mixed, "key", "left_semi"), "members")
+    units = _units(members).join(one, "cls").select("unit", "side", "comp", F.col("n").cast("bigint").alias("n"), "cls", "bits")
+    units = units.repartition("unit").sortWithinPartitions("unit", "side", "comp", "n", "cls")
+    more = stash(arrow_map(units, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    release(members)
     if more.head(1):
         late = linked(more, rows, docs)
         if late.head(1):
