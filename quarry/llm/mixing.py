@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.spark import documents, stash
+from quarry.llm.spark import documents, release, stash
 
 #: A source gives at most so many times its words, a document so many copies.
 MOST = 3
-#: Ranks are first summed by so many buckets of a source; only the bucket that the cut falls in is ordered.
-BUCKETS = 4096
+#: The cut is looked for in rounds, by so many bits of a rank's place in each; then the rows of its cell, about CELL at most, are ordered.
+DIGIT = 12
+ROUNDS = 4
+CELL = 10_000
+#: Sources up to which facts of them are broadcast (some 100 bytes each).
+BROADCAST = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,75 +43,133 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return ranked.withColumn("target", F.least(F.lit(share) * F.col("weight"), MOST * F.col("source_size").cast("double")))
 
 
+def _odds_scale(groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, scale) of each source: with inclusion odds of scale times the root of the size, the expected words are the wanted ones.
+
+    Sizes are first counted in classes (four to each doubling), so a source is
+    an array of some hundred numbers, in which the scale is found by halving.
+    """
+    of = F.floor(F.log2(F.col("size")) * 4)
+    classes = groups.where("size > 0").groupBy(F.col("source").alias("s"), of.alias("class")).agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("words"), F.sum("n").alias("n"))
+    arrays = classes.groupBy("s").agg(F.collect_list(F.struct("words", F.sqrt(F.col("words") / F.col("n")).alias("root"))).alias("classes"))
+    known = arrays.join(wanted.select(F.col("s").alias("w"), "wanted"), F.col("s").eqNullSafe(F.col("w")))
+
+    def halve(bounds, _):
+        middle = (bounds["lo"] + bounds["hi"]) / 2
+        expected = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["words"] * (1 - 1 / (1 + F.exp(middle) * c["root"])))
+        return F.struct(F.when(expected < F.col("wanted"), middle).otherwise(bounds["lo"]).alias("lo"), F.when(expected < F.col("wanted"), bounds["hi"]).otherwise(middle).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(-80.0).alias("lo"), F.lit(80.0).alias("hi")), halve, lambda b: F.exp(b["lo"]))
+    return known.select("s", found.alias("scale"))
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns doc_id, source, text_key, size, source_size, target, copies, taken
-    for each row.  A source whose target is r times its size gives each document
-    floor(r) certain copies.  The rest is a fixed-size sample in words: documents
-    ranked by random odds over inclusion odds (which grow with the square root
-    of the size) give one more copy each while the words fit; last, the document whose
-    size comes closest to what is left, if that brings the source nearer.
+    Returns doc_id, source, text_key, size, source_size, target, inclusion,
+    copies, taken for each row.  A source whose target is r times its size gives
+    each document floor(r) certain copies.  The rest is a fixed-size sample in
+    words: documents ranked by random odds over inclusion odds (a scale times
+    the square root of the size, solved for each source so that the expected
+    words are those wanted) give one more copy each while the words fit; last,
+    the document whose size comes closest to what is left, if that brings the
+    source nearer.  inclusion is the probability of the one copy more by which a
+    document was ranked; the scale doesn't change the order within a source.
 
     Null text has size 0, null source is a source.  Equal rows (doc_id, source,
-    text) are counted and dealt as a group, of which a part may be taken.  A
-    source without words takes nothing.  An empty table gives no rows.
+    text) are counted and dealt as a group, of which a part may be taken; groups
+    of equal rank go by doc_id, then text.  A source without words takes nothing.
+    Very long texts are documents like others: one that doesn't fit ends the
+    sample.  An empty table gives no rows.  Extra columns are ignored, whatever
+    their names.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
     rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), size.alias("size"), _uniform().alias("u"))
     groups = stash(rows.groupBy("doc_id", "source", "text_key", "size", "u").agg(F.count("*").alias("n")), "mix")
-    sources = source_targets(stash(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows")), "sources"))
+    found = stash(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows")), "sources")
+    few = found.count() <= BROADCAST
+
+    def facts_of(df: DataFrame) -> DataFrame:
+        """One row a source: broadcast while these are few, else a join whose large partitions adaptive execution splits."""
+        return F.broadcast(df) if few else df
+
+    sources = source_targets(found)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.withColumn("whole", F.least(F.floor(rate), F.lit(MOST))).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
+    sources = stash(sources.select(F.col("source").alias("s"), "source_size", "target", "whole", "wanted"), "facts")
+    release(found)
+    scale = _odds_scale(groups, sources).withColumnRenamed("s", "t")
+    facts = stash(sources.join(facts_of(scale), F.col("s").eqNullSafe(F.col("t")), "left").drop("t").withColumn("cell", F.lit(0).cast("bigint")).withColumn("before", F.lit(0).cast("bigint")), "facts")
+    release(sources)
 
     # within a source the inclusion odds are a constant times the root of the size, so this orders as the Pareto rank does
-    tilt = F.sqrt(F.greatest(F.col("size"), F.lit(1)))
-    ranked = groups.withColumn("rank", F.col("u") / (1 - F.col("u")) / tilt)
-    ranked = ranked.withColumn("bucket", F.floor(BUCKETS * F.col("rank") * 20 / (1 + F.col("rank") * 20)))
-    steps = ranked.groupBy(F.col("source").alias("s"), "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
-    steps = steps.join(sources.select(F.col("source").alias("s1"), "wanted"), F.col("s").eqNullSafe(F.col("s1")))
-    by = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("until", F.sum("words").over(by))
-    cut = steps.where(F.col("until") > F.col("wanted")).groupBy("s").agg(F.min("bucket").alias("cut"), F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("before"))).alias("at"))
-    facts = sources.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", "whole", "wanted", F.coalesce("cut", F.lit(BUCKETS + 1)).alias("cut"), F.coalesce("at.before", F.lit(0)).alias("before")
-    )
-    with_facts = ranked.join(facts, F.col("source").eqNullSafe(F.col("s")))
+    root = F.sqrt(F.greatest(F.col("size"), F.lit(1)))
+    ranked = groups.withColumn("rank", F.col("u") / (1 - F.col("u")) / root)
+    last_place = F.lit((1 << DIGIT * ROUNDS) - 1)
+    ranked = ranked.withColumn("place", F.least(F.floor(F.col("rank") * 20 / (1 + F.col("rank") * 20) * float(1 << DIGIT * ROUNDS)), last_place))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    for step in range(1, ROUNDS + 1):
+        below = DIGIT * (ROUNDS - step)
+        inside = ranked.join(facts_of(facts), same).where(F.shiftright("place", below + DIGIT) == F.col("cell"))
+        steps = inside.groupBy("s", F.shiftright("place", below).alias("bucket")).agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("rows"))
+        steps = steps.join(facts_of(facts.select(F.col("s").alias("t"), "wanted", "before")), F.col("s").eqNullSafe(F.col("t")))
+        by = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        steps = steps.withColumn("until", F.col("before") + F.sum("words").over(by))
+        cut = steps.where(F.col("until") > F.col("wanted")).groupBy("s").agg(F.min(F.struct("bucket", (F.col("until") - F.col("words")).alias("before"), "rows")).alias("at"))
+        # a source whose words all fit has no cut: its cell lies above all places
+        cut = cut.select(F.col("s").alias("t"), F.col("at.bucket").alias("next"), F.col("at.before").alias("passed"), "at.rows")
+        cut = facts.join(facts_of(cut), F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+        cut = cut.withColumn("cell", F.coalesce("next", F.lit(1 << DIGIT * step + 1))).withColumn("before", F.coalesce("passed", "before")).drop("next", "passed")
+        cut = stash(cut, "cut")
+        release(facts)
+        facts = cut.drop("rows")
+        facts._quarry_path = cut._quarry_path
+        if (cut.agg(F.max("rows")).first()[0] or 0) <= CELL:
+            break
+    with_facts = ranked.join(facts_of(facts), same).withColumn("place", F.shiftright("place", below))
     inside = Window.partitionBy("source").orderBy("rank", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    edge = with_facts.where(F.col("bucket") == F.col("cut")).withColumn("left", F.col("wanted") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    edge = with_facts.where(F.col("place") == F.col("cell")).withColumn("left", F.col("wanted") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     # at the cut a part of a group of equal rows may fit; after the first row that doesn't, nothing is taken
     fit = F.when(F.col("left") < 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.floor(F.col("left") / F.col("size"))))
     edge = edge.withColumn("more", fit.cast("bigint")).withColumn("passed", F.max(F.when(F.col("more") < F.col("n"), 1).otherwise(0)).over(inside))
     edge = edge.withColumn("more", F.when(F.coalesce(F.col("passed"), F.lit(0)) == 1, 0).otherwise(F.col("more")).cast("bigint")).drop("left", "passed")
-    rest = with_facts.where(F.col("bucket") != F.col("cut")).withColumn("more", F.when(F.col("bucket") < F.col("cut"), F.col("n")).otherwise(0).cast("bigint"))
+    rest = with_facts.where(F.col("place") != F.col("cell")).withColumn("more", F.when(F.col("place") < F.col("cell"), F.col("n")).otherwise(0).cast("bigint"))
     dealt = stash(rest.unionByName(edge), "dealt")
+    release(groups, facts)
 
     gap = dealt.groupBy(F.col("s").alias("g")).agg((F.first("wanted") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
-    open_ = dealt.where((F.col("more") < F.col("n")) & (F.col("size") > 0)).join(gap, F.col("s").eqNullSafe(F.col("g")))
+    open_ = dealt.where((F.col("more") < F.col("n")) & (F.col("size") > 0)).join(facts_of(gap), F.col("s").eqNullSafe(F.col("g")))
     away = F.abs(F.col("gap") - F.col("size"))
-    # one candidate a bucket first: equal ones in a bucket differ in rank alone
     last = open_.where(away < F.col("gap")).groupBy("g").agg(F.min(F.struct(away.alias("away"), "rank", "doc_id", "text_key")).alias("pick"))
-    last = last.select(F.col("g"), F.col("pick.doc_id").alias("d"), F.col("pick.text_key").alias("k"))
+    last = facts_of(last.select(F.col("g"), F.col("pick.doc_id").alias("d"), F.col("pick.text_key").alias("k")))
     same = F.col("s").eqNullSafe(F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
     dealt = dealt.join(last, same, "left").withColumn("more", F.col("more") + F.when(F.col("k").isNotNull(), 1).otherwise(0))
     copies = F.col("whole") + F.when(F.col("i") <= F.col("more"), 1).otherwise(0)
+    odds = F.coalesce("scale", F.lit(0.0)) * F.sqrt(F.greatest(F.col("size"), F.lit(1)))
     return dealt.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select(
-        "doc_id", "source", "text_key", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken")
+        "doc_id", "source", "text_key", "size", "source_size", "target", (odds / (1 + odds)).alias("inclusion"), copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken")
     )
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it; those it doesn't take go."""
+    """The rows of docs, all columns, each as often as the mix takes it; those it doesn't take go.
+
+    Rows that agree in doc_id, source and text but not in other columns each
+    come as often as their group's share; where that is no whole number, one of
+    them stands for the group.  Other odd rows: as in mix_sources().
+    """
     key = ["doc_id", "source", "text_key"]
-    taken = mix_sources(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    taken = stash(taken, "taken")
+    taken = stash(mix_sources(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0"), "taken")
+    own = [f"_quarry_{i}" for i in range(3)]
     rows = docs.withColumn("_quarry_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    if taken.where("n > 1").head(1):  # equal rows are dealt as a group, so one of them stands for it
-        rows = rows.dropDuplicates(["doc_id", "source", "_quarry_key"])
-    taken = taken.where("copies > 0").select(*(F.col(c).alias(f"_quarry_{i}") for i, c in enumerate(key)), F.col("copies").alias("_quarry_copies"))
+    taken = taken.select(*(F.col(c).alias(o) for c, o in zip(key, own)), F.col("copies").alias("_quarry_copies"), F.col("n").alias("_quarry_n"))
     same = F.col("doc_id").eqNullSafe(F.col("_quarry_0")) & F.col("source").eqNullSafe(F.col("_quarry_1")) & (F.col("_quarry_key") == F.col("_quarry_2"))
-    out = rows.join(taken, same).withColumn("_quarry_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_quarry_copies"))))
-    return out.select(*docs.columns)
+    even = F.col("_quarry_copies") % F.col("_quarry_n") == 0
+    out = rows.join(taken.where(even), same).withColumn("_quarry_copies", F.expr("_quarry_copies div _quarry_n"))
+    if taken.where(~even).head(1):  # at most a few groups a source
+        one = rows.join(taken.where(~even), same).dropDuplicates(own)
+        out = out.unionByName(one)
+    return out.withColumn("_quarry_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_quarry_copies")))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir):
