@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.spark import documents, release, stash
+from quarry.llm.spark import documents, release, stash, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -20,14 +20,24 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 TRIGGER = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Words with a digit or an @: where unseen identifiers are looked for.
-MENTION = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+#: Words with a digit, an @ or one spelt out in brackets: where unseen identifiers are looked for.
+MENTION = rf"(?<![^{_SPACE}])(?:[^{_SPACE}0-9@]*+[0-9@]|[^{_SPACE}(\[{{]*+[(\[{{](?:at|AT|dot|DOT)[)\]}}])[^{_SPACE}]*+"
+MENTIONED = r"[0-9@]|[(\[{](?:at|AT|dot|DOT)[)\]}]"
 #: Matches of a text whose places are summed together.
 BLOCK = 128
 #: Rounds of scoring; distinct seeds a pattern needs; confidence of patterns and score of instances that count.
 ROUNDS = 3
 SUPPORT = 3
 CONFIDENT = 0.8
+#: Digits that make a shape a pattern of its own, without words around it.
+TELLING = 7
+#: Code points of a text in which mentions and base spans are brought together.
+STRETCH = 512
+#: Digits of a whole phone and card number, and those that pieces must have together.
+WHOLE = {3: 10, 2: 14}
+LEAST = {3: 7, 2: 12}
+#: Words around mentions up to which they are broadcast (some 20 bytes each); beyond, a shuffle join.
+BROADCAST = 200_000
 
 
 def _digits(c: Column) -> Column:
@@ -85,7 +95,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     """docs with ``base``, the sorted array of (start, kind, end), ``mentions``, and the text's key instead of the text."""
     out = docs.withColumn("text", F.coalesce("text", F.lit("")))
     for name, pattern in (*PATTERNS.items(), ("mention", MENTION)):
-        tried = F.instr("text", TRIGGER[name]) > 0 if TRIGGER.get(name) else F.col("text").rlike("[0-9@]")
+        tried = F.instr("text", TRIGGER[name]) > 0 if TRIGGER.get(name) else F.col("text").rlike(MENTIONED)
         none = F.array().cast("array<string>")
         out = out.withColumn(f"m_{name}", F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
         out = out.withColumn(f"g_{name}", F.when(F.size(f"m_{name}") > 0, F.split("text", pattern, -1)).otherwise(none))
@@ -94,82 +104,167 @@ def base_spans(docs: DataFrame) -> DataFrame:
     for i, kind in enumerate(KINDS):
         good = F.filter(_found(kind), lambda s: _valid(kind, s["value"]))
         spans.append(F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))))
-    word = lambda gap, last: F.substring_index(F.trim(F.translate(gap, "\t\n\x0b\x0c\r", " " * 5)), " ", -1 if last else 1)
+    blank = lambda gap: F.trim(F.translate(gap, "\t\n\x0b\x0c\r", " " * 5))
+    word = lambda gap, last: F.lower(F.substring_index(blank(gap), " ", -1 if last else 1))
+    beside = lambda gap, i: F.when((i >= 0) & (F.length(gap) > 0) & (blank(gap) == ""), F.get("m_mention", i))
     mentions = F.transform(
         _found("mention"),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lower(word(s["before"], True)).alias("left"), F.lower(word(s["after"], False)).alias("right")),
-    )
-    return out.select("doc_id", F.xxhash64("text").alias("text_key"), F.array_sort(F.concat(*spans)).alias("base"), mentions.alias("mentions"))
+        lambda s, i: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word(s["before"], True).alias("left"), word(s["after"], False).alias("right"),
+            beside(s["before"], i - 1).alias("previous"), beside(s["after"], i + 1).alias("next"),
+        ),
+    )
+    return out.select("doc_id", text_key().alias("text_key"), F.array_sort(F.concat(*spans)).alias("base"), mentions.alias("mentions"))
+
+
+def _core(value: Column) -> tuple[Column, Column]:
+    """(code points before, and after) what is the identifier in a mention: quotes, brackets and marks around it are not part of it."""
+    return F.length(F.regexp_extract(value, r"""^["'(\[<]++""", 0)), F.length(F.regexp_extract(value, r"""(?<!["')\]>.,;:!?*#$%&])["')\]>.,;:!?*#$%&]++$""", 0))
+
+
+def _shape(core: Column) -> Column:
+    """What an identifier looks like: runs of letters as a, of digits as 9, of both as x; its number of digits; whether it passes the check of a card or an address."""
+    runs = F.regexp_replace(core, r"[a-z0-9\x{80}-\x{10FFFF}]*+(?<=[a-z\x{80}-\x{10FFFF}])[0-9][a-z0-9\x{80}-\x{10FFFF}]*+|[0-9]++[a-z\x{80}-\x{10FFFF}][a-z0-9\x{80}-\x{10FFFF}]*+", "x")
+    runs = F.regexp_replace(F.regexp_replace(runs, "[0-9]++", "9"), r"[a-wyz\x{80}-\x{10FFFF}][a-z\x{80}-\x{10FFFF}]*+", "a")
+    plain = core.rlike("^[0-9 .-]+$")
+    passes = F.when(plain & _valid("card", core), "+card").when(plain & _valid("ip", core), "+ip").otherwise("")
+    return F.concat(F.substring(runs, 1, 40), F.lit(":"), F.least(F.length(_digits(core)), F.lit(20)).cast("string"), passes)
+
+
+def _kinds(found: DataFrame) -> DataFrame:
+    """text_key, start, kind of mentions that base spans overlap.
+
+    Both are dealt to stretches of their text and joined there, so a text with
+    very many of them doesn't cost their square.
+    """
+    stretches = lambda s, e: F.explode(F.sequence(F.floor(s / STRETCH), F.floor((e - 1) / STRETCH))).alias("stretch")
+    one = found.select("text_key", F.explode("base").alias("b")).select("text_key", F.col("b.start").alias("s"), F.col("b.end").alias("e"), F.col("b.kind").alias("kind"))
+    many = found.select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.start", "m.end")
+    one, many = one.distinct().select("*", stretches(F.col("s"), F.col("e"))), many.distinct().select("*", stretches(F.col("start"), F.col("end")))
+    meet = many.join(one, ["text_key", "stretch"]).where((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
+    return meet.groupBy("text_key", "start").agg(F.min(F.struct("s", "kind")).alias("first")).select("text_key", "start", F.col("first.kind").alias("kind"))
 
 
 def _mentions(found: DataFrame) -> DataFrame:
-    """A row for each mention of a distinct text: place, instance, kind of the base span it lies in (or null), patterns."""
-    kind = lambda m: F.get(F.filter("base", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])), F.lit(0))["kind"]
-    with_kind = F.transform("mentions", lambda m: m.withField("kind", kind(m)))
-    rows = found.where(F.size("mentions") > 0).select("text_key", F.explode(with_kind).alias("m"))
-    # quotes, brackets and marks around an identifier are not part of it
-    lead = F.length(F.regexp_extract("m.value", r"""^["'(\[<]++""", 0))
-    tail = F.length(F.regexp_extract("m.value", r"""(?<!["')\]>.,;:!?*#$%])["')\]>.,;:!?*#$%]++$""", 0))
+    """A row for each mention of a distinct text: place, digits, instance, kind of the base span it lies in (or null), patterns.
+
+    A pattern is what stands on the left, on the right, or both: a word, or the
+    shape of another mention right beside; with the mention's own shape, and
+    for words also without.  A telling shape is a pattern by itself.
+    """
+    rows = found.where(F.size("mentions") > 0).select("text_key", F.explode("mentions").alias("m")).distinct()
+    rows = rows.join(_kinds(found).withColumnRenamed("text_key", "k").withColumnRenamed("start", "s"), (F.col("text_key") == F.col("k")) & (F.col("m.start") == F.col("s")), "left")
+    lead, tail = _core(F.col("m.value"))
     rows = rows.withColumn("start", F.col("m.start") + lead).withColumn("end", F.col("m.end") - tail).where(F.col("start") < F.col("end"))
     core = F.lower(F.expr("substring(m.value, int(start - m.start) + 1, int(end - start))"))
-    runs = F.regexp_replace(core, r"[a-z0-9\x{80}-\x{10FFFF}]*+(?<=[a-z\x{80}-\x{10FFFF}])[0-9][a-z0-9\x{80}-\x{10FFFF}]*+|[0-9]++[a-z\x{80}-\x{10FFFF}][a-z0-9\x{80}-\x{10FFFF}]*+", "x")
-    runs = F.regexp_replace(F.regexp_replace(runs, "[0-9]++", "9"), r"[a-wyz\x{80}-\x{10FFFF}][a-z\x{80}-\x{10FFFF}]*+", "a")
-    shape = F.concat_ws(":", F.substring(runs, 1, 40), F.least(F.length(_digits(core)), F.lit(20)).cast("string"))
-    sides = (("L", "m.left"), ("R", "m.right"), ("B", "m.left", "m.right"))
-    # no word there (the text ends, or another mention stands beside) is no context
-    no_word = lambda words: F.array_contains(F.array(*map(F.col, words)), "")
-    sides = F.array_compact(F.array(*(F.when(~no_word(words), F.concat_ws("|", F.lit(name), *words, last)) for name, *words in sides for last in (shape, F.lit("any")))))
-    return rows.select("text_key", "start", "end", F.sha2(core, 256).alias("instance"), F.col("m.kind").alias("kind"), sides.alias("patterns"))
+    rows = rows.withColumn("core", core).withColumn("shape", _shape(F.col("core")))
+    for side in ("previous", "next"):
+        a, b = _core(F.col(f"m.{side}"))
+        rows = rows.withColumn(side, F.when(F.col(f"m.{side}").isNotNull(), F.concat(F.lit("#"), _shape(F.lower(F.col(f"m.{side}").substr(a + 1, F.length(f"m.{side}") - a - b))))))
+    rows = rows.withColumn("left", F.coalesce("previous", F.nullif(F.col("m.left"), F.lit("")))).withColumn("right", F.coalesce("next", F.nullif(F.col("m.right"), F.lit(""))))
+    shaped = [F.concat_ws("|", F.lit(name), *map(F.col, sides), "shape") for name, *sides in (("L", "left"), ("R", "right"), ("B", "left", "right"))]
+    words = [F.concat_ws("|", F.lit(name), *map(F.col, sides), F.lit("any")) for name, *sides in (("L", "left"), ("R", "right"), ("B", "left", "right"))]
+    has = [F.col("left").isNotNull(), F.col("right").isNotNull(), F.col("left").isNotNull() & F.col("right").isNotNull()]
+    worded = [has[0] & F.col("previous").isNull(), has[1] & F.col("next").isNull(), has[2] & F.col("previous").isNull() & F.col("next").isNull()]
+    telling = (F.length(_digits(F.col("core"))) >= TELLING) | F.instr("core", "@").cast("boolean") | F.col("core").rlike(r"[(\[{](at|dot)[)\]}]")
+    patterns = F.array_compact(F.array(*(F.when(ok, p) for ok, p in zip((*has, *worded), (*shaped, *words))), F.when(telling, F.concat(F.lit("S|"), "shape"))))
+    return rows.select("text_key", "start", "end", F.length(_digits(F.col("core"))).alias("digits"), F.sha2("core", 256).alias("instance"), "kind", patterns.alias("patterns"))
+
 
+def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """word, times: how often each of the words stands in the texts."""
+    each = F.explode(F.split(F.lower(F.translate("text", "\t\n\x0b\x0c\r", " " * 5)), " ")).alias("word")
+    every = docs.where("text is not null").select(each)
+    return every.join(F.broadcast(words) if words.count() <= BROADCAST else words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("times"))
 
-def discovered(found: DataFrame) -> DataFrame:
+
+def _selective(patterns: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """pattern, share: of the places where a pattern's word stands (the rarer one's of two), the share with a mention beside; null for patterns with a shape.
+
+    A word like "the" stands beside everything, so seeds beside it say nothing:
+    every other place of it is a negative example.
+    """
+    bare = patterns.where(F.col("pattern").endswith("|any"))
+    parts = F.split("pattern", r"\|")
+    bare = bare.select("pattern", F.explode(F.slice(parts, F.lit(2), F.size(parts) - 2)).alias("word"))
+    words = stash(bare.select("word").distinct(), "words")
+    times = _occurrences(docs, words)
+    beside = found.select(F.explode("mentions").alias("m")).select(F.explode(F.array_distinct(F.array("m.left", "m.right"))).alias("word"))
+    beside = beside.join(F.broadcast(words) if words.count() <= BROADCAST else words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("beside"))
+    share = times.join(beside, "word").select("word", F.least(F.col("beside") / F.col("times"), F.lit(1.0)).alias("share"))
+    out = stash(bare.join(share, "word").groupBy("pattern").agg(F.max("share").alias("share")), "shares")
+    release(words)
+    return out
+
+
+def discovered(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(text_key, kind, start, end) of spans that the bootstrapped contexts add.
 
-    Mentions in base spans are seeds.  A pattern is the word to the left, to the
-    right, or both, alone or with the shape of the mention and its number of
-    digits.
-    Patterns and instances form a graph: a pattern's confidence in a kind is the
-    mean score of its distinct instances (half an instance against it), an
-    instance's score the chance that one of its trusted patterns is right, a
-    seed's 1; this is repeated ROUNDS times over edges on the executors.
+    Mentions in base spans are seeds.  Patterns and instances form a graph: a
+    pattern's confidence in a kind is the mean score of its distinct instances
+    (half an instance against it), times the share of its word's places that
+    have a mention where the pattern is words alone; an instance's score is the
+    chance that one of its trusted patterns is right, a seed's 1; this is
+    repeated ROUNDS times over edges on the executors.  Pieces of a phone or card
+    number that follow each other become one span; too few digits are none.
     """
-    mentions = stash(_mentions(found).distinct(), "mentions")
+    mentions = stash(_mentions(found), "mentions")
     edges = stash(mentions.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     support = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    trusted = support.join(size, "pattern").select("pattern", "kind", "n")
+    trusted = stash(support.join(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pattern").select("pattern", "kind", "n"), "support")
+    share = _selective(trusted.select("pattern").distinct(), found, docs)
     links = stash(edges.select("pattern", "instance").join(trusted.select("pattern").distinct(), "pattern", "left_semi"), "links")
-    trusted = stash(trusted, "trusted")
+    bare = F.when(F.col("pattern").endswith("|any"), F.coalesce("share", F.lit(0.0))).otherwise(1.0)
+    used = [mentions, edges, links, trusted, share]
+    trusted = stash(trusted.join(share, "pattern", "left").withColumn("share", bare), "trusted")
     scores = seeds
-    used = [mentions, edges, links, trusted]
+    used.append(trusted)
     for _ in range(ROUNDS):
         confidence = links.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum")).join(trusted, ["pattern", "kind"])
-        confidence = stash(confidence.select("pattern", "kind", (F.col("sum") / (F.col("n") + 0.5)).alias("confidence")), "confidence")
+        confidence = stash(confidence.select("pattern", "kind", (F.col("share") * F.col("sum") / (F.col("n") + 0.5)).alias("confidence")), "confidence")
         reached = links.join(confidence.where(F.col("confidence") >= CONFIDENT), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
         scores = stash(seeds.unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
         used += [confidence, scores]
     sure = confidence.where(F.col("confidence") >= CONFIDENT)
-    new = mentions.where("kind is null").select("text_key", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    new = mentions.where("kind is null").select("text_key", "start", "end", "digits", "instance", F.explode("patterns").alias("pattern"))
     new = new.join(sure, "pattern").join(scores.where(F.col("score") >= CONFIDENT), ["instance", "kind"])
-    new = new.groupBy("text_key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
-    out = stash(new.select("text_key", "start", (-F.col("best.k")).alias("kind"), "end"), "discovered")
+    new = new.groupBy("text_key", "start", "end", "digits").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
+    out = stash(_whole(new.select("text_key", "start", "end", "digits", (-F.col("best.k")).alias("kind"))), "discovered")
     release(*used)
     return out
 
 
+def _whole(new: DataFrame) -> DataFrame:
+    """text_key, kind, start, end: pieces of one number (of too few digits each, a bracket and a space apart at most) as one span."""
+    whole, least = (F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in x.items()), F.lit(0)) for x in (WHOLE, LEAST))
+    piece = F.col("digits") < whole
+    before = Window.partitionBy("text_key").orderBy("start", "end")
+    goes_on = piece & F.lag(piece).over(before) & (F.lag("kind").over(before) == F.col("kind")) & (F.col("start") - F.lag("end").over(before) <= 3)
+    runs = new.withColumn("first", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("first").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("text_key", "run", "kind").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("digits").alias("digits"))
+    return runs.where(F.col("digits") >= least).select("text_key", "kind", "start", "end")
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row.
 
     The counts and base_sha256 are of the base patterns (leftmost matches that
     don't overlap within a kind; those that fail their check are dropped); spans
-    adds what the contexts discovered, in the same form.  Offsets are code
-    points, end exclusive.  Null and empty texts have no spans.  Copies of a text
-    count once as evidence and all get its spans.
+    adds what the contexts discovered, in the same form (ties by kind, then
+    end).  Offsets are code points, end exclusive.  Null and empty texts have no
+    spans; an empty table gives no rows; repeated rows stay.  Copies of a text
+    count once as evidence and all get its spans.  Very long texts are searched
+    whole, in time of their length and number of matches.  Extra columns are
+    ignored, whatever their names.
     """
-    found = stash(base_spans(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "pii")
-    added = discovered(found).groupBy(F.col("text_key").alias("k")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    out = found.drop("mentions").join(added, F.col("text_key") == F.col("k"), "left")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = stash(base_spans(docs), "pii")
+    added = discovered(found, docs)
+    rows = stash(found.drop("mentions"), "base")  # the mentions, in clear, go
+    release(found)
+    added = added.groupBy(F.col("text_key").alias("k")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    out = rows.join(added, F.col("text_key") == F.col("k"), "left")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("bigint").alias("n_added"))
