@@ -48,8 +48,9 @@ def sum_or_zero(c: Column | str) -> Column:
 
 
 def truthy(c: Column | str) -> Column:
-    """A column as a predicate: non-zero, non-empty and not NULL."""
-    return F.coalesce(_c(c).cast("string").isin("", "0", "0.0", "false") == F.lit(False), F.lit(False))
+    """A column as a predicate: non-zero, non-empty and not NULL; what reads as a number counts as that number."""
+    text = _c(c).cast("string")
+    return F.coalesce(text.try_cast("double") != 0, ~text.isin("", "false"), F.lit(False))
 
 
 def aggregate_name(name: str) -> str:

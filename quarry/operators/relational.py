@@ -24,9 +24,9 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where
     return df.alias(alias) if alias else df
 
 
-def parallel_scan(df: DataFrame, workers: int) -> DataFrame:
-    """The rows dealt evenly over so many partitions."""
-    return df.repartition(workers)
+def parallel_scan(df: DataFrame, workers: int | None = None) -> DataFrame:
+    """The rows dealt evenly over so many partitions; without a number the scan's own splits stay, which grow with the input."""
+    return df.repartition(workers) if workers else df
 
 
 def gather(*parts: DataFrame) -> DataFrame:
@@ -35,18 +35,30 @@ def gather(*parts: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Rows that are computed once and replayed; what doesn't fit in memory goes to disk."""
+    """Rows that are computed once and replayed; what doesn't fit in memory goes to disk.  unpersist() of the result frees them."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+#: The optimizer's estimate of a side's size up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the optimizer's estimate of a result's size is within a limit."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def join(left: DataFrame, right: DataFrame, on: Column | str | list[str] | None = None, how: str = "inner", strategy: str | None = None) -> DataFrame:
     """Join by any condition; without one, the cross product.
 
-    strategy: 'hash', 'merge', 'broadcast' or 'nested_loop' hints the right
-    side; None leaves the choice to statistics and adaptive execution.
+    strategy: 'hash', 'merge', 'broadcast', 'index' (the right side's keys held by
+    every task) or 'nested_loop' hints the right side; a side that is larger than
+    BROADCAST_BYTES isn't broadcast.  None leaves the choice to statistics and
+    adaptive execution.
     """
-    hint = {"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast", "nested_loop": "broadcast"}
-    right = right.hint(hint[strategy]) if strategy else right
+    hint = {"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast", "index": "broadcast", "nested_loop": "broadcast"}.get(strategy)
+    if hint and (hint != "broadcast" or fits(right)):
+        right = right.hint(hint)
     return left.crossJoin(right) if on is None else left.join(right, on, how)
 
 

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column: rows, nulls, distinct values, least, greatest, mean length; one pass and one shuffle."""
+    """One row a column: rows, nulls, distinct values, least, greatest (in the column's own order, as text), mean length; two passes and one shuffle."""
     columns = columns or df.columns
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("x")).select("x.*")
     each = long.groupBy("column_name", "v").agg(F.count("*").alias("n"))
-    return each.groupBy("column_name").agg(
+    counted = each.groupBy("column_name").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("v").alias("ndv"),
-        F.min("v").alias("min_value"),
-        F.max("v").alias("max_value"),
         F.round(F.sum(F.length("v") * F.col("n")) / F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), 4).alias("avg_length"),
     )
+    ends = df.agg(*(f(c).cast("string").alias(f"{name}_{i}") for i, c in enumerate(columns) for f, name in ((F.min, "least"), (F.max, "most"))))
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"least_{i}").alias("min_value"), F.col(f"most_{i}").alias("max_value")) for i, c in enumerate(columns)))
+    ends = ends.select(F.explode(rows).alias("x")).select("x.*")
+    return counted.join(ends, "column_name").select("column_name", "row_count", "null_count", "ndv", "min_value", "max_value", "avg_length")
 
 
 def histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
