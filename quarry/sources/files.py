@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -24,19 +28,33 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, path: str, text: str) -> None:
-        """Write a file aside and rename it over the old one, in one step."""
-        import uuid
+    def names(self, folder: str) -> list[str]:
+        """The names in a folder; none if it isn't there."""
+        p, fs = self._path(folder)
+        return [str(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was written."""
+        p, fs = self._path(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a file aside and rename it to a name that isn't taken, in one step; False if it is."""
         aside, fs = self._path(f"{path}.{uuid.uuid4().hex}")
         out = fs.create(aside, True)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
         target, _ = self._path(path)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
-        array = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        array[0] = self._jvm.java.lang.Enum.valueOf(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
-        context.rename(aside, target, array)
+        none = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(aside, target, none)
+        except Py4JJavaError as e:
+            fs.delete(aside, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
     def delete(self, path: str) -> None:
         p, fs = self._path(path)
