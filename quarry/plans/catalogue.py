@@ -82,7 +82,7 @@ def scan_aliased(t):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem")
 def scan_parallel(t):
-    return R.parallel_scan(t("lineitem").select("l_orderkey", "l_linenumber"), 4)
+    return R.parallel_scan(t("lineitem").select("l_orderkey", "l_linenumber"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'")
@@ -226,7 +226,7 @@ def join_broadcast_hint(t):
 
 @query("SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def join_index_nested_loop(t):
-    return t("customer").join(F.broadcast(t("nation")), F.expr("c_nationkey = n_nationkey")).select("c_custkey", "n_name")
+    return R.join(t("customer"), t("nation"), F.expr("c_nationkey = n_nationkey"), strategy="index").select("c_custkey", "n_name")
 
 
 @query("SELECT c_custkey, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey")
@@ -722,9 +722,150 @@ def catalog_counts(t):
     return e.catalog_stats()
 
 
+@query("SELECT 'Table a created' AS message, 1 AS step UNION ALL SELECT '2 rows inserted', 2 UNION ALL SELECT '1 rows updated', 3 UNION ALL SELECT 'Index i created', 4 UNION ALL SELECT 'Index i dropped', 5 UNION ALL SELECT '1 rows deleted', 6 UNION ALL SELECT 'Table a dropped', 7 UNION ALL SELECT 'No table a', 8")
+def messages(t):
+    e = scratch(t("region").sparkSession)
+    said = e.run("CREATE TABLE a (k INT); INSERT INTO a VALUES (1), (2); UPDATE a SET k = 3 WHERE k = 1; CREATE INDEX i ON a (k); DROP INDEX i; DELETE FROM a WHERE k = 2; DROP TABLE a; DROP TABLE IF EXISTS a")
+    return e._rows("message string, step int", [(x, i + 1) for i, x in enumerate(said)])
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey * 2 AS region, 'new' AS note FROM nation")
+def alter_table(t):
+    e = _with_nations(t)
+    e.run("ALTER TABLE places ADD COLUMN note VARCHAR(10); ALTER TABLE places RENAME COLUMN n_regionkey TO region; UPDATE places SET note = 'new', region = region * 2; ALTER TABLE places RENAME TO spots")
+    return e.query("SELECT * FROM spots")
+
+
+@query("SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def alter_drop_and_retype(t):
+    e = _with_nations(t)
+    e.run("ALTER TABLE places DROP COLUMN n_name; ALTER TABLE places ALTER COLUMN n_regionkey TYPE BIGINT")
+    return e.query("SELECT * FROM places")
+
+
+@query("SELECT count(*) AS seen FROM nation WHERE n_regionkey <> 0")
+def isolation_read_committed(t):
+    e = _with_nations(t)
+    other = Engine(e.spark, e.store.root)
+    e.execute("BEGIN ISOLATION LEVEL READ COMMITTED")
+    other.execute("DELETE FROM places WHERE n_regionkey = 0")
+    e.execute("SELECT COUNT(*) FROM places")
+    out = e.execute("SELECT COUNT(*) AS seen FROM places")
+    e.execute("COMMIT")
+    return out
+
+
+@query("SELECT count(*) AS seen FROM nation")
+def isolation_repeatable_read(t):
+    e = _with_nations(t)
+    other = Engine(e.spark, e.store.root)
+    e.execute("BEGIN ISOLATION LEVEL REPEATABLE READ")
+    other.execute("DELETE FROM places WHERE n_regionkey = 0")
+    out = e.execute("SELECT COUNT(*) AS seen FROM places")
+    e.execute("COMMIT")
+    return out
+
+
+@query("SELECT 'duplicate key in unique index u' AS error UNION ALL SELECT 'name: a string is longer than 3' UNION ALL SELECT 'id: a string can''t be stored as INT' UNION ALL SELECT 'no table absent' UNION ALL SELECT 'HAVING needs GROUP BY'")
+def rejected_statements(t):
+    e = scratch(t("region").sparkSession)
+    e.run("CREATE TABLE a (id INT, name VARCHAR(3)); CREATE UNIQUE INDEX u ON a (id); INSERT INTO a VALUES (1, 'x')")
+    said = []
+    for sql in ("INSERT INTO a VALUES (1, 'y')", "INSERT INTO a VALUES (2, 'long')", "INSERT INTO a VALUES ('z', 'y')", "DELETE FROM absent", "SELECT id FROM a HAVING COUNT(*) > 0"):
+        try:
+            e.execute(sql)
+        except Exception as x:  # noqa: BLE001, the refusals are the result
+            known = ("duplicate key in unique index u", "name: a string is longer than 3", "id: a string can't be stored as INT", "no table absent", "HAVING needs GROUP BY")
+            said.append((next((k for k in known if k in str(x)), str(x)[:80]),))
+    return e._rows("error string", said)
+
+
+@query("SELECT 'UNRESOLVED_COLUMN' AS error, 1 AS k UNION ALL SELECT 'PARSE_SYNTAX_ERROR', 2 UNION ALL SELECT 'none', 3")
+def validate_statements(t):
+    e = engine_with(t, "nation")
+    said = [e.validate(sql) for sql in ("SELECT nope FROM nation", "SELEC 1", "SELECT n_name FROM nation;")]
+    return e._rows("error string, k int", [(x.split("]")[0].split(".")[0].lstrip("[") if x else "none", i + 1) for i, x in enumerate(said)])
+
+
+@query("SELECT 'n_name' AS column_name, 'STRING' AS data_type UNION ALL SELECT 'n_nationkey', 'INT' UNION ALL SELECT 'n_regionkey', 'INT'")
+def table_columns(t):
+    e = _with_nations(t)
+    assert e.has_column("places", "N_NAME") and not e.has_column("places", "nope") and e.tables() == ["places"]
+    return e._rows("column_name string, data_type string", sorted(e.columns("places").items()))
+
+
+@query("SELECT 'CREATE TABLE a (' AS line, 1 AS n UNION ALL SELECT 'id INT,', 2 UNION ALL SELECT 'name VARCHAR(9)', 3 UNION ALL SELECT ');', 4")
+def schema_export(t):
+    e = scratch(t("region").sparkSession)
+    e.execute("CREATE TABLE a (id INT, name VARCHAR(9))")
+    assert e.validate_catalog() == [] and e.repair_catalog() == []
+    return e._rows("line string, n int", [(x.strip(), i + 1) for i, x in enumerate(e.export_schema().splitlines())])
+
+
+@query("SELECT 'by_customer' AS best, 'by_customer' AS any_of UNION ALL SELECT 'by_key', 'by_key'")
+def index_choice(t):
+    e = _indexed(t)
+    return e._rows("best string, any_of string", [(e.best_index("sales", [c]), ",".join(e.indexes_for("sales", [c]))) for c in ("o_orderdate", "o_orderkey")])
+
+
+@query("SELECT count(*) AS row_count, count(DISTINCT o_orderkey) AS distinct_keys, CAST(0 AS BIGINT) AS null_keys FROM orders")
+def index_statistics(t):
+    return _indexed(t).index_stats("by_key")
+
+
+@query("SELECT 'a' AS used, 'b' AS by_view UNION ALL SELECT 'places', 'a' UNION ALL SELECT 'places', 'b'")
+def view_dependents(t):
+    e = _with_nations(t)
+    e.run("CREATE VIEW a AS SELECT n_name FROM places; CREATE VIEW b AS SELECT n_name FROM a")
+    return e._rows("used string, by_view string", [(x, v) for x in ("a", "places") for v in e.dependents(x)])
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'two'")
+def run_script(t):
+    e = _with_nations(t)
+    return R.gather(e.run("SELECT n_name FROM places WHERE n_regionkey = 1; -- a comment; not a statement\nSELECT 'two' AS n_name;")[0], e.query("SELECT 'two' AS n_name"))
+
+
+@query("SELECT * FROM nation WHERE n_regionkey <> 2")
+def txn_block(t):
+    e = _with_nations(t)
+    with e.transaction():
+        e.execute("DELETE FROM places WHERE n_regionkey = 2")
+    try:
+        e.run_atomically(["DELETE FROM places", "INSERT INTO absent VALUES (1)"])
+    except Exception as x:  # noqa: BLE001, all or nothing
+        assert "absent" in str(x)
+    return e.query("SELECT * FROM places")
+
+
+@query("SELECT n_nationkey, n_nationkey / nullif(CASE WHEN n_regionkey = 0 THEN 0 ELSE n_regionkey END, 0) AS a, 10 / nullif(n_regionkey, 0) AS b FROM nation")
+def sql_divide_case(t):
+    return engine_with(t, "nation").query("SELECT n_nationkey, n_nationkey / CASE WHEN n_regionkey = 0 THEN 0 ELSE n_regionkey END AS a, 10 / array(n_regionkey)[0] AS b /* x/0 */ FROM nation -- 1/0")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE round(s_acctbal / 1000) <> 0")
+def truthy_decimal(t):
+    return t("supplier").where(S.truthy(F.round(F.col("s_acctbal") / 1000).cast("decimal(12,2)"))).select("s_suppkey")
+
+
+@query("SELECT n_nationkey FROM nation ORDER BY nullif(n_regionkey, 4) DESC NULLS LAST, n_nationkey LIMIT 3")
+def nulls_last_subquery(t):
+    return engine_with(t, "nation").query("SELECT n_nationkey FROM (SELECT n_nationkey FROM nation ORDER BY nullif(n_regionkey, 4) DESC, n_nationkey LIMIT 3) x")
+
+
+@query("SELECT greatest(n_nationkey, n_regionkey) AS most, least(n_nationkey, n_regionkey) AS low FROM nation")
+def row_level_max(t):
+    return t("nation").select(F.greatest("n_nationkey", "n_regionkey").alias("most"), F.least("n_nationkey", "n_regionkey").alias("low"))
+
+
 # -- statistics
 
 
+@query("SELECT 'c_custkey' AS column_name, CAST(min(c_custkey) AS VARCHAR) AS min_value, CAST(max(c_custkey) AS VARCHAR) AS max_value FROM customer")
+def stats_numeric_minmax(t):
+    return stats.column_stats(t("customer"), ["c_custkey"]).select("column_name", "min_value", "max_value")
+
+
 @query("SELECT count(*) AS row_count FROM orders")
 def stats_table(t):
     return t("orders").agg(F.count("*").alias("row_count"))
@@ -732,7 +873,7 @@ def stats_table(t):
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({v}) AS null_count, count(DISTINCT {v}) AS ndv, min(CAST({v} AS VARCHAR)) AS min_value, max(CAST({v} AS VARCHAR)) AS max_value, round(avg(length(CAST({v} AS VARCHAR))), 4) AS avg_length FROM customer"
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({v}) AS null_count, count(DISTINCT {v}) AS ndv, CAST(min({v}) AS VARCHAR) AS min_value, CAST(max({v}) AS VARCHAR) AS max_value, round(avg(length(CAST({v} AS VARCHAR))), 4) AS avg_length FROM customer"
         for c, v in (("c_custkey", "c_custkey"), ("c_nationkey", "c_nationkey"), ("c_mktsegment", "nullif(c_mktsegment, 'BUILDING')"))
     )
 )

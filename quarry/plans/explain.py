@@ -14,6 +14,9 @@ class Node:
     name: str
     detail: str = ""
     children: list[Node] = field(default_factory=list)
+    #: the optimizer's estimates: size as it writes it, rows (None where unknown)
+    size: str | None = None
+    rows: str | None = None
 
     def walk(self):
         yield self
@@ -22,10 +25,12 @@ class Node:
 
 
 def tree(df: DataFrame, kind: str = "physical") -> Node:
-    """The plan ('physical', 'optimized', 'analyzed' or 'logical') as nodes; nothing is executed."""
+    """The plan ('physical', 'optimized', 'analyzed', 'logical', or 'cost': optimized with estimates) as nodes; nothing is executed."""
     q = df._jdf.queryExecution()
-    plan = {"physical": q.executedPlan, "optimized": q.optimizedPlan, "analyzed": q.analyzed, "logical": q.logical}[kind]()
-    text = plan.toString()
+    if kind == "cost":
+        text = q.stringWithStats().split("== Physical Plan ==")[0]
+    else:
+        text = {"physical": q.executedPlan, "optimized": q.optimizedPlan, "analyzed": q.analyzed, "logical": q.logical}[kind]().toString()
     root, stack = None, []
     for line in text.splitlines():
         if not line.strip() or line.startswith("=="):
@@ -34,6 +39,8 @@ def tree(df: DataFrame, kind: str = "physical") -> Node:
         depth = len(m[1]) // 3
         name, _, detail = m[2].partition(" ")
         node = Node(name, detail.strip())
+        if m := re.search(r",?\s*Statistics\(sizeInBytes=([\d.E+]+ ?\w*)(?:, rowCount=([\d.E+]+))?[^)]*\)", detail):
+            node.detail, node.size, node.rows = detail[: m.start()].strip(), m[1], m[2]
         if root is None:
             root = node
         else:
@@ -44,7 +51,7 @@ def tree(df: DataFrame, kind: str = "physical") -> Node:
 
 
 def to_text(node: Node, indent: str = "") -> str:
-    lines = [f"{indent}{node.name} {node.detail}".rstrip()]
+    lines = [f"{indent}{node.name} {node.detail}{_cost(node)}".rstrip()]
     for c in node.children:
         lines.append(to_text(c, indent + "  "))
     return "\n".join(lines)
@@ -56,7 +63,7 @@ def to_mermaid(node: Node) -> str:
     def add(n: Node) -> str:
         nonlocal count
         own, count = f"n{count}", count + 1
-        lines.append(f'  {own}["{n.name}"]')
+        lines.append(f'  {own}["{n.name}{_cost(n)}"]')
         for c in n.children:
             lines.append(f"  {own} --> {add(c)}")
         return own
@@ -67,7 +74,11 @@ def to_mermaid(node: Node) -> str:
 
 def to_html(node: Node) -> str:
     inner = "".join(to_html(c) for c in node.children)
-    return f"<ul><li><b>{html.escape(node.name)}</b> {html.escape(node.detail)}{inner}</li></ul>"
+    return f"<ul><li><b>{html.escape(node.name)}</b> {html.escape(node.detail + _cost(node))}{inner}</li></ul>"
+
+
+def _cost(node: Node) -> str:
+    return "" if node.size is None else f" [{node.size}{f', {node.rows} rows' if node.rows else ''}]"
 
 
 def estimated_bytes(df: DataFrame) -> int:
