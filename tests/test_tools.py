@@ -28,6 +28,20 @@ def test_a_good_statement_has_no_findings():
     assert diagnostics.analyze("SELECT name, COUNT(*) FROM customers WHERE age > 1 GROUP BY name HAVING COUNT(*) > 1 ORDER BY name;", TABLES) == []
 
 
+@pytest.mark.parametrize(
+    ("sql", "code"),
+    [
+        ("DELETE FROM orders;", "SAFETY_WARNING"), ("UPDATE orders SET amount = 1;", "SAFETY_WARNING"), ("SELECT name, COUNT(*) FROM customers;", "AGGREGATE_WITHOUT_GROUP_BY"),
+        ("SELECT * FROM orders;", "PERFORMANCE_TIP"), ("SELECT name FROM customers WHERE name LIKE '%a';", "PERFORMANCE_TIP"), ("SELECT name FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM orders);", "PERFORMANCE_TIP"),
+    ],
+)
+def test_advice(sql, code):
+    found = {f.code: f for f in diagnostics.analyze(sql, TABLES)}
+    assert code in found
+    if code == "AGGREGATE_WITHOUT_GROUP_BY":
+        assert found[code].suggestion == "SELECT name, COUNT(*) FROM customers GROUP BY name;"
+
+
 def test_completion():
     assert completion.complete("SELECT * FROM cu", TABLES)[0][0] == "customers"
     assert completion.complete("SELECT * FROM customers JOIN orders ON ", TABLES)[0][0] == "customers.customer_id = orders.customer_id"
@@ -41,6 +55,11 @@ def test_completion():
         ("total amount of orders for each customer_id", "SELECT customer_id, SUM(amount) FROM orders GROUP BY customer_id"),
         ("查询 customers 中 age 大于 30 的记录", "SELECT * FROM customers WHERE age > 30"),
         ("how many orders where amount is at least 5", "SELECT COUNT(*) FROM orders WHERE amount >= 5"),
+        ("show name of customers sorted by age descending", "SELECT name FROM customers ORDER BY age DESC"),
+        ("top 3 customers by age", "SELECT * FROM customers ORDER BY age DESC LIMIT 3"),
+        ("show customers with their orders", "SELECT * FROM customers JOIN orders ON customers.customer_id = orders.customer_id"),
+        ("delete customers where age is less than 3", "DELETE FROM customers WHERE age < 3"),
+        ("set amount of orders to 7 where order_id is 2", "UPDATE orders SET amount = 7 WHERE order_id = 2"),
     ],
 )
 def test_questions(question, sql):
@@ -57,6 +76,39 @@ def test_rewrites():
     assert rewrite.explicit_null_order("SELECT * FROM t ORDER BY a, f(b, c) DESC LIMIT 3") == "SELECT * FROM t ORDER BY a NULLS LAST, f(b, c) DESC NULLS LAST LIMIT 3"
 
 
+def test_divisors():
+    one = lambda x: rewrite.safe_division(f"SELECT 1/{x}")
+    for x in ("CASE WHEN a / 2 > 1 THEN CASE WHEN b THEN 1 ELSE 2 END ELSE 0 END", "a[1]", "f(x)[2].c", "-b", "`a b`.c", "x::int", "(1 + 2)"):
+        assert one(x).startswith("SELECT 1/nullif(") and one(x).replace("nullif(2 ", "2 ").count("nullif(") >= 1 and one(x).endswith(", 0)")
+    assert one("a -- / b") == "SELECT 1/nullif(a, 0) -- / b" and rewrite.safe_division("SELECT /* 1/0 */ 2") == "SELECT /* 1/0 */ 2"
+
+
+def test_inner_orders_and_having():
+    sql = "SELECT * FROM (SELECT a FROM t ORDER BY a DESC LIMIT 3) x JOIN (SELECT row_number() OVER (PARTITION BY b ORDER BY c ROWS 1 PRECEDING) FROM t) y ORDER BY a"
+    assert rewrite.explicit_null_order(sql).count("NULLS LAST") == 3
+    assert "ORDER BY c NULLS LAST ROWS" in rewrite.explicit_null_order(sql) and "a DESC NULLS LAST LIMIT 3)" in rewrite.explicit_null_order(sql)
+    rewrite.check_having("SELECT a FROM (SELECT b FROM t GROUP BY b HAVING count(*) > 1) GROUP BY a HAVING max(a) > 1")
+    for bad in ("SELECT a FROM (SELECT b FROM t GROUP BY b) HAVING count(*) > 1", "SELECT a FROM t GROUP BY a UNION SELECT b FROM t HAVING count(*) > 1"):
+        with pytest.raises(ValueError):
+            rewrite.check_having(bad)
+
+
+def test_costs_of_a_plan(spark, sf):
+    node = explain.tree(table(spark, sf, "orders").where("o_totalprice > 1000").groupBy("o_custkey").count(), "cost")
+    assert all(n.size for n in node.walk()) and "iB" in explain.to_text(node) and "Statistics" not in explain.to_text(node)
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    from quarry.operators import relational as R
+
+    a, b = spark.range(10).toDF("x"), spark.range(10).toDF("y")
+    plan = lambda: R.join(a, b, F.expr("x = y"), strategy="broadcast")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(R, "fits", lambda df: False)
+    assert "broadcast" not in plan()
+
+
 def test_plans_push_down(spark, sf):
     df = table(spark, sf, "orders").where("o_totalprice > 1000").select("o_orderkey")
     assert any("o_totalprice" in f for f in explain.pushed_filters(df))
@@ -100,5 +152,7 @@ def test_streaming_matches_batch(spark, sf, tmp_path):
 def test_truthy(spark):
     df = spark.createDataFrame([("",), ("x",), (None,), ("0",)], "s string")
     assert [r[0] for r in df.where(S.truthy("s")).collect()] == ["x"]
+    n = spark.sql("SELECT * FROM VALUES (1, 0.00BD, -0.0D), (2, 0.50BD, 1e-9D), (3, NULL, 0.0D) AS t(i, d, f)")
+    assert [r[0] for r in n.where(S.truthy("d")).collect()] == [2] and [r[0] for r in n.where(S.truthy("f")).collect()] == [2]
     assert S.aggregate_name("count(1)") == "COUNT(*)" and S.aggregate_name("sum(a)") == "SUM(a)" and S.aggregate_name("x") == "x"
     assert df.select(F.count("*")).count() == 1
