@@ -29,6 +29,8 @@ BLOCK = 128
 ROUNDS = 3
 SUPPORT = 3
 CONFIDENT = 0.8
+#: Weight of an instance of unknown kind in a pattern's confidence.
+DOUBT = 0.5
 #: Digits that make a shape a pattern of its own, without words around it.
 TELLING = 7
 #: Code points of a text in which mentions and base spans are brought together.
@@ -126,8 +128,7 @@ def _shape(core: Column) -> Column:
     """What an identifier looks like: runs of letters as a, of digits as 9, of both as x; its number of digits; whether it passes the check of a card or an address."""
     runs = F.regexp_replace(core, r"[a-z0-9\x{80}-\x{10FFFF}]*+(?<=[a-z\x{80}-\x{10FFFF}])[0-9][a-z0-9\x{80}-\x{10FFFF}]*+|[0-9]++[a-z\x{80}-\x{10FFFF}][a-z0-9\x{80}-\x{10FFFF}]*+", "x")
     runs = F.regexp_replace(F.regexp_replace(runs, "[0-9]++", "9"), r"[a-wyz\x{80}-\x{10FFFF}][a-z\x{80}-\x{10FFFF}]*+", "a")
-    plain = core.rlike("^[0-9 .-]+$")
-    passes = F.when(plain & _valid("card", core), "+card").when(plain & _valid("ip", core), "+ip").otherwise("")
+    passes = F.when(core.rlike("^[0-9 -]+$") & _valid("card", core), "+card").when(core.rlike(r"^[0-9]+(\.[0-9]+){3}$") & _valid("ip", core), "+ip").otherwise("")
     return F.concat(F.substring(runs, 1, 40), F.lit(":"), F.least(F.length(_digits(core)), F.lit(20)).cast("string"), passes)
 
 
@@ -168,7 +169,10 @@ def _mentions(found: DataFrame) -> DataFrame:
     worded = [has[0] & F.col("previous").isNull(), has[1] & F.col("next").isNull(), has[2] & F.col("previous").isNull() & F.col("next").isNull()]
     telling = (F.length(_digits(F.col("core"))) >= TELLING) | F.instr("core", "@").cast("boolean") | F.col("core").rlike(r"[(\[{](at|dot)[)\]}]")
     patterns = F.array_compact(F.array(*(F.when(ok, p) for ok, p in zip((*has, *worded), (*shaped, *words))), F.when(telling, F.concat(F.lit("S|"), "shape"))))
-    return rows.select("text_key", "start", "end", F.length(_digits(F.col("core"))).alias("digits"), F.sha2("core", 256).alias("instance"), "kind", patterns.alias("patterns"))
+    digits = F.length(_digits(F.col("core")))
+    # a piece of a number, such as a country's code, is an instance with what stands right beside it
+    instance = F.when(digits < TELLING, F.concat_ws(" ", "m.previous", "core", "m.next")).otherwise(F.col("core"))
+    return rows.select("text_key", "start", "end", digits.alias("digits"), F.sha2(instance, 256).alias("instance"), "kind", patterns.alias("patterns"))
 
 
 def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -179,20 +183,23 @@ def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _selective(patterns: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """pattern, share: of the places where a pattern's word stands (the rarer one's of two), the share with a mention beside; null for patterns with a shape.
+    """pattern, share: of the places where a pattern's word stands (of two words the one with more), the share with a mention on that side; only patterns without a shape.
 
     A word like "the" stands beside everything, so seeds beside it say nothing:
     every other place of it is a negative example.
     """
     bare = patterns.where(F.col("pattern").endswith("|any"))
     parts = F.split("pattern", r"\|")
-    bare = bare.select("pattern", F.explode(F.slice(parts, F.lit(2), F.size(parts) - 2)).alias("word"))
+    words = F.slice(parts, F.lit(2), F.size(parts) - 2)
+    side = lambda w, i: F.struct(w.alias("word"), F.when((parts[0] == "R") | (i == 1), "R").otherwise("L").alias("side"))
+    bare = bare.select("pattern", F.explode(F.transform(words, side)).alias("x")).select("pattern", "x.word", "x.side")
     words = stash(bare.select("word").distinct(), "words")
     times = _occurrences(docs, words)
-    beside = found.select(F.explode("mentions").alias("m")).select(F.explode(F.array_distinct(F.array("m.left", "m.right"))).alias("word"))
-    beside = beside.join(F.broadcast(words) if words.count() <= BROADCAST else words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("beside"))
-    share = times.join(beside, "word").select("word", F.least(F.col("beside") / F.col("times"), F.lit(1.0)).alias("share"))
-    out = stash(bare.join(share, "word").groupBy("pattern").agg(F.max("share").alias("share")), "shares")
+    sides = F.array(F.struct(F.col("m.left").alias("word"), F.lit("L").alias("side")), F.struct(F.col("m.right").alias("word"), F.lit("R").alias("side")))
+    beside = found.select(F.explode("mentions").alias("m")).select(F.explode(sides).alias("x")).select("x.word", "x.side")
+    beside = beside.join(F.broadcast(words) if words.count() <= BROADCAST else words, "word", "left_semi").groupBy("word", "side").agg(F.count("*").alias("beside"))
+    share = times.join(beside, "word").select("word", "side", F.least(F.col("beside") / F.col("times"), F.lit(1.0)).alias("share"))
+    out = stash(bare.join(share, ["word", "side"]).groupBy("pattern").agg(F.max("share").alias("share")), "shares")
     release(words)
     return out
 
@@ -202,8 +209,9 @@ def discovered(found: DataFrame, docs: DataFrame) -> DataFrame:
 
     Mentions in base spans are seeds.  Patterns and instances form a graph: a
     pattern's confidence in a kind is the mean score of its distinct instances
-    (half an instance against it), times the share of its word's places that
-    have a mention where the pattern is words alone; an instance's score is the
+    (seeds of other kinds count against it whole, unknown ones by DOUBT, and half
+    an instance in any case), times the share of its word's places that have a
+    mention where the pattern is words alone; an instance's score is the
     chance that one of its trusted patterns is right, a seed's 1; this is
     repeated ROUNDS times over edges on the executors.  Pieces of a phone or card
     number that follow each other become one span; too few digits are none.
@@ -212,7 +220,8 @@ def discovered(found: DataFrame, docs: DataFrame) -> DataFrame:
     edges = stash(mentions.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     seeds = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     support = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    trusted = stash(support.join(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pattern").select("pattern", "kind", "n"), "support")
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("known"))
+    trusted = stash(support.join(size, "pattern").select("pattern", "kind", "n", "known"), "support")
     share = _selective(trusted.select("pattern").distinct(), found, docs)
     links = stash(edges.select("pattern", "instance").join(trusted.select("pattern").distinct(), "pattern", "left_semi"), "links")
     bare = F.when(F.col("pattern").endswith("|any"), F.coalesce("share", F.lit(0.0))).otherwise(1.0)
@@ -220,9 +229,11 @@ def discovered(found: DataFrame, docs: DataFrame) -> DataFrame:
     trusted = stash(trusted.join(share, "pattern", "left").withColumn("share", bare), "trusted")
     scores = seeds
     used.append(trusted)
+    # unknown instances weigh less than known ones, until they have a score of their own
+    weight = F.greatest(F.col("known") + DOUBT * (F.col("n") - F.col("known")), F.col("sum"))
     for _ in range(ROUNDS):
         confidence = links.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum")).join(trusted, ["pattern", "kind"])
-        confidence = stash(confidence.select("pattern", "kind", (F.col("share") * F.col("sum") / (F.col("n") + 0.5)).alias("confidence")), "confidence")
+        confidence = stash(confidence.select("pattern", "kind", (F.col("share") * F.least(F.col("sum") / (weight + 0.5), F.lit(1.0))).alias("confidence")), "confidence")
         reached = links.join(confidence.where(F.col("confidence") >= CONFIDENT), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
         scores = stash(seeds.unionByName(reached).groupBy("instance", "kind").agg(F.max("score").alias("score")), "scores")
         used += [confidence, scores]

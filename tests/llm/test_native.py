@@ -162,5 +162,55 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(out[i].n_phone == 1 for i in range(12))
 
 
+def planted():
+    """(rows, unseen identifiers as (doc_id, kind, start, end), doc_ids without any): contexts that seeds teach, in prose."""
+    frames = {"email": "please write to {} for more", "ip": "the address {} refused us", "card": "paid with card {} that expires", "phone": "then dial {} before noon"}
+    seeds = {"email": "user{0}@mail{0}.example.org", "ip": "10.{0}.7.{0}", "card": None, "phone": "+44 20 79{0} 0{0}"}
+    unseen = {"email": "user{0}(at)mail{0}(dot)example", "ip": "2001:db8::{0}7", "card": "4929-{0}-7777-{0}", "phone": "0171-{0}-9{0}"}
+    rows, wanted, clean = [], set(), set()
+
+    def card(n):
+        digits = f"4929{n:011d}"
+        return digits + next(str(c) for c in range(10) if sum(int(d) if i % 2 == 0 else (int(d) * 2 - 9 if int(d) > 4 else int(d) * 2) for i, d in enumerate((digits + str(c))[::-1])) % 10 == 0)
+
+    for k, kind in enumerate(frames):
+        for i in range(40):
+            seen = card(i * 977 + 5) if kind == "card" else seeds[kind].format(100 + i)
+            rows.append((1000 * k + i, " ".join(words(i, 30)).translate({ord(c): None for c in "0123456789"}) + " " + frames[kind].format(seen) + " so on"))
+        for i in range(12):
+            value = unseen[kind].format(1000 + 37 * i)
+            text = " ".join(words(500 + i, 20)).translate({ord(c): None for c in "0123456789"}) + " " + frames[kind].format(value) + " and"
+            rows.append((1000 * k + 500 + i, text))
+            wanted.add((1000 * k + 500 + i, kind, text.index(value), text.index(value) + len(value)))
+    for i in range(60):  # numbers in other words' company, and the contexts' words beside plain ones
+        rows.append((9000 + i, f"on page {i} of the {i}th volume see version 2.{i}. please write to us, the address given, you may dial at any time with card in hand"))
+        clean.add(9000 + i)
+    return rows, wanted, clean
+
+
+def test_planted_identifiers_are_found(spark):
+    rows, wanted, clean = planted()
+    out = {r.doc_id: r for r in pii.find_pii(as_table(spark, rows)).collect()}
+    found = {(i, *(f(x) for f, x in zip((str, int, int), s.split(":")))) for i, r in out.items() for s in r.spans.split(",") if s and (i % 1000 >= 500 or i in clean)}
+    assert len(found & wanted) >= 0.9 * len(wanted), (len(found & wanted), len(wanted))
+    assert len(found & wanted) >= 0.9 * len(found), (len(found & wanted), sorted(found - wanted)[:9])
+    assert all(out[i].spans == "" for i in clean)
+
+
+def test_numbers_that_stand_together(spark):
+    """What the base patterns drop as too long, shapes and neighbours find."""
+    rows = [(i, f"{' '.join(words(i, 8)).translate({ord(c): None for c in '0123456789'})} +1 ({200 + i}) 555-{1000 + i} end") for i in range(30)]
+    rows.append((99, "so +1 (777) 555-7777 190.1.2.3 end"))
+    out = {r.doc_id: r for r in pii.find_pii(as_table(spark, rows)).collect()}
+    assert out[99].n_phone == 0 and out[99].spans == "phone:3:20,ip:21:30"
+
+
+def test_very_many_mentions(spark):
+    """Time goes with the number of matches, not with its square: spans are right at any place."""
+    text = " ".join(f"a{i}@b.co {i}" for i in range(6000))
+    r = pii.find_pii(as_table(spark, [(1, text)])).collect()[0]
+    assert r.n_email == 6000 and hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base(text)).encode()).hexdigest() == r.base_sha256
+
+
 def test_no_documents(none):
     assert pii.find_pii(none).count() == 0
