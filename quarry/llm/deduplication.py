@@ -16,8 +16,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those that link with a kept one.
 
     Of each component of the Jaccard join the document with the least doc_id
-    (null last, then by text) stays, once even if its row repeats; documents
-    without words link with nothing and all stay.
+    (null last, then by a hash of the text) stays, once even if its row repeats;
+    of rows that agree in doc_id and text but not in other columns any one stays.
+    Documents without words (null and empty texts) link with nothing and all
+    stay.  Very long texts are compared whole.  An empty table gives no rows.
     """
     columns = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))

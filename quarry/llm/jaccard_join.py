@@ -40,7 +40,7 @@ BLOCK = 2048
 HUBS = 2
 #: Texts that one verification group compares with its hub.
 GROUP = 64
-#: Wanted texts up to which their keys are broadcast (16 bytes each); beyond, a shuffle join.
+#: Wanted texts, and index keys, up to which their keys are broadcast (16 bytes each); beyond, a shuffle join.
 BROADCAST = 200_000
 
 
@@ -385,7 +385,7 @@ def _units(members: DataFrame) -> DataFrame:
     two members meet, and no unit outgrows two blocks.
     """
     large = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
-    large = stash(large, "large")
+    large = stash(large, "large")  # few: each has many members
     blocks = members.join(F.broadcast(large) if large.count() <= BROADCAST else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, other = F.pmod(F.xxhash64("cls"), F.col("blocks")), F.col("other")
     out = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -411,7 +411,9 @@ def set_components(docs: DataFrame) -> DataFrame:
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     # sets beyond BITS tokens have small bitmaps of their own for this
     one = rows.groupBy("cls").agg(F.first(F.coalesce("small", "bits")).alias("bits"))
-    members = stash(members.join(mixed, "key", "left_semi"), "members")
+    mixed = stash(mixed, "mixed")
+    members = stash(members.join(F.broadcast(mixed) if mixed.count() <= BROADCAST else mixed, "key", "left_semi"), "members")
+    release(mixed)
     units = _units(members).join(one, "cls").select("unit", "side", "comp", F.col("n").cast("bigint").alias("n"), "cls", "bits")
     units = units.repartition("unit").sortWithinPartitions("unit", "side", "comp", "n", "cls")
     more = stash(arrow_map(units, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
@@ -435,7 +437,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     link with nothing: component_id is their own doc_id.  component_id is the
     least doc_id of the component (null ids count only where there is no other).
     Documents with equal sets form one class, which is compared once.  Repeated
-    rows stay.  Extra columns are ignored.
+    rows stay.  An empty table gives no rows.  Of very long texts all shingles
+    count.  Extra columns are ignored, whatever their names.
     """
     rows = stash(set_components(docs), "components")
     heads = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -86,6 +86,53 @@ def test_runs_of_large_keys(monkeypatch):
     assert whole[1] and all(meet(step, run) == whole for step, run in ((7, 50), (60, 20), (100, 130), (33, 10**6)))
 
 
+def test_classes_that_come_once_a_task(monkeypatch):
+    """Classes that many tasks send fill no run: each comes once in a key, is compared, and is kept for the second round."""
+    monkeypatch.setattr(jaccard_join, "RUN", 1000)
+    rows = [(7, 0, 100, c) for c in (1, 2, 3) for _ in range(3000)] + [(7, 1, 100, c) for c in range(10, 20)]
+    names = ("key", "rare", "n", "cls")
+    batches = [pa.RecordBatch.from_pydict({c: [r[j] for r in rows[i : i + 700]] for j, c in enumerate(names)}) for i in range(0, len(rows), 700)]
+    members, pairs = set(), set()
+    for out in jaccard_join._meet(batches):
+        for a, b, k in zip(out["a"].tolist(), out["b"].tolist(), out["key"].tolist()):
+            pairs.add((a, b)) if k is None else members.add(a)
+    assert members == {1, 2, 3, *range(10, 20)}
+    assert {(1, x) for x in (2, 3, *range(10, 20))} <= pairs
+
+
+def test_hot_keys_in_blocks(spark, monkeypatch):
+    """Blocks and runs of any size give the same components, without and with a group that no hub links."""
+    passage = " ".join(words(8, 60))
+    rows = [(i, passage + " " + " ".join(words(900 + i % 37, 16 + i % 5))) for i in range(80)]
+    rows += [(200 + i, edited(" ".join(words(7, 120)), i, 0.012 * (i % 4))) for i in range(60)]
+    wanted = brute(rows)
+    for block, run in ((4, 16), (2048, 200_000)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "RUN", run)
+        assert got(as_table(spark, rows)) == wanted
+
+
+def test_units_bring_any_two_members_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, bits = np.full(40, 50), rng.integers(0, 2, (40, 16)).astype(np.uint64)
+    comp, cls = rng.integers(0, 6, 40), np.arange(40)
+    monkeypatch.setattr(jaccard_join, "may_link", lambda n, p, m, q: np.ones(len(m), bool))
+
+    def pairs(rows):
+        rows = sorted(rows)
+        batch = pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], pa.int64()) for j in range(5)), pa.array([bits[r[4]].tobytes() for r in rows])], names=list("uscnkb"))
+        return {(a, b) for out in jaccard_join._across([batch]) for a, b in zip(out["a"].tolist(), out["b"].tolist())}
+
+    whole = pairs([(1, 0, int(comp[c]), 50, int(c)) for c in cls])
+    assert whole == {(a, b) for a in range(40) for b in range(a + 1, 40) if comp[a] != comp[b]}
+    units = []
+    for c in cls:
+        for other in range(3):
+            own = int(c) % 3
+            units.append((10 * min(own, other) + max(own, other), int(own > other), int(comp[c]), 50, int(c)))
+    assert pairs(units) == whole
+
+
 def test_no_link_is_lost_between_random_sets():
     """Linked sets share an index key, whatever is frequent."""
     rng = np.random.default_rng(3)
