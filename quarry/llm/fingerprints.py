@@ -18,11 +18,18 @@ BASES = (1_103_515_245, 1_664_525_013)
 #: Code points of the spans that are sampled (a third of the text, if that is less), and how many a fingerprint keeps.
 SPAN = 24
 KEPT = 32
+#: One in so many spans of a longer text is looked for in another.
+ANCHOR = 16
+#: Code points of the longest text whose powers are kept (32 bytes each).
+REMEMBERED = 1 << 20
+#: Bytes of text for each partition, where the session's number of partitions would make them larger.
+PARTITION_BYTES = 64 << 20
+MOST_PARTITIONS = 1 << 17
 _POWERS: dict[int, list[np.ndarray]] = {}
 
 
 def _powers(k: int, n: int) -> list[np.ndarray]:
-    """B**i and B**-i modulo prime k, for i < n."""
+    """B**i and B**-i modulo prime k, for i < n; kept for the next text unless there are very many."""
     have = _POWERS.get(k)
     if have is None or len(have[0]) < n:
         p = PRIMES[k]
@@ -32,7 +39,8 @@ def _powers(k: int, n: int) -> list[np.ndarray]:
             while len(x) < max(n, 1 << 16):
                 x = np.concatenate([x, x * np.uint64(pow(base, len(x), p)) % np.uint64(p)])
             have.append(x)
-        _POWERS[k] = have
+        if n <= REMEMBERED:
+            _POWERS[k] = have
     return have
 
 
@@ -42,20 +50,22 @@ class PrefixHash:
     def __init__(self, codes: np.ndarray, shared: PrefixHash | None = None, keep: int = 0):
         """codes: code points.  The first ``keep`` prefixes are taken from ``shared``, whose text starts alike."""
         self.n = len(codes)
-        self.sums = []
+        self.sums, self.down = [], []
         x = (codes[keep:].astype(np.uint64) + np.uint64(1)) * np.uint64(2654435761)
         for k, p in enumerate(PRIMES):
+            up, down = _powers(k, self.n + 1)
             sums = np.empty(self.n + 1, np.uint64)
             sums[: keep + 1] = shared.sums[k][: keep + 1] if shared else 0
-            np.cumsum(x % np.uint64(p) * _powers(k, self.n)[0][keep : self.n] % np.uint64(p), out=sums[keep + 1 :])
+            np.cumsum(x % np.uint64(p) * up[keep : self.n] % np.uint64(p), out=sums[keep + 1 :])
             sums[keep + 1 :] += sums[keep]
             self.sums.append(sums)
+            self.down.append(down)
 
     def spans(self, start, end) -> np.ndarray:
         """62-bit hashes of spans (arrays of starts and ends)."""
         out = np.uint64(0)
         for k, p in enumerate(PRIMES):
-            h = (self.sums[k][end] - self.sums[k][start]) % np.uint64(p) * _powers(k, self.n + 1)[1][start] % np.uint64(p)
+            h = (self.sums[k][end] - self.sums[k][start]) % np.uint64(p) * self.down[k][start] % np.uint64(p)
             out = (out << np.uint64(31)) | h
         return out
 
@@ -64,24 +74,37 @@ class PrefixHash:
         m = self.n - size + 1
         out = np.zeros(m, np.uint64)
         for k, p in enumerate(PRIMES):
-            h = (self.sums[k][size:] - self.sums[k][:m]) % np.uint64(p) * _powers(k, self.n + 1)[1][:m] % np.uint64(p)
+            h = (self.sums[k][size:] - self.sums[k][:m]) % np.uint64(p) * self.down[k][:m] % np.uint64(p)
             out = (out << np.uint64(31)) | h
         return out
 
     def same(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
-        return bool(self.spans(i, i + length) == other.spans(j, j + length))
+        """Whether the spans of a length at i here and at j there are equal."""
+        for k, p in enumerate(PRIMES):
+            a, b, sums, others = self.sums[k], other.sums[k], self.down[k], other.down[k]
+            if (a.item(i + length) - a.item(i)) * sums.item(i) % p != (b.item(j + length) - b.item(j)) * others.item(j) % p:
+                return False
+        return True
 
     def extension(self, i: int, other: PrefixHash, j: int) -> int:
         """Length of the longest common span from i here and j there."""
-        most = min(self.n - i, other.n - j)
-        step = 1
-        while step <= most and self.same(i, other, j, step):
-            step *= 2
-        lo, hi = step // 2, min(most, step)
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if self.same(i, other, j, mid) else (lo, mid - 1)
-        return lo
+        return _longest(min(self.n - i, other.n - j), lambda m: self.same(i, other, j, m))
+
+    def extension_back(self, i: int, other: PrefixHash, j: int) -> int:
+        """Length of the longest common span that ends at i here and at j there."""
+        return _longest(min(i, j), lambda m: self.same(i - m, other, j - m, m))
+
+
+def _longest(most: int, holds) -> int:
+    """The greatest length up to ``most`` for which it holds, by doubling and halving."""
+    step = 1
+    while step <= most and holds(step):
+        step *= 2
+    lo, hi = step // 2, min(most, step)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if holds(mid) else (lo, mid - 1)
+    return lo
 
 
 def _span(n: int) -> int:
@@ -113,16 +136,51 @@ class Print:
         return f"{self.whole[0]:x}-{self.whole[1]:016x}-{self.least.astype('>u4').tobytes().hex()}"
 
     def likeness(self, other: Print) -> float:
-        """Share of sampled spans in common (Dice, from a bottom-k estimate of Jaccard), of the size that suits the shorter text; 1 for equal texts."""
+        """Share of both texts in common spans; 1 for equal texts.
+
+        Common spans are the longest common prefix and suffix, and the longest
+        extensions to both sides of equal spans that the fingerprints' samples
+        lead to, all by equality of span hashes; each has the length of a
+        sampled span at least.
+        """
         if self.whole == other.whole:
             return 1.0
-        span = _span(min(self.h.n, other.h.n))
-        mine, others = self.sample(span), other.sample(span)
-        if not len(mine) or not len(others):
+        a, b, span = self.h, other.h, _span(min(self.h.n, other.h.n))
+        if span > min(a.n, b.n):
             return 0.0
-        both = np.union1d(mine, others)[:KEPT]
-        j = len(np.intersect1d(np.intersect1d(both, mine, True), others, True)) / len(both)
-        return 2 * j / (1 + j)
+        found = []  # (start here, start there, length)
+        if a.same(0, b, 0, span):
+            found.append((0, 0, a.extension(0, b, 0)))
+        if a.same(a.n - span, b, b.n - span, span):
+            n = a.extension_back(a.n, b, b.n)
+            found.append((a.n - n, b.n - n, n))
+        if len(np.intersect1d(self.sample(span), other.sample(span), True)):
+            for i, j in _anchors(a, b, span):
+                if not any(x <= i and i + span <= x + n and y <= j and j + span <= y + n for x, y, n in found):
+                    back = a.extension_back(i, b, j)
+                    found.append((i - back, j - back, back + a.extension(i, b, j)))
+        return (_covered((x, n) for x, _, n in found) + _covered((y, n) for _, y, n in found)) / (a.n + b.n)
+
+
+def _anchors(a: PrefixHash, b: PrefixHash, span: int) -> list[tuple[int, int]]:
+    """(place here, place there) of equal spans, first occurrences, picked by their hash: one in ANCHOR."""
+    picked = []
+    for h in (a, b):
+        x = mix(h.windows(span))
+        at = np.flatnonzero(x % np.uint64(ANCHOR) == 0) if h.n > ANCHOR * KEPT else np.arange(len(x))
+        picked.append((x[at], at))
+    (x, i), (y, j) = picked
+    _, p, q = np.intersect1d(x, y, return_indices=True)
+    return sorted(zip(i[p].tolist(), j[q].tolist()))
+
+
+def _covered(spans) -> int:
+    """Places that spans (start, length) cover together."""
+    total = end = 0
+    for start, n in sorted(spans):
+        total += max(0, start + n - max(start, end))
+        end = max(end, start + n)
+    return total
 
 
 def _codes(text: str) -> np.ndarray:
@@ -186,26 +244,36 @@ def _ends(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, prefix_next for each row.
 
-    Documents are taken by descending doc_id (null last; repeated ids by text),
-    and the first follows the last; the edit replaces a text's last third by the
-    start of the document that follows.  prefix_next is the length of the
-    longest common prefix with it.  Null text is empty: two empty texts are
-    alike (1), an empty and another are not (0).  Texts go through one range
+    Documents are taken by descending doc_id (null last; repeated ids by a hash of
+    the text, equal rows in any order, which doesn't show in the result), and the
+    first follows the last; the edit replaces a text's last third by the start of
+    the document that follows.  A fingerprint is the length, the hash of the whole
+    text, and the least of its mixed span hashes; Print.likeness() compares two.
+    prefix_next is the length of the longest common prefix with the document that
+    follows.  Null text is empty: two empty texts are alike (1), an empty and
+    another are not (0).  An empty table gives no rows; a single document follows
+    itself.  Very long texts are hashed whole, 50 bytes a code point at a time.
+    Extra columns are ignored, whatever their names.  Texts go through one range
     shuffle; each partition pairs its own rows, and only its first and last row
     are matched across partitions.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("k"), F.col("i")]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"), F.monotonically_increasing_id().alias("i"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, _estimated_bytes(docs) // PARTITION_BYTES))
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("pid"), "doc_id", "text")
     types = ", ".join(f"{c} {t}" for c, t in zip(_OUT, _TYPES))
     done = stash(arrow_map(rows, _in_order, f"pid int, kind int, doc_id bigint, text string, {types}"), "prints")
-    # one first and one last row a partition: a row's follower is the first row of the next partition that has rows
-    ends = done.where("kind > 0").groupBy("pid").agg(F.max(F.when(F.col("kind") == 1, F.struct("text"))).alias("head"), F.max(F.when(F.col("kind") == 2, F.struct("doc_id", "text"))).alias("tail"))
-    after = F.coalesce(F.lead("head").over(Window.orderBy("pid")), F.first("head").over(Window.orderBy("pid")))
-    pairs = ends.withColumn("after", after).select(F.col("tail.doc_id").alias("doc_id"), F.col("tail.text").alias("text"), F.col("after.text").alias("following"))
+    # a row's follower is the first row of the next partition that has rows: numbers of partitions, and no texts, are put in order
+    pids = done.where("kind = 1").select("pid")
+    after = pids.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.first("pid").over(Window.orderBy("pid"))).alias("after"))
+    heads = done.where("kind = 1").select(F.col("pid").alias("after"), F.col("text").alias("following"))
+    pairs = done.where("kind = 2").select("pid", "doc_id", "text").join(F.broadcast(after), "pid").join(heads, "after").select("doc_id", "text", "following")
     return done.where("kind = 0").select("doc_id", *_OUT).unionByName(arrow_map(pairs, _ends, f"doc_id bigint, {types}"))
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def op7_fingerprints(spark, sf_dir):
     return fingerprints(documents(spark, sf_dir))
