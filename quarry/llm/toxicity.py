@@ -21,8 +21,13 @@ STEMS = (4, 5, 6, 7)
 #: Features that the model keeps: those whose toxic documents are no chance (natural log of its bound), the surest first.
 SURE = 12.0
 MOST_FEATURES = 4096
-#: Tokens on each side of a labelled one that a training sequence takes.
+#: Tokens on each side of a labelled one that a training sequence takes; sequences around labelled tokens, and from clean
+#: documents, of each of two sorts, at most.
 AROUND = 6
+MOST_TAGGED = 20_000
+MOST_CLEAN = 10_000
+#: Sequences whose marginals are held at once.
+HELD = 8192
 STEPS = 150
 RATE = 0.1
 RIDGE = 1e-4
@@ -265,7 +270,7 @@ def _token_labels(sample: Sample):
 
 
 def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
-    """Fit the chain by gradient ascent (Adam) on sequences around labelled tokens and as many from clean documents."""
+    """Fit the chain by gradient ascent (Adam) on sequences around labelled tokens (MOST_TAGGED) and from clean documents (MOST_CLEAN of any, and with a known feature)."""
     none = Crf(np.zeros(0, np.uint64), np.zeros(0), -10.0, np.zeros((2, 2)), np.zeros(2))
     if not toxic.any() or toxic.all():
         return none
@@ -279,7 +284,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
     rng = np.random.default_rng(5)
     first, row = sample.first, sample.row
     bad = np.flatnonzero(marked)
-    bad = bad[rng.permutation(len(bad))[:20_000]]
+    bad = bad[rng.permutation(len(bad))[:MOST_TAGGED]]
     begin = np.maximum(first[row[bad]], bad - rng.integers(0, length, len(bad)))
     begin = begin[begin + length <= first[row[begin] + 1]]
     # half of the clean sequences hold a known feature, so that the model learns what it must not say
@@ -287,7 +292,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
     has[token] = True
     clean = np.flatnonzero(~toxic[row] & (np.arange(len(row)) + length <= first[row + 1]))
     near = clean[has[np.minimum(clean + AROUND, len(has) - 1)]]
-    begin = np.concatenate([begin, *(x[rng.integers(0, len(x), 10_000)] for x in (clean, near) if len(x))])
+    begin = np.concatenate([begin, *(x[rng.integers(0, len(x), MOST_CLEAN)] for x in (clean, near) if len(x))])
     if not len(begin):
         return none
     at = begin[:, None] + np.arange(length)
@@ -308,10 +313,13 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Crf:
     want[k + 1 : k + 5] = np.bincount((2 * tag[:, :-1] + tag[:, 1:]).ravel(), minlength=4)
     want[k + 5 :] = np.bincount(tag[:, 0].astype(int), minlength=2)
     for step in range(1, STEPS + 1):
-        emit = np.zeros((*at.shape, 2))
-        emit[..., 1] = theta[k] + np.bincount(place, theta[feature], at.size).reshape(at.shape)
-        _, node, edge = _chain(emit, theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
-        have = np.concatenate([np.bincount(feature, node[..., 1].ravel()[place], k), [node[..., 1].sum()], edge.ravel(), node[:, 0].sum(0)])
+        score = theta[k] + np.bincount(place, theta[feature], at.size).reshape(at.shape)
+        p, edges, starts = np.empty(at.shape), np.zeros((2, 2)), np.zeros(2)
+        for lo in range(0, len(at), HELD):
+            part = score[lo : lo + HELD]
+            _, node, edge = _chain(np.stack([np.zeros(part.shape), part], -1), theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
+            p[lo : lo + HELD], edges, starts = node[..., 1], edges + edge, starts + node[:, 0].sum(0)
+        have = np.concatenate([np.bincount(feature, p.ravel()[place], k), [p.sum()], edges.ravel(), starts])
         g = (want - have) / len(at) - RIDGE * theta
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta += RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
@@ -344,8 +352,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
 
     A hash of doc_id picks about SAMPLE_TOXIC and SAMPLE_CLEAN documents; only
     their texts and labels come to the driver.  Rows with null in doc_id or
-    toxic don't take part; of repeated labels the highest counts.  Without both
-    classes the model scores every document alike, near 0.
+    toxic don't take part; of repeated labels the highest counts, of documents
+    that share an id one.  Near copies in the sample share one vote.  Null and
+    empty texts count as documents without tokens; of very long texts all tokens
+    take part.  Without both classes, or with an empty table, the model scores
+    every document alike, near 0.  Extra columns are ignored.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(crc_mod(3) != 1).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("l_toxic"))
     n = {bool(r[0]): r[1] for r in known.groupBy(F.col("l_toxic") > 0).count().collect()}
@@ -363,8 +374,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
 def score_documents(docs: DataFrame, model: Crf) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start, end, marginal of each toxic token, in code points) for each row.
 
-    Scores come from the text alone.  Null and empty texts have no token and get
-    the score of a document without a toxic one.  One pass, no shuffle.
+    Scores come from the text alone, so repeated texts score alike.  Null and
+    empty texts have no token and get the score of a document without a toxic
+    one; very long texts are scored whole; rows stay, repeated or not.  An empty
+    table gives no rows.  Extra columns are ignored.  One pass, no shuffle.
     """
 
     def run(batches):
@@ -384,7 +397,7 @@ def score_documents(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Crf) -> DataFrame:
-    """The documents, all columns as they are, that the model doesn't predict toxic; no shuffle."""
+    """The documents, all columns as they are, that the model doesn't predict toxic; no shuffle.  Odd rows as in score_documents()."""
     place = docs.columns.index("text")
 
     def run(batches):
@@ -399,4 +412,4 @@ def without_toxic(docs: DataFrame, model: Crf) -> DataFrame:
 
 def op4_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return score_documents(docs, train(docs, documents(spark, sf_dir, "labels"))).drop("spans")
+    return score_documents(docs, train(docs, documents(spark, sf_dir, "labels")))
