@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.spark import documents
+from quarry.llm.spark import documents, stash
 
 #: Bits of the hash that the directory can use.
 BITS = 60
 #: Bits below the expected depth that one pass looks at; buckets that need more get another pass.
 AHEAD = 4
+#: Buckets up to which the directory is broadcast (at most 2**AHEAD entries of some 100 bytes each); beyond, a shuffle join.
+BROADCAST = 20_000
+#: Copies of one row that a task makes anew.
+STRETCH = 10_000
 
 
 def hash_bits() -> F.Column:
@@ -35,10 +40,50 @@ def extendible_shards(docs: DataFrame, max_bytes: int, keep: list[str] | None =
     any bit: if together they pass the limit, their bucket is chained into pages
     (0, 1, ...) that each fit; elsewhere page is 0.  Equal rows are counted, not
     gathered, so no hot key meets in one task.  An empty table gives no rows.
+    Very long texts are documents like others.
     """
-    spark = docs.sparkSession
     keep = [c for c in (keep or docs.columns) if c not in ("n_bytes", "shard", "depth", "page")]
-    rows = docs.select(*(docs[c].alias(f"k_{c}") for c in keep), hash_bits().alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    names = [f"k_{c}" for c in keep]
+    rows = docs.select(*(docs[c].alias(n) for c, n in zip(keep, names)), hash_bits().alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    shards, full = _buckets(rows.select("bits", "n_bytes"), max_bytes)
+    levels = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 61
+    top = min(max(levels, default=0), min(levels, default=0) + AHEAD)
+    entries = directory(shards, top)
+    entries = F.broadcast(entries) if shards.count() <= BROADCAST else entries
+    dealt = rows.join(entries, F.substring("bits", 1, top) == F.col("entry")).select(*names, "bits", "n_bytes", "prefix", "depth")
+    if deep := [d for d in levels if d > top]:  # buckets that split far more often than others: their rows try the depths in use
+        below = shards.where(F.col("depth") > top)
+        near = below.select(F.expr(f"left(prefix, {top})").alias("entry")).distinct()
+        tried = rows.join(near, F.substring("bits", 1, top) == F.col("entry"), "left_semi")
+        tried = tried.withColumn("prefix", F.explode(F.transform(F.array(*map(F.lit, sorted(deep))), lambda d: F.col("bits").substr(F.lit(1), d))))
+        dealt = dealt.unionByName(tried.join(below, "prefix").select(*names, "bits", "n_bytes", "prefix", "depth"))
+    dealt = dealt.withColumn("page", F.lit(0).cast("bigint"))
+    if full.head(1):
+        alike = dealt.join(full, "prefix", "left_semi").groupBy(*names, "bits", "n_bytes", "prefix", "depth").agg(F.count("*").alias("copies"))
+        # rows that differ only in columns beside doc_id and text follow each other; a row here is a count, not a copy
+        earlier = Window.partitionBy("prefix").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+        alike = alike.withColumn("kind", F.xxhash64(*names)).withColumn("before", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
+        fit = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.col("n_bytes"), F.lit(1))))
+        # many copies of a row are dealt to tasks in stretches before they become rows again
+        stretch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / STRETCH))).alias("stretch")
+        dealt_out = alike.select("*", stretch).repartition(*names, "bits", "stretch")
+        each = F.sequence(F.col("stretch") * STRETCH, F.least(F.col("copies"), (F.col("stretch") + 1) * STRETCH) - 1)
+        chain = dealt_out.withColumn("i", F.explode(each)).withColumn("page", F.floor((F.col("before") + F.col("i")) / fit))
+        dealt = dealt.join(full, "prefix", "left_anti").select(*names, "n_bytes", "prefix", "depth", "page").unionByName(chain.select(*names, "n_bytes", "prefix", "depth", "page"))
+    return dealt.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "n_bytes", F.col("prefix").alias("shard"), "depth", "page")
+
+
+def directory(shards: DataFrame, depth: int) -> DataFrame:
+    """entry (so many hash bits), prefix, depth: the directory of the buckets (prefix, depth) that aren't deeper; a bucket of fewer bits has several entries."""
+    tails = F.expr(f"explode(sequence(0L, shiftleft(1L, {depth} - depth) - 1))").alias("tail")
+    out = shards.where(F.col("depth") <= depth).select("prefix", "depth", tails)
+    rest = F.expr(f"lpad(bin(tail), {depth} - depth, '0')")
+    return out.select(F.when(F.col("depth") == depth, F.col("prefix")).otherwise(F.concat("prefix", rest)).alias("entry"), "prefix", "depth")
+
+
+def _buckets(rows: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(prefix, depth) of all buckets, and prefix of those whose rows no bit tells apart and that don't fit."""
+    spark = rows.sparkSession
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(BITS, AHEAD + max(0, math.ceil(math.log2(max(1, total / max_bytes)))))
 
@@ -58,7 +103,7 @@ def extendible_shards(docs: DataFrame, max_bytes: int, keep: list[str] | None =
         inner = over.where("least < most").select("depth", "prefix")
         # a bucket is a child of an inner node, or the root, that is no inner node itself
         children = inner.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.concat("prefix", F.lit("0")), F.concat("prefix", F.lit("1")))).alias("prefix"))
-        root = spark.createDataFrame([(0, "")], "depth int, prefix string") if low == 0 else None
+        root = spark.range(1).select(F.lit(0).alias("depth"), F.lit("").alias("prefix")) if low == 0 else None
         found = (children if root is None else children.unionByName(root)).where(F.col("depth") <= depth).join(inner, ["depth", "prefix"], "left_anti")
         leaves.append(found)
         chained.append(over.where("least = most").join(found, ["depth", "prefix"], "left_semi").select("prefix"))
@@ -67,26 +112,8 @@ def extendible_shards(docs: DataFrame, max_bytes: int, keep: list[str] | None =
             break
         split, low, depth = again.select("prefix"), depth, min(BITS, depth + 12)
 
-    shards = leaves[0]
-    for more in leaves[1:]:
-        shards = shards.unionByName(more)
-    levels = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 61
-    # every document lies in exactly one bucket: try its prefixes of the depths in use
-    tried = rows.withColumn("prefix", F.explode(F.transform(F.array(*(F.lit(x) for x in sorted(levels))), lambda d: F.col("bits").substr(F.lit(1), d))) if levels else F.lit(""))
-    dealt = tried.join(shards, "prefix").withColumn("page", F.lit(0).cast("bigint"))
-    full = chained[0]
-    for more in chained[1:]:
-        full = full.unionByName(more)
-    names = [f"k_{c}" for c in keep]
-    if full.head(1):
-        alike = dealt.join(full, "prefix", "left_semi").groupBy(*names, "bits", "n_bytes", "prefix", "depth").agg(F.count("*").alias("copies"))
-        # rows that differ only in columns beside doc_id and text follow each other; a row here is a count, not a copy
-        earlier = Window.partitionBy("prefix").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
-        alike = alike.withColumn("kind", F.xxhash64(*names)).withColumn("before", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
-        fit = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.col("n_bytes"), F.lit(1))))
-        chain = alike.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).withColumn("page", F.floor((F.col("before") + F.col("i")) / fit))
-        dealt = dealt.join(full, "prefix", "left_anti").select(*names, "n_bytes", "prefix", "depth", "page").unionByName(chain.select(*names, "n_bytes", "prefix", "depth", "page"))
-    return dealt.select(*(F.col(f"k_{c}").alias(c) for c in keep), "n_bytes", F.col("prefix").alias("shard"), "depth", "page")
+    shards, full = reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, chained)
+    return stash(shards, "shards"), stash(full, "full")
 
 
 #: Bytes of text in a shard.  Small enough that the smallest test table needs several.
@@ -107,7 +134,10 @@ node AS (
   FROM d, (SELECT unnest(range(0, {BITS}))::INT AS depth) GROUP BY ALL),
 inner_node AS (SELECT depth, prefix FROM node WHERE n_bytes > {SHARD_BYTES} AND least < most),
 leaf AS (
-  SELECT d.doc_id, d.n_bytes, d.bits, coalesce(max(i.depth) + 1, 0) AS depth
-  FROM d LEFT JOIN inner_node i ON substr(d.bits, 1, i.depth) = i.prefix GROUP BY d.rowid_, d.doc_id, d.n_bytes, d.bits)
-SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, substr(bits, 1, depth) AS shard, CAST(depth AS INT) AS depth, CAST(0 AS BIGINT) AS page FROM leaf
-""".replace("d.rowid_, ", "")
+  SELECT bits, any_value(d.n_bytes) AS n_bytes, coalesce(max(i.depth) + 1, 0) AS depth
+  FROM (SELECT DISTINCT bits, n_bytes FROM d) d LEFT JOIN inner_node i ON substr(d.bits, 1, i.depth) = i.prefix GROUP BY bits),
+bucket AS (SELECT substr(d.bits, 1, l.depth) AS shard, sum(d.n_bytes) AS total FROM d JOIN leaf l ON d.bits = l.bits GROUP BY 1)
+SELECT doc_id, CAST(d.n_bytes AS BIGINT) AS n_bytes, shard, CAST(l.depth AS INT) AS depth,
+  CAST(CASE WHEN total > {SHARD_BYTES} THEN floor((row_number() OVER (PARTITION BY d.bits) - 1) / greatest(1, floor({SHARD_BYTES} / greatest(d.n_bytes, 1)))) ELSE 0 END AS BIGINT) AS page
+FROM d JOIN leaf l ON d.bits = l.bits JOIN bucket b ON substr(d.bits, 1, l.depth) = b.shard
+"""
