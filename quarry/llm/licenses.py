@@ -70,6 +70,8 @@ BAND = 12
 MATCH, MISMATCH, GAP = 2, -2, -2
 #: Share of a template's tokens that must be matched.
 COVERAGE = 0.6
+#: Bytes of templates, at most.
+TEMPLATE_BYTES = 8 << 20
 
 
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
@@ -178,16 +180,30 @@ def places(want: np.ndarray, have: np.ndarray, bands: list[tuple[int, int]]) ->
     return out
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def template_texts(table: DataFrame) -> dict[str, str]:
+    """The templates of a table (license, text), of which every task will hold a copy; rows with nulls don't count, of repeated names one does."""
+    known = table.where("license is not null and text is not null").select(F.col("license").cast("string"), "text")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates; {TEMPLATE_BYTES} are allowed")
+    return {r[0]: r[1] for r in known.orderBy("license", "text").collect()}
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES) -> DataFrame:
     """A row for each place of a document that holds at least COVERAGE of a template's tokens.
 
     Columns: doc_id, license, template_tokens, matched, coverage, start, end
     (code points, end exclusive).  Tokens are runs of letters and digits, A-Z
     lower-cased.  Null and empty texts hold none; repeated rows give repeated
-    results; templates of fewer than GRAM words are not looked for.  Several
-    places of one template in a document are several rows.  One pass, no shuffle.
+    results; an empty table gives no rows; templates of fewer than GRAM words
+    are not looked for.  Several places of one template in a document are
+    several rows, and places of different templates may overlap; of alignments
+    that score alike the one that starts first in the template counts.  Very
+    long texts are searched whole.  Extra columns are ignored.  One pass, no
+    shuffle.  templates: names to texts, or a table (license, text) of up to
+    TEMPLATE_BYTES.
     """
-    index = TemplateIndex(templates)
+    index = TemplateIndex(template_texts(templates) if isinstance(templates, DataFrame) else templates)
 
     def run(batches):
         for b in batches:

@@ -66,7 +66,7 @@ class Counter:
             for part, off in self.parts(text):
                 batch.append(part), owner.append(i)
                 out[i] -= off
-                size += len(part)
+                size += len(part) if part.isascii() else len(part.encode())
                 if size >= BATCH_BYTES:
                     flush()
                     size = 0
@@ -83,7 +83,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit for each row; null text is empty, which has no tokens.
 
     One pass without a shuffle.  Texts go to the library in batches of about
-    BATCH_BYTES, longer ones in parts split where no token can cross.
+    BATCH_BYTES of UTF-8, very long ones in parts split where no token can cross
+    (a run of PIECE_CHARS or more without a space or line feed in one part).
+    Rows stay, repeated or not; null ids pass through; an empty table gives no
+    rows; extra columns are ignored, whatever their names.
     """
 
     def run(batches):
