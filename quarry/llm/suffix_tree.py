@@ -43,13 +43,13 @@ DEPTH = 3
 #: Occurrences in training that a string needs, whatever the corpus.
 LEAST = 2
 #: Bytes of text that are scored together, with the part of the tree that they need.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Training tokens for each place of a table.
 PLACE_TOKENS = 1 << 20
 #: Places of a table, at least.
 PLACES = 64
 #: Turns in which the parts ask for their entries.
-TURNS = 2
+TURNS = 4
 #: Share of all training tokens of the words whose counts every task holds (at most 1 / WORD_SHARE); others are looked up.
 WORD_SHARE = 1e-6
 DISCOUNT = 0.75
@@ -304,7 +304,7 @@ def _count_strings(k: int, sieve: Sieve, words: Table, n: int):
                 word = s.token[at + k - 1]
                 string = np.where(may[at + 1], longer(short[at], word), np.uint64(0))
                 held.append((short[at], string, word, s.string(k - 2)[at + 1] if k > 2 else word[:0]))
-                if sum(len(x[0]) for x in held) > HELD * 3 // 2:
+                if sum(len(x[0]) for x in held) > HELD:
                     yield from _block_table(list(blocks(held))).to_batches(200)
         if held:
             yield from _block_table(list(blocks(held))).to_batches(200)
@@ -390,6 +390,7 @@ def grow_tree(learn: DataFrame, words: DataFrame, listed: Table, total: float, n
         levels.append(stash(level, "level"))
         release(found)
         low = often = levels[-1].where("kind = 0")
+        trim()  # the last sieve
     entries = functools.reduce(DataFrame.unionAll, levels).where("kind = 1").unionAll(words.where("kind = 0"))
     tree = stash(entries.groupBy("place").applyInArrow(_merged, _BLOCKS), "tree")
     release(*levels, words)
@@ -419,6 +420,7 @@ class Table:
         if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         i = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+        i = i[np.argsort(h[i])]  # in order the keys are found much faster
         at = np.searchsorted(self.keys, h[i])
         at[at == len(self.keys)] = 0
         hit = self.keys[at] == h[i]
@@ -622,6 +624,7 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     for turn in range(TURNS):  # each time a part of the requests lies about
         asked = parts.where(F.pmod(F.xxhash64("source"), F.lit(TURNS)) == turn).select("source", "a")
         answers.append(stash(lookup(arrow_map(asked, _ask(often, sieve, n), _BLOCKS), tree), "answers"))
+        trim()
     answers = functools.reduce(DataFrame.unionAll, answers)
     release(tree)
     scored = parts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(often, total, sieve), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
