@@ -15,7 +15,7 @@ from quarry.llm.text import NOT_ALNUM, Words, chunks, code_points, mix
 #: more need four tokens that fit, shorter ones three; the masks are such that items with half of their tokens replaced are hit.
 MASKS = ("1111", "11011", "110101", "1010011", "1100101", "10010101", "110001001")
 SHORT_MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
-LONG = 15
+LONG = 20
 #: Items with fewer tokens would match ordinary prose and are searched for only on request, without substitutions.
 LEAST_TOKENS = 5
 #: Share of an item's tokens that must be found for a document to count as contaminated.

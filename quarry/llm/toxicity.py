@@ -56,19 +56,28 @@ def lowered(column: pa.Array) -> pa.Array:
 
 
 def _chain(emit: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Forward-backward of many sequences of one length: log Z, node and edge marginals. emit: (sequences, length, 2)."""
+    """Forward-backward of many sequences of one length: log Z, node and edge marginals. emit: (sequences, length, 2).
+
+    Each step's sums are scaled to one, so probabilities do instead of their logarithms.
+    """
     n, m, _ = emit.shape
-    f, b = np.empty((m, n, 2)), np.zeros((m, n, 2))
-    f[0] = start + emit[:, 0]
-    for t in range(1, m):
-        f[t] = np.logaddexp(f[t - 1][:, :1] + trans[0], f[t - 1][:, 1:] + trans[1]) + emit[:, t]
+    top = emit.max(-1)
+    e = np.exp(emit - top[..., None]).transpose(2, 1, 0).copy()  # (2, length, sequences)
+    step, f, b, scale = np.exp(trans), np.empty((2, m, n)), np.ones((2, m, n)), np.empty((m, n))
+    f[:, 0] = np.exp(start)[:, None] * e[:, 0]
+    for t in range(m):
+        if t:
+            f[0, t] = (f[0, t - 1] * step[0, 0] + f[1, t - 1] * step[1, 0]) * e[0, t]
+            f[1, t] = (f[0, t - 1] * step[0, 1] + f[1, t - 1] * step[1, 1]) * e[1, t]
+        scale[t] = f[0, t] + f[1, t]
+        f[:, t] /= scale[t]
+    e /= scale
     for t in range(m - 2, -1, -1):
-        x = emit[:, t + 1] + b[t + 1]
-        b[t] = np.logaddexp(trans[:, 0] + x[:, :1], trans[:, 1] + x[:, 1:])
-    z = np.logaddexp(f[-1][:, 0], f[-1][:, 1])
-    node = np.exp(f + b - z[:, None])
-    edge = np.exp(f[:-1, :, :, None] + trans + (emit.transpose(1, 0, 2)[1:] + b[1:])[:, :, None, :] - z[:, None, None])
-    return z, node.transpose(1, 0, 2), edge.sum((0, 1))
+        x, y = e[0, t + 1] * b[0, t + 1], e[1, t + 1] * b[1, t + 1]
+        b[0, t], b[1, t] = step[0, 0] * x + step[0, 1] * y, step[1, 0] * x + step[1, 1] * y
+    e *= b
+    edge = step * (f[:, :-1].reshape(2, -1) @ e[:, 1:].reshape(2, -1).T)
+    return np.log(scale).sum(0) + top.sum(1), (f * b).transpose(2, 1, 0), edge
 
 
 @dataclass

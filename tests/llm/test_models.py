@@ -183,6 +183,49 @@ def test_compressed_marginals_are_the_chains():
         assert np.allclose(model.marginals(at, weight, n), node[0, at, 1])
 
 
+def test_marginals_are_those_of_all_taggings():
+    rng = np.random.default_rng(5)
+    emit, trans, start = rng.normal(size=(3, 6, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    z, node, edge = toxicity._chain(emit, trans, start)
+    edges = np.zeros((2, 2))
+    for s in range(3):
+        total, marginal = 0.0, np.zeros((6, 2))
+        for tags in itertools.product((0, 1), repeat=6):
+            w = math.exp(start[tags[0]] + sum(emit[s, i, t] for i, t in enumerate(tags)) + sum(trans[a, b] for a, b in itertools.pairwise(tags)))
+            total += w
+            for i, t in enumerate(tags):
+                marginal[i, t] += w
+        assert z[s] == pytest.approx(math.log(total)) and np.allclose(node[s], marginal / total)
+        for tags in itertools.product((0, 1), repeat=6):
+            w = math.exp(start[tags[0]] + sum(emit[s, i, t] for i, t in enumerate(tags)) + sum(trans[a, b] for a, b in itertools.pairwise(tags)))
+            for a, b in itertools.pairwise(tags):
+                edges[a, b] += w / total
+    assert np.allclose(edge, edges)
+
+
+def test_scores_are_those_of_the_whole_chain(spark):
+    """The query's spans and scores against a chain over every token, by the plain recursions."""
+    rows, labels = toxic_rows(200)
+    docs, known = as_table(spark, rows + [(500, None), (501, ""), (502, "nastyword")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, known)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    for r in toxicity.score_documents(docs, model).collect():
+        text = dict(rows).get(r.doc_id, "nastyword" if r.doc_id == 502 else "")
+        w = kernel(toxicity.lowered(pa.array([text]))[0].as_py()) if text else None
+        n = len(w.hash) if w else 0
+        p = np.zeros(0)
+        if n:
+            emit = np.zeros((1, n, 2))
+            emit[0, :, 1] = model.bias
+            for t, h in zip(*toxicity.word_features(w)):
+                emit[0, t, 1] += weight.get(int(h), 0.0)
+            listed = np.unique([t for t, h in zip(*toxicity.word_features(w)) if int(h) in weight]).astype(int)
+            p = toxicity._chain(emit, model.trans, model.start)[1][0, listed, 1]
+            assert [(s.start, round(s.marginal, 6)) for s in r.spans] == [(int(w.start[t]), round(x, 6)) for t, x in zip(listed, p) if x > 0.5]
+        x = toxicity._summary(p, n)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.scale)))), abs=1e-9)
+
+
 def test_toxicity_without_labels(spark, none, odd):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = toxicity.score_documents(odd, toxicity.train(odd, empty)).collect()
@@ -260,6 +303,56 @@ def test_short_texts_have_spans_in_common():
     assert printed("").likeness(printed("a")) == 0 and printed("").likeness(printed("")) == 1
 
 
+def plain_likeness(a, b):
+    """Print.likeness() by plain string comparison, of texts of which every span is an anchor."""
+    if a == b:
+        return 1.0
+    span = fingerprints._span(min(len(a), len(b)))
+    if span > min(len(a), len(b)):
+        return 0.0
+    prefix = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    suffix = next((k for k in range(min(len(a), len(b))) if a[-1 - k] != b[-1 - k]), min(len(a), len(b)))
+    found = [(0, 0, prefix)] * (prefix >= span) + [(len(a) - suffix, len(b) - suffix, suffix)] * (suffix >= span)
+    first = [{}, {}]
+    for seen, text in zip(first, (a, b)):
+        for i in range(len(text) - span + 1):
+            seen.setdefault(text[i : i + span], i)
+    for i, j in sorted((i, first[1][x]) for x, i in first[0].items() if x in first[1]):
+        if not any(x <= i and i + span <= x + n and y <= j and j + span <= y + n for x, y, n in found):
+            back = next((k for k in range(min(i, j)) if a[i - 1 - k] != b[j - 1 - k]), min(i, j))
+            on = next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))
+            found.append((i - back, j - back, back + on))
+    covered = [len({p for s in found for p in range(s[side], s[side] + s[2])}) for side in (0, 1)]
+    return sum(covered) / (len(a) + len(b))
+
+
+def test_likeness_is_that_of_plain_strings():
+    rng = random.Random(12)
+    for _ in range(150):
+        a = " ".join(words(rng.randint(0, 6), rng.randint(0, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 30)] = rng.choice(["", "Q", " other words instead ", a[:40]])
+        b = "".join(b) if rng.random() < 0.9 else " ".join(words(99, 30))
+        pa_, pb = (fingerprints.Print(fingerprints.PrefixHash(fingerprints._codes(x))) for x in (a, b))
+        wanted = plain_likeness(a, b)
+        sampled = bool(len(np.intersect1d(pa_.sample(span := fingerprints._span(min(len(a), len(b)))), pb.sample(span)))) if min(len(a), len(b)) else False
+        got = pa_.likeness(pb)
+        assert got == pytest.approx(pb.likeness(pa_)) and 0 <= got <= 1
+        assert got == pytest.approx(wanted) if sampled or a == b else got <= wanted + 1e-9
+
+
+def test_near_copies_are_like_and_others_are_not():
+    long = " ".join(words(3, 4000))
+    printed = lambda t: fingerprints.Print(fingerprints.PrefixHash(fingerprints._codes(t)))
+    w = long.split()
+    for i in range(0, len(w), 50):
+        w[i] = "edited"
+    assert printed(long).likeness(printed(" ".join(w))) > 0.9
+    assert printed(long).likeness(printed(" ".join(words(4, 4000)))) < 0.05
+
+
 # -- licenses
 
 
@@ -299,6 +392,9 @@ def test_licenses(spark, none):
         inside = kernel(text[r.doc_id][r.start : r.end]).hash.tolist()
         assert plain_alignment(want, inside) == r.matched
     assert licenses.license_scan(none).count() == 0
+    table = spark.createDataFrame([("own", "do with these few lines whatever you like"), (None, "x y z"), ("no text", None)], "license string, text string")
+    found = licenses.license_scan(as_table(spark, [(1, "You may DO with these few lines whatever you like, friend.")]), table).collect()
+    assert [(r.doc_id, r.license, r.matched) for r in found] == [(1, "own", 8)]
 
 
 def test_close_copies_of_a_license_line(spark):
@@ -366,3 +462,54 @@ def test_pieces_in_order_add_up(spark):
     assert {(r.doc_id, r.item_id, r.matched) for r in out} == {(1, 1, 30), (2, 1, 20)}
     found = {r.doc_id: r for r in out}
     assert " ".join(texts[1])[found[1].start : found[1].end] == " ".join(texts[1][40:94])
+
+
+def plain_overlap(want, have):
+    """Most tokens of an item that one diagonal of a document matches."""
+    return max((sum(0 <= d + i < len(have) and have[d + i] == t for i, t in enumerate(want)) for d in range(-len(want) + 1, len(have))), default=0)
+
+
+def test_substitutions_at_every_length():
+    """Of documents that hold enough of an item by comparison of every diagonal, nine in ten at least are found; prose isn't."""
+    rng = np.random.default_rng(9)
+    missed = {}
+    for n in [*range(5, 24), 30, 45]:
+        item = words(5000 + n, n)
+        index = decontamination.SeedIndex([(n, " ".join(item))])
+        want = index.tokens[0]
+        for k in range(n - math.ceil(decontamination.needed(n)) + 1):
+            found = 0
+            for trial in range(60):
+                w = list(item)
+                for at in rng.permutation(n)[:k]:
+                    w[at] = f"sub{trial}x{at}"
+                doc = kernel(" ".join(words(trial, 12) + w + words(trial + 99, 12)))
+                have = doc.hash
+                assert plain_overlap(want.tolist(), have.tolist()) >= decontamination.needed(n)
+                places = list(index.overlaps(doc))
+                found += bool(places)
+                assert all(p[2] >= n - k for p in places)
+            missed[n, k] = 1 - found / 60
+        assert not list(index.overlaps(kernel(" ".join(words(31, 400)))))
+    assert max(missed.values()) <= 0.1, {x: m for x, m in missed.items() if m > 0.1}
+
+
+def test_short_items_on_request(spark):
+    bench = spark.createDataFrame([(1, "blue moon"), (2, "moon"), (3, "a whole item of six words")], "item_id long, text string")
+    docs = as_table(spark, [(1, "once in a Blue, MOON or so"), (2, "blue as the moon"), (3, "so a whole item of seven words it is")])
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(3, 3)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, least=2).collect()} == {(1, 1), (3, 3)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, least=1).collect()} == {(1, 1), (1, 2), (2, 2), (3, 3)}
+
+
+def test_large_benchmarks_are_joined(spark, monkeypatch):
+    items = [(i, " ".join(words(3000 + i, 8 + i))) for i in range(30)] + [(None, " ".join(words(3003, 11))), (77, None), (78, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(words(i, 20)) + " " + t.replace(t.split()[2], "sub") + " " + " ".join(words(i + 7, 20)) + " " + t) for i, t in items[:30]]
+    docs = as_table(spark, rows + [rows[4], (None, rows[5][1]), *((600 + (i or 0), t) for i, t in odd_rows())])
+    one = sorted(map(str, decontamination.contaminated(docs, bench).collect()))
+    kept = sorted(str(r.doc_id) for r in decontamination.without_contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
+    assert sorted(map(str, decontamination.contaminated(docs, bench).collect())) == one and len(one) >= 32
+    clean = decontamination.without_contaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == kept

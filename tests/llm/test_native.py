@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import mixing, pii, sharding
 from tests.llm.conftest import as_table, odd_rows, words
@@ -47,6 +48,23 @@ def test_equal_ids_with_other_texts_split(spark):
     assert max(r.page for r in shard_check(as_table(spark, rows), rows, 300)) == 0
 
 
+def test_buckets_of_very_different_depths(spark, monkeypatch):
+    """Rows of deep buckets, and many copies of one row, take other ways than the directory's; the shards are the same."""
+    rows = [(1, "same text")] * 300 + [(i, " ".join(words(i, 5))) for i in range(80)]
+    df = as_table(spark, rows)
+    one = sorted(map(str, shard_check(df, rows, 200)))
+    monkeypatch.setattr(sharding, "STRETCH", 7)
+    assert sorted(map(str, shard_check(df, rows, 200))) == one
+    shards, _ = sharding._buckets(df.select(sharding.hash_bits().alias("bits"), F.octet_length("text").cast("bigint").alias("n_bytes")), 200)
+    depth = max(r.depth for r in shards.collect())
+    entries = [r.entry for r in sharding.directory(shards, depth).collect()]
+    assert len(set(entries)) == len(entries) == 2**depth
+    ahead = sharding.AHEAD
+    monkeypatch.setattr(sharding, "directory", lambda shards, top, whole=sharding.directory: whole(shards, top))
+    monkeypatch.setattr(sharding, "AHEAD", 0)
+    assert sorted(map(str, shard_check(df, rows, 200))) == one and ahead > 0
+
+
 def test_no_shards(none):
     assert sharding.extendible_shards(none, 100).count() == 0
 
@@ -107,6 +125,37 @@ def test_repeated_rows_are_taken_in_part(spark):
     mix_check(as_table(spark, rows))
 
 
+def test_the_cut_is_refined(spark, monkeypatch):
+    """However the cut is looked for, the sample is the same, and its odds expect the words wanted."""
+    rows = [(i, " ".join(words(i, 5 + i % 40))) for i in range(400)] + [(5000, "")] * 3
+    df = as_table(spark, rows)
+    whole = mixing.mix_sources(df).collect()
+    one = sorted(map(str, whole))
+    for digit, rounds, cell in ((1, 6, 3), (3, 2, 1), (2, 1, 10_000)):
+        for name, value in (("DIGIT", digit), ("ROUNDS", rounds), ("CELL", cell)):
+            monkeypatch.setattr(mixing, name, value)
+        assert sorted(map(str, mixing.mix_sources(df).collect())) == one
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(map(str, mixing.mix_sources(df).collect())) == one
+    expected, facts = collections.Counter(), {}
+    for r in whole:
+        expected[r.source] += r.inclusion * r["size"]
+        facts[r.source] = (r.target, r.source_size)
+    for s, (target, size) in facts.items():
+        assert expected[s] == pytest.approx(target % size, rel=0.05, abs=1)
+
+
+def test_rows_that_differ_in_other_columns_all_count(spark):
+    rows = as_table(spark, [(1, "a b c"), (1, "a b c"), (2, "d e f g"), (3, "h")]).withColumn("n_chars", F.monotonically_increasing_id())
+    copies = {r.doc_id: r.copies for r in mixing.mix_sources(rows).collect()}
+    out = collections.Counter((r.doc_id, r.n_chars) for r in mixing.mixture(rows).collect())
+    for r in rows.collect():
+        if r.doc_id != 1:
+            assert out[r.doc_id, r.n_chars] == copies[r.doc_id]
+    total = sum(r.copies for r in mixing.mix_sources(rows).where("doc_id = 1").collect())
+    assert sum(n for (i, _), n in out.items() if i == 1) == total
+
+
 def test_mixture_repeats_rows(odd, none):
     out = mixing.mixture(odd)
     assert out.columns == odd.columns

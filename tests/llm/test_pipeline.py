@@ -52,6 +52,23 @@ def test_filters_keep_odd_rows(spark, odd, none):
     assert as_table(spark, []).count() == 0
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, none):
+    import corpus_pipeline
+
+    for docs, n in ((none, 0), (odd, len(odd_rows()))):
+        columns = docs.columns
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, sf).persist()
+            assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+            if n and i == 0:
+                assert docs.count() == n  # nothing in them is toxic
+            if n and i == 1:
+                texts = [r.text for r in docs.collect()]
+                assert texts.count(None) == 2 and texts.count("") == 2 and len(texts) == len(set(map(str, texts))) + 2
+        assert (docs.count() > 0) == (n > 0)
+        assert {"doc_id", "shard", "n_bytes", "page"} <= set(docs.columns)
+
+
 def test_sql_agrees(spark, sf):
     from quarry.llm import registry
 
