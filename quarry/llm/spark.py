@@ -57,17 +57,17 @@ def _setting(spark: SparkSession, name: str, value: str):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def stash(df: DataFrame, name: str = "t") -> DataFrame:
+def stash(df: DataFrame, name: str = "t", packed: bool = False) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends, each row is computed once.
 
     (checkpoint() computes its input twice unless that is cached.)  Shuffle
     files that the write needed go once it is done.  The table goes when
-    release() is called or with the process.
+    release() is called or with the process.  packed: the rows are compressed already.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "none" if packed else "zstd").parquet(path)
     if not _live:
         atexit.register(_drop_all, spark)
     _live.add(path)

@@ -18,7 +18,7 @@ score a sum of its entries.
 Tables that grow with the corpus are dealt to places by the high bits of their
 keys, and travel as packed blocks of sorted numbers.  lookup() sends sorted keys
 to their places and the numbers found there back; a place holds about
-PLACE_TOKENS tokens' share of a table, a part of the texts PART_BYTES.
+the share of PLACE_BYTES of text, a part of the texts PART_BYTES.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.blocks import Sieve, distinct, grouped, pack, pack_keys, passes, steps, unpack, unpack_keys
 from quarry.llm.spark import arrow_map, crc_mod, documents, release, stash, trim
-from quarry.llm.text import Words, chunks, mix
+from quarry.llm.text import Words, chunks, mix, unmix
 
 #: Words of the longest context.
 DEPTH = 3
@@ -44,12 +44,12 @@ DEPTH = 3
 LEAST = 2
 #: Bytes of text that are scored together, with the part of the tree that they need.
 PART_BYTES = 8 << 20
-#: Training tokens for each place of a table.
-PLACE_TOKENS = 1 << 20
+#: Bytes of training text for each place of a table.
+PLACE_BYTES = 6 << 20
 #: Places of a table, at least.
 PLACES = 64
-#: Turns in which the parts ask for their entries.
-TURNS = 4
+#: Turns in which the parts ask for their entries and are scored.
+TURNS = 2
 #: Share of all training tokens of the words whose counts every task holds (at most 1 / WORD_SHARE); others are looked up.
 WORD_SHARE = 1e-6
 DISCOUNT = 0.75
@@ -150,8 +150,11 @@ def _requests(kind: int, keys: np.ndarray, source: int, n: int) -> list[tuple]:
 def _summed(entries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of blocks, sorted, and the sum of the entries of each."""
     none = np.zeros(0, np.uint64)
-    keys = np.concatenate([none, *(unpack_keys(x.as_py()) for x in entries["a"])])
-    values = np.concatenate([none, *(fractions(unpack(x.as_py())[0]) for x in entries["b"])])
+    keys = [unpack_keys(x.as_py()) for x in entries["a"]]
+    values = [fractions(unpack(x.as_py())[0]) for x in entries["b"]]
+    if len(keys) == 1:  # merged already
+        return keys[0], values[0]
+    keys, values = np.concatenate([none, *keys]), np.concatenate([none, *values])
     order, first, _ = grouped(keys)
     return keys[order[first]], np.add.reduceat(values[order], first) if len(first) else values
 
@@ -190,44 +193,63 @@ def _answers(table: pa.Table) -> np.ndarray:
 # -- counts
 
 
-def _tally(held: list, into: list):
-    """Add up (keys, counts) pairs."""
-    key, count = (np.concatenate(c) for c in zip(*held))
-    order, first, _ = grouped(key)
-    into[:] = [(key[order[first]], np.add.reduceat(count[order], first))]
+def _tally(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, their counts) of parts that each have them."""
+    keys, counts = (np.concatenate(c) for c in zip(*held))
+    order, first, _ = grouped(keys)
+    return keys[order[first]], np.add.reduceat(counts[order], first)
+
 
+def _count_words(n: int):
+    """Blocks of the words' keys and counts, added up within a task as far as memory allows."""
 
-def _slices(columns: dict, step: int = 100_000):
-    n = len(next(iter(columns.values())))
-    for at in range(0, n, step):
-        yield {k: v[at : at + step] for k, v in columns.items()}
+    def blocks(held):
+        keys, counts = _tally(held)
+        return _block_table([(0, at, None, pack_keys(keys[i]), pack(counts[i])) for at, i in by_place(keys, n)]).to_batches(200)
 
+    def run(batches):
+        held: list = []
+        for b in batches:
+            for _, data, offs in chunks(b.column(0)):
+                token = np.sort(Stream(data, offs).token)
+                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                held.append((word_key(token[first]), np.diff(np.r_[first, len(token)])))
+                if sum(len(k) for k, _ in held) > 2 * HELD:
+                    held = [_tally(held)]
+                    if len(held[0][0]) > HELD:
+                        yield from blocks(held)
+                        held = []
+        if held:
+            yield from blocks(held)
 
-def _count_words(batches):
-    """Rows (word, count), added up within a task as far as memory allows."""
-    held: list = []
+    return run
+
+
+def _add_words(table: pa.Table) -> pa.Table:
+    """From the blocks of a place: an entry of each word's count (kind 0), and the keys of those that are repeated (kind 1)."""
+    place = table["place"][0].as_py()
+    keys, counts = _tally([(unpack_keys(a.as_py()), unpack(b.as_py())[0].view(np.int64)) for a, b in zip(table["a"], table["b"])])
+    again = keys[counts >= LEAST]
+    return _block_table([(0, place, None, pack_keys(keys), pack(numbers(counts / FINE))), *([(1, place, None, pack_keys(again), None)] if len(again) else [])])
+
+
+def _word_counts(batches):
+    """(keys, counts) of blocks of words."""
     for b in batches:
-        for _, data, offs in chunks(b.column(0)):
-            held.append(np.unique(Stream(data, offs).token, return_counts=True))
-            if sum(len(k) for k, _ in held) > 2 * HELD:
-                _tally(held, held)
-                if len(held[0][0]) > HELD:
-                    keys, counts = held.pop()
-                    yield from _slices({"word": keys.view(np.int64), "count": counts})
-    if held:
-        _tally(held, held)
-        keys, counts = held.pop()
-        yield from _slices({"word": keys.view(np.int64), "count": counts})
+        for keys, values in zip(b.column("a"), b.column("b")):
+            yield unpack_keys(keys.as_py()), np.rint(fractions(unpack(values.as_py())[0]) * FINE).astype(np.int64)
+
 
+def _totals(batches):
+    for keys, counts in _word_counts(batches):
+        yield {"tokens": [int(counts.sum())], "words": [len(keys)]}
 
-def _word_blocks(n: int):
-    """Entries of each word's count (kind 0), and the words themselves that are repeated (kind 1)."""
 
+def _frequent(least: float):
     def run(batches):
-        for b in batches:
-            word, count = np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))
-            often = word[count >= LEAST]
-            yield from _block_table([*_entries(0, word_key(word), numbers(count / FINE), n), *([(1, None, None, pack_keys(np.sort(often)), None)] if len(often) else [])]).to_batches(1000)
+        for keys, counts in _word_counts(batches):
+            some = counts >= least
+            yield {"word": unmix(keys[some]).view(np.int64) ^ _WORD.view(np.int64), "count": counts[some]}
 
     return run
 
@@ -297,7 +319,7 @@ def _count_strings(k: int, sieve: Sieve, words: Table, n: int):
             for _, data, offs in chunks(b.column(0)):
                 s = Stream(data, offs)
                 short, at = s.string(k - 1), s.starts(k)
-                may = passes(bits, short)
+                may = passes(bits, word_key(short) if k == 2 else short)
                 at = at[may[at]]
                 if not len(at):
                     continue
@@ -380,19 +402,19 @@ def _level(k: int, words: Table, n: int, total: float):
 
 
 def grow_tree(learn: DataFrame, words: DataFrame, listed: Table, total: float, n: int) -> DataFrame:
-    """The tree's entries and the words' counts, a block for each place; words: those of _word_blocks(); listed: the words that every task holds."""
+    """The tree's entries and the words' counts, a block for each place; words: those of _add_words(); listed: the words that every task holds."""
     levels, low, often = [], words.where("kind = 0"), words.where("kind = 1")
     for k in range(2, DEPTH + 2):
         found = arrow_map(learn, _count_strings(k, Sieve(often), listed, n), _BLOCKS).groupBy("place").applyInArrow(_add_up(k, listed, n), _BLOCKS)
-        found = stash(found, "strings")
+        found = stash(found, "strings", True)
         answers = lookup(found.where("kind = 1"), low)
         level = found.where("kind = 0").groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_level(k, listed, n, total), _BLOCKS)
-        levels.append(stash(level, "level"))
+        levels.append(stash(level, "level", True))
         release(found)
         low = often = levels[-1].where("kind = 0")
         trim()  # the last sieve
     entries = functools.reduce(DataFrame.unionAll, levels).where("kind = 1").unionAll(words.where("kind = 0"))
-    tree = stash(entries.groupBy("place").applyInArrow(_merged, _BLOCKS), "tree")
+    tree = stash(entries.groupBy("place").applyInArrow(_merged, _BLOCKS), "tree", True)
     release(*levels, words)
     return tree
 
@@ -608,26 +630,28 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(~training, F.lit(True)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     learn = texts.where(~F.col("held_out")).select("text")
-    counts = stash(arrow_map(learn, _count_words, "word bigint, count bigint").groupBy("word").agg(F.sum("count").alias("count")), "counts")
-    tokens, distinct = counts.agg(F.sum("count"), F.count("*")).first()
+    n = max(PLACES, (learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PLACE_BYTES)
+    words = stash(arrow_map(learn, _count_words(n), _BLOCKS).groupBy("place").applyInArrow(_add_words, _BLOCKS), "words", True)
+    counts = words.where("kind = 0").select("a", "b")
+    tokens, distinct_words = arrow_map(counts, _totals, "tokens bigint, words bigint").agg(F.sum("tokens"), F.sum("words")).first()
     tokens = tokens or 0
-    total, n = tokens + distinct + 1.0, max(PLACES, tokens // PLACE_TOKENS)
-    often = counts.where(F.col("count") >= WORD_SHARE * tokens).toArrow()
+    total = tokens + (distinct_words or 0) + 1.0
+    often = arrow_map(counts, _frequent(WORD_SHARE * tokens), "word bigint, count bigint").toArrow()
     often = Table(np.asarray(often["word"]).view(np.uint64), np.asarray(often["count"]).astype(float))
-    words = stash(arrow_map(counts, _word_blocks(n), _BLOCKS), "words")
-    release(counts)
     tree = grow_tree(learn, words, often, total, n)
     sieve = Sieve(tree)
 
-    parts = stash(arrow_map(texts, _parts, _BLOCKS), "parts")
-    answers = []
-    for turn in range(TURNS):  # each time a part of the requests lies about
-        asked = parts.where(F.pmod(F.xxhash64("source"), F.lit(TURNS)) == turn).select("source", "a")
-        answers.append(stash(lookup(arrow_map(asked, _ask(often, sieve, n), _BLOCKS), tree), "answers"))
+    parts = stash(arrow_map(texts, _parts, _BLOCKS), "parts", True)
+    scored = []
+    for turn in range(TURNS):  # each time a part of the requests and answers lies about
+        mine = parts.where(F.pmod(F.xxhash64("source"), F.lit(TURNS)) == turn)
+        answers = stash(lookup(arrow_map(mine.select("source", "a"), _ask(often, sieve, n), _BLOCKS), tree), "answers", True)
+        score = mine.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(often, total, sieve), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        scored.append(stash(score, "scored"))
+        release(answers)
         trim()
-    answers = functools.reduce(DataFrame.unionAll, answers)
-    release(tree)
-    scored = parts.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(often, total, sieve), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    release(tree, parts)
+    scored = functools.reduce(DataFrame.unionAll, scored)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -40,6 +40,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What mix() made x from."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 2**64))
+    x ^= (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x *= np.uint64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
+    x ^= (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+    return x
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse; kept for the next chunk unless a text was very long."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
