@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ MOST = 3
 DIGIT = 12
 ROUNDS = 4
 CELL = 10_000
-#: Sources up to which facts of them are broadcast (some 100 bytes each).
+#: Sources up to which facts of them are broadcast, and groups of rows that no rule covers (some 100 bytes each).
 BROADCAST = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,29 +65,46 @@ def _odds_scale(groups: DataFrame, wanted: DataFrame) -> DataFrame:
     return known.select("s", found.alias("scale"))
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    Returns doc_id, source, text_key, size, source_size, target, inclusion,
-    copies, taken for each row.  A source whose target is r times its size gives
-    each document floor(r) certain copies.  The rest is a fixed-size sample in
-    words: documents ranked by random odds over inclusion odds (a scale times
-    the square root of the size, solved for each source so that the expected
-    words are those wanted) give one more copy each while the words fit; last,
-    the document whose size comes closest to what is left, if that brings the
-    source nearer.  inclusion is the probability of the one copy more by which a
-    document was ranked; the scale doesn't change the order within a source.
+@dataclass
+class Mix:
+    """What a mix takes, as far as it isn't said by a rule.
 
-    Null text has size 0, null source is a source.  Equal rows (doc_id, source,
-    text) are counted and dealt as a group, of which a part may be taken; groups
-    of equal rank go by doc_id, then text.  A source without words takes nothing.
-    Very long texts are documents like others: one that doesn't fit ends the
-    sample.  An empty table gives no rows.  Extra columns are ignored, whatever
-    their names.
+    facts: one row a source: s, source_size, target, whole (certain copies),
+    scale (of the inclusion odds), cell (where the sample ends).  Groups of equal
+    rows whose place, without its last bits, is below the cell give one more copy of each row,
+    those above none.  exceptions: d, t, k (doc_id, source, text_key), n (rows), more (copies more of all of
+    them): the groups in the cell, and the last document of each source.
     """
+
+    facts: DataFrame
+    exceptions: DataFrame
+    bits: int
+    few: bool
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows (of _ranked()) with their source's facts and, where they are exceptions, e_n and e_more."""
+        known = rows.join(F.broadcast(self.facts) if self.few else self.facts, F.col("source").eqNullSafe(F.col("s")))
+        same = F.col("source").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+        odd = self.exceptions.withColumnsRenamed({"n": "e_n", "more": "e_more"})
+        small = odd.count() <= BROADCAST
+        return known.join(F.broadcast(odd) if small else odd, same, "left").withColumn("below", F.shiftright("place", self.bits) < F.col("cell"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows with their rank in the sample of their source, and its place: an integer that grows with it."""
+    # within a source the inclusion odds are a constant times the root of the size, so this orders as the Pareto rank does
+    ranked = rows.withColumn("rank", F.col("u") / (1 - F.col("u")) / F.sqrt(F.greatest(F.col("size"), F.lit(1))))
+    last = F.lit((1 << DIGIT * ROUNDS) - 1)
+    return ranked.withColumn("place", F.least(F.floor(F.col("rank") * 20 / (1 + F.col("rank") * 20) * float(1 << DIGIT * ROUNDS)), last))
+
+
+def _described(docs: DataFrame, *columns: str) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
-    rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), size.alias("size"), _uniform().alias("u"))
-    groups = stash(rows.groupBy("doc_id", "source", "text_key", "size", "u").agg(F.count("*").alias("n")), "mix")
+    return docs.select("doc_id", "source", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), size.alias("size"), _uniform().alias("u"), *columns)
+
+
+def _mix(groups: DataFrame) -> Mix:
+    """The mix of groups of equal rows (doc_id, source, text_key, size, u, n)."""
     found = stash(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows")), "sources")
     few = found.count() <= BROADCAST
 
@@ -102,16 +121,11 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     facts = stash(sources.join(facts_of(scale), F.col("s").eqNullSafe(F.col("t")), "left").drop("t").withColumn("cell", F.lit(0).cast("bigint")).withColumn("before", F.lit(0).cast("bigint")), "facts")
     release(sources)
 
-    # within a source the inclusion odds are a constant times the root of the size, so this orders as the Pareto rank does
-    root = F.sqrt(F.greatest(F.col("size"), F.lit(1)))
-    ranked = groups.withColumn("rank", F.col("u") / (1 - F.col("u")) / root)
-    last_place = F.lit((1 << DIGIT * ROUNDS) - 1)
-    ranked = ranked.withColumn("place", F.least(F.floor(F.col("rank") * 20 / (1 + F.col("rank") * 20) * float(1 << DIGIT * ROUNDS)), last_place))
-    same = F.col("source").eqNullSafe(F.col("s"))
+    ranked, same = _ranked(groups), F.col("source").eqNullSafe(F.col("s"))
     for step in range(1, ROUNDS + 1):
-        below = DIGIT * (ROUNDS - step)
-        inside = ranked.join(facts_of(facts), same).where(F.shiftright("place", below + DIGIT) == F.col("cell"))
-        steps = inside.groupBy("s", F.shiftright("place", below).alias("bucket")).agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("rows"))
+        bits = DIGIT * (ROUNDS - step)
+        inside = ranked.join(facts_of(facts), same).where(F.shiftright("place", bits + DIGIT) == F.col("cell"))
+        steps = inside.groupBy("s", F.shiftright("place", bits).alias("bucket")).agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("rows"))
         steps = steps.join(facts_of(facts.select(F.col("s").alias("t"), "wanted", "before")), F.col("s").eqNullSafe(F.col("t")))
         by = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         steps = steps.withColumn("until", F.col("before") + F.sum("words").over(by))
@@ -124,26 +138,55 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         release(facts)
         facts = cut.drop("rows")
         facts._quarry_path = cut._quarry_path
-        if (cut.agg(F.max("rows")).first()[0] or 0) <= CELL:
+        most, every = cut.agg(F.max("rows"), F.sum("rows")).first()
+        if (most or 0) <= CELL and (every or 0) <= BROADCAST:
             break
-    with_facts = ranked.join(facts_of(facts), same).withColumn("place", F.shiftright("place", below))
+    known = ranked.join(facts_of(facts), same).withColumn("place", F.shiftright("place", bits))
     inside = Window.partitionBy("source").orderBy("rank", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    edge = with_facts.where(F.col("place") == F.col("cell")).withColumn("left", F.col("wanted") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    edge = known.where(F.col("place") == F.col("cell")).withColumn("left", F.col("wanted") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     # at the cut a part of a group of equal rows may fit; after the first row that doesn't, nothing is taken
     fit = F.when(F.col("left") < 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.floor(F.col("left") / F.col("size"))))
     edge = edge.withColumn("more", fit.cast("bigint")).withColumn("passed", F.max(F.when(F.col("more") < F.col("n"), 1).otherwise(0)).over(inside))
-    edge = edge.withColumn("more", F.when(F.coalesce(F.col("passed"), F.lit(0)) == 1, 0).otherwise(F.col("more")).cast("bigint")).drop("left", "passed")
-    rest = with_facts.where(F.col("place") != F.col("cell")).withColumn("more", F.when(F.col("place") < F.col("cell"), F.col("n")).otherwise(0).cast("bigint"))
-    dealt = stash(rest.unionByName(edge), "dealt")
-    release(groups, facts)
+    edge = edge.withColumn("more", F.when(F.coalesce(F.col("passed"), F.lit(0)) == 1, 0).otherwise(F.col("more")).cast("bigint"))
+    edge = stash(edge.select("s", "wanted", "before", "doc_id", "text_key", "size", "rank", "n", "more"), "edge")
 
-    gap = dealt.groupBy(F.col("s").alias("g")).agg((F.first("wanted") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
-    open_ = dealt.where((F.col("more") < F.col("n")) & (F.col("size") > 0)).join(facts_of(gap), F.col("s").eqNullSafe(F.col("g")))
+    # last, the document whose size comes closest to what is left
+    gap = edge.groupBy(F.col("s").alias("g")).agg((F.first("wanted") - F.first("before") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
+    above = known.where(F.col("place") > F.col("cell")).select("s", "doc_id", "text_key", "size", "rank", "n", F.lit(0).cast("bigint").alias("more"))
+    open_ = above.unionByName(edge.where("more < n").select(*above.columns)).where("size > 0").join(facts_of(stash(gap, "gap")), F.col("s").eqNullSafe(F.col("g")))
     away = F.abs(F.col("gap") - F.col("size"))
-    last = open_.where(away < F.col("gap")).groupBy("g").agg(F.min(F.struct(away.alias("away"), "rank", "doc_id", "text_key")).alias("pick"))
-    last = facts_of(last.select(F.col("g"), F.col("pick.doc_id").alias("d"), F.col("pick.text_key").alias("k")))
-    same = F.col("s").eqNullSafe(F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
-    dealt = dealt.join(last, same, "left").withColumn("more", F.col("more") + F.when(F.col("k").isNotNull(), 1).otherwise(0))
+    last = open_.where(away < F.col("gap")).groupBy("g").agg(F.min(F.struct(away.alias("away"), "rank", "doc_id", "text_key", "n", "more")).alias("pick"))
+    last = last.select(F.col("pick.doc_id").alias("d"), F.col("g").alias("t"), F.col("pick.text_key").alias("k"), F.col("pick.n").alias("n"), (F.col("pick.more") + 1).alias("more"))
+    every = last.unionByName(edge.select(F.col("doc_id").alias("d"), F.col("s").alias("t"), F.col("text_key").alias("k"), "n", "more"))
+    exceptions = stash(every.groupBy("d", "t", "k").agg(F.max("n").alias("n"), F.max("more").alias("more")), "exceptions")
+    release(edge)
+    return Mix(facts, exceptions, bits, few)
+
+
+def mix_sources(docs: DataFrame) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    Returns doc_id, source, text_key, size, source_size, target, inclusion,
+    copies, taken for each row.  A source whose target is r times its size gives
+    each document floor(r) certain copies.  The rest is a fixed-size sample in
+    words: documents ranked by random odds over inclusion odds (a scale times
+    the square root of the size, solved for each source so that the expected
+    words are those wanted) give one more copy each while the words fit; last,
+    the document whose size comes closest to what is left, if that brings the
+    source nearer.  inclusion is the probability of the one copy more by which a
+    document was ranked; the scale doesn't change the order within a source.
+
+    Null text has size 0, null source is a source.  Equal rows (doc_id, source,
+    text) are counted and dealt as a group, of which a part may be taken; groups
+    of equal rank go by doc_id, then text.  A source without words takes nothing.
+    Very long texts are documents like others: one that doesn't fit ends the
+    sample.  An empty table gives no rows.  Extra columns are ignored, whatever
+    their names.
+    """
+    rows = _described(docs)
+    groups = stash(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "mix")
+    dealt = _mix(groups).placed(_ranked(groups))
+    dealt = dealt.withColumn("more", F.coalesce("e_more", F.when(F.col("below"), F.col("n")).otherwise(0)))
     copies = F.col("whole") + F.when(F.col("i") <= F.col("more"), 1).otherwise(0)
     odds = F.coalesce("scale", F.lit(0.0)) * F.sqrt(F.greatest(F.col("size"), F.lit(1)))
     return dealt.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select(
@@ -154,22 +197,25 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it; those it doesn't take go.
 
-    Rows that agree in doc_id, source and text but not in other columns each
-    come as often as their group's share; where that is no whole number, one of
-    them stands for the group.  Other odd rows: as in mix_sources().
+    Whether a row is taken is said by its source's facts and a small table of
+    exceptions, so the texts aren't shuffled.  Rows that agree in doc_id, source
+    and text but not in other columns each come as often as their group's share;
+    where that is no whole number, one of them stands for the group.  Other odd
+    rows: as in mix_sources().
     """
-    key = ["doc_id", "source", "text_key"]
-    taken = stash(mix_sources(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0"), "taken")
-    own = [f"_quarry_{i}" for i in range(3)]
-    rows = docs.withColumn("_quarry_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    taken = taken.select(*(F.col(c).alias(o) for c, o in zip(key, own)), F.col("copies").alias("_quarry_copies"), F.col("n").alias("_quarry_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_quarry_0")) & F.col("source").eqNullSafe(F.col("_quarry_1")) & (F.col("_quarry_key") == F.col("_quarry_2"))
-    even = F.col("_quarry_copies") % F.col("_quarry_n") == 0
-    out = rows.join(taken.where(even), same).withColumn("_quarry_copies", F.expr("_quarry_copies div _quarry_n"))
-    if taken.where(~even).head(1):  # at most a few groups a source
-        one = rows.join(taken.where(~even), same).dropDuplicates(own)
-        out = out.unionByName(one)
-    return out.withColumn("_quarry_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_quarry_copies")))).select(*docs.columns)
+    rows = _described(docs)
+    groups = stash(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "mix")
+    mix = _mix(groups)
+    release(groups)
+    placed = mix.placed(_ranked(_described(docs, F.struct(*docs.columns).alias("row"))))
+    total = F.col("whole") * F.col("e_n") + F.col("e_more")
+    even = F.coalesce(total % F.col("e_n") == 0, F.lit(True))
+    copies = F.coalesce((total / F.col("e_n")).cast("bigint"), F.col("whole") + F.col("below").cast("bigint"))
+    out = placed.where(even).select("row", copies.alias("copies"))
+    if mix.exceptions.where("more % n > 0").head(1):  # at most a few groups a source
+        one = placed.where(~even).dropDuplicates(["doc_id", "source", "text_key"])
+        out = out.unionByName(one.select("row", total.alias("copies")))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op8_mixing(spark, sf_dir):
