@@ -35,7 +35,7 @@ SMALL = 8
 #: Distinct sets of an index key that are held at once.
 RUN = 200_000
 #: Members of a key that the second round compares in one place; larger keys are split into blocks of about so many.
-BLOCK = 2048
+BLOCK = 1024
 #: Members of a larger index key that all others are compared with first.
 HUBS = 2
 #: Texts that one verification group compares with its hub.
