@@ -44,8 +44,8 @@ DEPTH = 3
 LEAST = 2
 #: Bytes of text that are scored together, with the part of the tree that they need.
 PART_BYTES = 8 << 20
-#: Bytes of training text for each place of a table.
-PLACE_BYTES = 6 << 20
+#: Bytes of text for each place of a table.
+PLACE_BYTES = 8 << 20
 #: Places of a table, at least.
 PLACES = 64
 #: Turns in which the parts ask for their entries and are scored.
@@ -86,6 +86,11 @@ class Stream:
         self.row = np.repeat(np.arange(w.rows), self.count)
         self.first = np.r_[0, np.cumsum(self.count)]
         self.strings = {1: self.token}
+        # the distinct tokens, how often each comes, and which each token is
+        order, first, self.times = grouped(self.token)
+        self.kinds = self.token[order[first]]
+        self.kind = np.empty(len(order), np.int32)
+        self.kind[order] = np.repeat(np.arange(len(first), dtype=np.int32), self.times)
 
     def string(self, k: int) -> np.ndarray:
         """Hash of the k tokens that start at each token; 0 where the row ends before."""
@@ -209,16 +214,13 @@ def _count_words(n: int):
 
     def run(batches):
         held: list = []
-        for b in batches:
-            for _, data, offs in chunks(b.column(0)):
-                token = np.sort(Stream(data, offs).token)
-                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                held.append((word_key(token[first]), np.diff(np.r_[first, len(token)])))
-                if sum(len(k) for k, _ in held) > 2 * HELD:
-                    held = [_tally(held)]
-                    if len(held[0][0]) > HELD:
-                        yield from blocks(held)
-                        held = []
+        for s in _learned(batches):
+            held.append((word_key(s.kinds), s.times))
+            if sum(len(k) for k, _ in held) > 2 * HELD:
+                held = [_tally(held)]
+                if len(held[0][0]) > HELD:
+                    yield from blocks(held)
+                    held = []
         if held:
             yield from blocks(held)
 
@@ -254,11 +256,15 @@ def _frequent(least: float):
     return run
 
 
-def _coded(words: Table, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words as their numbers in a table (from 1), 0 for others; and these others."""
+def _code(words: Table, x: np.ndarray) -> np.ndarray:
+    """Words as their numbers in a table, from 1; 0 for others."""
     code = np.zeros(len(x), np.uint64)
     i, at = words.places(x)
     code[i] = at + 1
+    return code
+
+
+def _others(code: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, x[code == 0]
 
 
@@ -270,16 +276,21 @@ def _decoded(words: Table, code: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
-def _string_block(k: int, words: Table, place: int, source, states: tuple, strings: tuple) -> tuple:
-    """A row with strings of k tokens.
+def _string_blocks(k: int, words: Table, n: int, source, states: tuple, strings: tuple) -> Iterator[tuple]:
+    """A row for each place with strings of k tokens.
 
     states: sorted contexts, how often each is seen, how many strings it has,
     and, of those that have any, the tail (the context without its first token);
     strings: the words after the contexts, and their counts.
     """
     context, seen, many, tail = states
-    tail = () if k == 2 else _coded(words, tail) if k == 3 else (tail,)
-    return 0, place, source, pack(steps(context), seen, many, *tail), pack(*_coded(words, strings[0]), strings[1])
+    code = _code(words, strings[0])
+    tail_code = _code(words, tail) if k == 3 else None
+    ends, has = np.r_[0, np.cumsum(many)], np.r_[0, np.cumsum(many > 0)]
+    for place, i in by_place(context, n):
+        j, t = slice(ends[i.start], ends[i.stop]), slice(has[i.start], has[i.stop])
+        tails = () if k == 2 else _others(tail_code[t], tail[t]) if k == 3 else (tail[t],)
+        yield 0, place, source, pack(steps(context[i]), seen[i], many[i], *tails), pack(*_others(code[j], strings[0][j]), strings[1][j])
 
 
 def _strings(k: int, words: Table, a: bytes, b: bytes) -> tuple:
@@ -303,31 +314,27 @@ def _count_strings(k: int, sieve: Sieve, words: Table, n: int):
         pick = has[order[first]]
         pick = pick[by := np.argsort(context[pick])]
         of, word, tail, count = context[pick], word[pick], tail[pick] if k > 2 else word[pick], count[by]
-        order, first, seen = grouped(context)
-        context = context[order[first]]
+        context = np.sort(context)
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        context, seen = context[first], np.diff(np.r_[first, len(context)])
         at = np.searchsorted(of, context)
         many = np.diff(np.r_[at, len(of)])
-        for place, i in by_place(context, n):
-            j = slice(at[i.start], at[i.stop] if i.stop < len(at) else len(of))
-            own = at[i][many[i] > 0]
-            yield _string_block(k, words, place, None, (context[i], seen[i], many[i], tail[own]), (word[j], count[j]))
+        yield from _string_blocks(k, words, n, None, (context, seen, many, tail[at[many > 0]]), (word, count))
 
     def run(batches):
-        held = []
-        for b in batches:
-            bits = sieve.table()
-            for _, data, offs in chunks(b.column(0)):
-                s = Stream(data, offs)
-                short, at = s.string(k - 1), s.starts(k)
-                may = passes(bits, word_key(short) if k == 2 else short)
-                at = at[may[at]]
-                if not len(at):
-                    continue
-                word = s.token[at + k - 1]
-                string = np.where(may[at + 1], longer(short[at], word), np.uint64(0))
-                held.append((short[at], string, word, s.string(k - 2)[at + 1] if k > 2 else word[:0]))
-                if sum(len(x[0]) for x in held) > HELD:
-                    yield from _block_table(list(blocks(held))).to_batches(200)
+        held, bits = [], None
+        for s in _learned(batches):
+            bits = sieve.table() if bits is None else bits
+            short, at = s.string(k - 1), s.starts(k)
+            may = passes(bits, word_key(s.kinds))[s.kind] if k == 2 else passes(bits, short)
+            at = at[may[at]]
+            if not len(at):
+                continue
+            word = s.token[at + k - 1]
+            string = np.where(may[at + 1], longer(short[at], word), np.uint64(0))
+            held.append((short[at], string, word, s.string(k - 2)[at + 1] if k > 2 else word[:0]))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield from _block_table(list(blocks(held))).to_batches(200)
         if held:
             yield from _block_table(list(blocks(held))).to_batches(200)
 
@@ -353,8 +360,8 @@ def _add_up(k: int, words: Table, n: int):
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         order, start, _ = grouped(context)
         seen = np.add.reduceat(seen[order], start)[np.searchsorted(context[order[start]], of[first])]
-        strings = _string_block(k, words, place, place, (of[first], seen, np.diff(np.r_[first, len(of)]), tail[first]), (word, count))
-        return _block_table([strings, *_requests(1, distinct(_low_key(k, tail, word)), place, n)])
+        strings = _string_blocks(k, words, n, place, (of[first], seen, np.diff(np.r_[first, len(of)]), tail[first]), (word, count))
+        return _block_table([*strings, *_requests(1, distinct(_low_key(k, tail, word)), place, n)])
 
     return run
 
@@ -555,11 +562,23 @@ def _streams(block: bytes):
                 yield s, b.column(0).slice(at, s.rows), b.column(1).slice(at, s.rows)
 
 
+def _learned(batches) -> Iterator[Stream]:
+    """The chunks of the training texts of parts."""
+    for parts in batches:
+        for block in parts.column(0):
+            with pa.ipc.open_stream(block.as_py()) as texts:
+                for b in texts:
+                    for _, data, offs in chunks(b.column(2).filter(pc.invert(b.column(1)))):
+                        yield Stream(data, offs)
+
+
 def _asked(s: Stream, listed: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(token, key) of the entries that a chunk may have: counts of words that aren't listed first, then strings."""
     at = np.flatnonzero(~listed)
     yield at, word_key(s.token[at])
-    for k in range(1, DEPTH + 2):
+    at = np.flatnonzero(passes(table, s.kinds)[s.kind])
+    yield at, s.token[at]
+    for k in range(2, DEPTH + 2):
         at = s.starts(k)
         h = s.string(k)[at]
         may = passes(table, h)
@@ -568,10 +587,10 @@ def _asked(s: Stream, listed: np.ndarray, table: np.ndarray) -> Iterator[tuple[n
 
 def _listed(words: Table, s: Stream) -> tuple[np.ndarray, np.ndarray]:
     """Whether each token's word is among the words, and its count."""
-    listed, count = np.zeros(len(s.token), bool), np.zeros(len(s.token))
-    at, c = words.find(s.token)
+    listed, count = np.zeros(len(s.kinds), bool), np.zeros(len(s.kinds))
+    at, c = words.find(s.kinds)
     listed[at], count[at] = True, c
-    return listed, count
+    return listed[s.kind], count[s.kind]
 
 
 def _ask(words: Table, sieve: Sieve, n: int):
@@ -629,8 +648,9 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     numbers are exact to 2**-28.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(~training, F.lit(True)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    learn = texts.where(~F.col("held_out")).select("text")
-    n = max(PLACES, (learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PLACE_BYTES)
+    parts = stash(arrow_map(texts, _parts, _BLOCKS), "parts", True)
+    n = max(PLACES, parts.count() * PART_BYTES // PLACE_BYTES)
+    learn = parts.select("a")
     words = stash(arrow_map(learn, _count_words(n), _BLOCKS).groupBy("place").applyInArrow(_add_words, _BLOCKS), "words", True)
     counts = words.where("kind = 0").select("a", "b")
     tokens, distinct_words = arrow_map(counts, _totals, "tokens bigint, words bigint").agg(F.sum("tokens"), F.sum("words")).first()
@@ -641,7 +661,6 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     tree = grow_tree(learn, words, often, total, n)
     sieve = Sieve(tree)
 
-    parts = stash(arrow_map(texts, _parts, _BLOCKS), "parts", True)
     scored = []
     for turn in range(TURNS):  # each time a part of the requests and answers lies about
         mine = parts.where(F.pmod(F.xxhash64("source"), F.lit(TURNS)) == turn)
