@@ -853,6 +853,26 @@ def nulls_last_subquery(t):
     return engine_with(t, "nation").query("SELECT n_nationkey FROM (SELECT n_nationkey FROM nation ORDER BY nullif(n_regionkey, 4) DESC, n_nationkey LIMIT 3) x")
 
 
+@query("SELECT n_name FROM nation WHERE now() > TIMESTAMP '2020-01-01 00:00:00'")
+def fn_now(t):
+    return engine_with(t, "nation").query("SELECT n_name FROM nation WHERE now() > TIMESTAMP '2020-01-01 00:00:00'")
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def order_redundant(t):
+    # neither sort has an effect on the groups: the optimizer takes both out
+    return S.order_by(S.order_by(t("nation"), "n_name"), ("n_regionkey", "DESC")).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 50 AND 90 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey = 200")
+def index_maintained(t):
+    e = _indexed(t)
+    e.run("DELETE FROM sales WHERE o_orderkey = 200; DROP INDEX by_customer")
+    e.attach("extra", t("orders").where("o_orderkey = 200"))
+    e.execute("INSERT INTO sales SELECT * FROM extra")
+    return e.index_scan("by_key", "o_orderkey BETWEEN 50 AND 90 OR o_orderkey = 200", ["o_orderkey"])
+
+
 @query("SELECT greatest(n_nationkey, n_regionkey) AS most, least(n_nationkey, n_regionkey) AS low FROM nation")
 def row_level_max(t):
     return t("nation").select(F.greatest("n_nationkey", "n_regionkey").alias("most"), F.least("n_nationkey", "n_regionkey").alias("low"))

@@ -128,6 +128,8 @@ def test_join_strategies_are_taken(spark, sf):
     assert "BroadcastHashJoin" in plan("join_broadcast_hint")
     assert "BroadcastNestedLoopJoin" in plan("join_nested_loop")
     assert "SortAggregate" in plan("agg_sort")
+    optimized = catalogue.queries()["order_redundant"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in optimized
 
 
 def test_not_in_semantics(spark):
