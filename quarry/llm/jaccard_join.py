@@ -378,7 +378,7 @@ def linked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """unit, side, comp, n, cls: members of a key that are to be compared in one place.
+    """unit, key, turn, side, comp, n, cls: members of a key that are to be compared in one place.
 
     A key of at most BLOCK members is one unit.  A larger one is dealt to blocks
     by class, and each two blocks (or one with itself) are a unit, so that any
@@ -389,8 +389,10 @@ def _units(members: DataFrame) -> DataFrame:
     blocks = members.join(F.broadcast(large) if large.count() <= BROADCAST else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, other = F.pmod(F.xxhash64("cls"), F.col("blocks")), F.col("other")
     out = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return out.select(unit.alias("unit"), F.when(F.col("own") > other, 1).otherwise(0).alias("side"), "comp", "n", "cls")
+    out = out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    # the units of a key are numbered, so that they can be dealt out evenly
+    turn = F.expr("lo * blocks - (lo * (lo - 1)) div 2 + hi - lo")
+    return out.select(F.xxhash64("key", "lo", "hi").alias("unit"), "key", turn.alias("turn"), F.when(F.col("own") > other, 1).otherwise(0).alias("side"), "comp", "n", "cls")
 
 
 def set_components(docs: DataFrame) -> DataFrame:
@@ -414,8 +416,11 @@ def set_components(docs: DataFrame) -> DataFrame:
     mixed = stash(mixed, "mixed")
     members = stash(members.join(F.broadcast(mixed) if mixed.count() <= BROADCAST else mixed, "key", "left_semi"), "members")
     release(mixed)
-    units = _units(members).join(one, "cls").select("unit", "side", "comp", F.col("n").cast("bigint").alias("n"), "cls", "bits")
-    units = units.repartition("unit").sortWithinPartitions("unit", "side", "comp", "n", "cls")
+    units = _units(members).join(one, "cls")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = units.withColumn("task", F.pmod(F.pmod(F.xxhash64("key"), F.lit(tasks)) + F.col("turn"), F.lit(tasks)).cast("int"))
+    units = units.repartitionById(tasks, "task").sortWithinPartitions("unit", "side", "comp", "n", "cls")
+    units = units.select("unit", "side", "comp", F.col("n").cast("bigint").alias("n"), "cls", "bits")
     more = stash(arrow_map(units, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     release(members)
     if more.head(1):
