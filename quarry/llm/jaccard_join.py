@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.spark import arrow_map, documents, release, stash
+from quarry.llm.spark import arrow_map, documents, few_files, release, stash
 from quarry.llm.text import Words, chunks, mix, shingle_sets
 
 #: Counters of the token frequency sketch.
@@ -337,15 +337,15 @@ def _verify(batches):
         yield {"a": left, "b": right}
 
 
-def _deal(pairs: DataFrame) -> DataFrame:
-    """(a, salt, role, cls): for each group of about GROUP partners b of a node a, the classes to bring together; role 0 is a itself.
+def _deal(pairs: DataFrame, n: int) -> DataFrame:
+    """Of n pairs, (a, salt, role, cls): for each group of about GROUP partners b of a node a, the classes to bring together; role 0 is a itself.
 
     A hub of any degree so spreads over tasks, with a copy of its own data each.
     """
     spread = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     dealt = pairs.join(spread, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / GROUP)).cast("bigint"))
     hubs = dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls"))
-    return stash(dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cls")).unionByName(hubs), "dealt")
+    return stash(few_files(dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("cls")).unionByName(hubs), 2 * n), "dealt")
 
 
 def _together(want: DataFrame, data: DataFrame) -> DataFrame:
@@ -361,24 +361,26 @@ def linked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     loses no link.  What is left is compared on the whole
     texts of one document of each class.
     """
-    want = _deal(pairs)
+    n = pairs.count()
+    want = _deal(pairs, n)
     one = rows.join(want.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    left = stash(arrow_map(_together(want, one), _sift, "a bigint, b bigint").distinct(), "sifted")
+    left = stash(few_files(arrow_map(_together(want, one), _sift, "a bigint, b bigint").distinct(), n), "sifted")
     release(want)
-    want = _deal(left)
+    n = left.count()
+    want = _deal(left, n)
     wanted = rows.select("cls", "text_key", "doc_id").join(want.select("cls").distinct(), "cls", "left_semi")
     pick = wanted.groupBy("cls").agg(F.min(F.struct("text_key", "doc_id")).alias("r")).select("cls", F.col("r.text_key").alias("k"), F.col("r.doc_id").alias("d"))
-    pick = stash(pick, "pick")
+    pick = stash(few_files(pick, 2 * n), "pick")
     side = F.broadcast(pick) if pick.count() <= BROADCAST else pick
     texts = docs.join(side, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cls", "text")
     texts = stash(texts.dropDuplicates(["cls"]), "texts")
-    out = stash(arrow_map(_together(want, texts), _verify, "a bigint, b bigint").distinct(), "linked")
+    out = stash(few_files(arrow_map(_together(want, texts), _verify, "a bigint, b bigint").distinct(), n), "linked")
     release(want, left, pick, texts)
     return out
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """unit, key, turn, side, comp, n, cls: members of a key that are to be compared in one place.
+def _units(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """unit, key, turn, side, comp, n, cls, bits: members of a key that are to be compared in one place; rows: the members with their bitmaps.
 
     A key of at most BLOCK members is one unit.  A larger one is dealt to blocks
     by class, and each two blocks (or one with itself) are a unit, so that any
@@ -386,13 +388,13 @@ def _units(members: DataFrame) -> DataFrame:
     """
     large = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
     large = stash(large, "large")  # few: each has many members
-    blocks = members.join(F.broadcast(large) if large.count() <= BROADCAST else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = rows.join(F.broadcast(large) if large.count() <= BROADCAST else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, other = F.pmod(F.xxhash64("cls"), F.col("blocks")), F.col("other")
     out = blocks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     out = out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     # the units of a key are numbered, so that they can be dealt out evenly
     turn = F.expr("lo * blocks - (lo * (lo - 1)) div 2 + hi - lo")
-    return out.select(F.xxhash64("key", "lo", "hi").alias("unit"), "key", turn.alias("turn"), F.when(F.col("own") > other, 1).otherwise(0).alias("side"), "comp", "n", "cls")
+    return out.select(F.xxhash64("key", "lo", "hi").alias("unit"), "key", turn.alias("turn"), F.when(F.col("own") > other, 1).otherwise(0).alias("side"), "comp", "n", "cls", "bits")
 
 
 def set_components(docs: DataFrame) -> DataFrame:
@@ -416,7 +418,7 @@ def set_components(docs: DataFrame) -> DataFrame:
     mixed = stash(mixed, "mixed")
     members = stash(members.join(F.broadcast(mixed) if mixed.count() <= BROADCAST else mixed, "key", "left_semi"), "members")
     release(mixed)
-    units = _units(members).join(one, "cls")
+    units = _units(members, members.join(one, "cls"))  # each class gets its bitmap before it comes in several units
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = units.withColumn("task", F.pmod(F.pmod(F.xxhash64("key"), F.lit(tasks)) + F.col("turn"), F.lit(tasks)).cast("int"))
     units = units.repartitionById(tasks, "task").sortWithinPartitions("unit", "side", "comp", "n", "cls")

@@ -76,6 +76,15 @@ def stash(df: DataFrame, name: str = "t", packed: bool = False) -> DataFrame:
     return out
 
 
+#: Rows of a file of a small table.
+FILE_ROWS = 50_000
+
+
+def few_files(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """df, known to have at most so many rows, in no more partitions than these fill: a small table isn't spread over as many files as a large one."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def release(*tables: DataFrame) -> None:
     """Drop stashed tables that no lazy result needs any more."""
     for t in tables:
