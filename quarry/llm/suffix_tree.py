@@ -44,6 +44,8 @@ DEPTH = 3
 LEAST = 2
 #: Bytes of text that are scored together, with the part of the tree that they need.
 PART_BYTES = 8 << 20
+#: Tokens of a part that are worked on at once; a longer text comes alone.
+CHUNK_TOKENS = 1 << 16
 #: Bytes of text for each place of a table.
 PLACE_BYTES = 8 << 20
 #: Places of a table, at least.
@@ -80,17 +82,21 @@ class Stream:
 
     def __init__(self, data, offs):
         w = Words(data, offs)
-        self.rows = w.rows
-        self.token = np.insert(w.hash, w.first[1:], END)
-        self.count = w.count + 1
-        self.row = np.repeat(np.arange(w.rows), self.count)
-        self.first = np.r_[0, np.cumsum(self.count)]
-        self.strings = {1: self.token}
-        # the distinct tokens, how often each comes, and which each token is
-        order, first, self.times = grouped(self.token)
-        self.kinds = self.token[order[first]]
-        self.kind = np.empty(len(order), np.int32)
-        self.kind[order] = np.repeat(np.arange(len(first), dtype=np.int32), self.times)
+        self._hold(np.insert(w.hash, w.first[1:], END), w.count + 1)
+
+    @classmethod
+    def of(cls, kinds: np.ndarray, kind: np.ndarray, count: np.ndarray) -> Stream:
+        """The rows of so many tokens each that are the kinds with these numbers."""
+        s = cls.__new__(cls)
+        s._hold(kinds[kind], count)
+        s.kind = kind
+        return s
+
+    def _hold(self, token: np.ndarray, count: np.ndarray):
+        self.rows, self.token, self.count = len(count), token, count
+        self.row = np.repeat(np.arange(self.rows, dtype=np.int32), count)
+        self.first = np.r_[0, np.cumsum(count)]
+        self.strings = {1: token}
 
     def string(self, k: int) -> np.ndarray:
         """Hash of the k tokens that start at each token; 0 where the row ends before."""
@@ -214,8 +220,10 @@ def _count_words(n: int):
 
     def run(batches):
         held: list = []
-        for s in _learned(batches):
-            held.append((word_key(s.kinds), s.times))
+        for part in _learned(batches):
+            times = np.bincount(part.kind, minlength=len(part.kinds))
+            some = np.flatnonzero(times)
+            held.append((word_key(part.kinds[some]), times[some]))
             if sum(len(k) for k, _ in held) > 2 * HELD:
                 held = [_tally(held)]
                 if len(held[0][0]) > HELD:
@@ -322,19 +330,21 @@ def _count_strings(k: int, sieve: Sieve, words: Table, n: int):
         yield from _string_blocks(k, words, n, None, (context, seen, many, tail[at[many > 0]]), (word, count))
 
     def run(batches):
-        held, bits = [], None
-        for s in _learned(batches):
-            bits = sieve.table() if bits is None else bits
-            short, at = s.string(k - 1), s.starts(k)
-            may = passes(bits, word_key(s.kinds))[s.kind] if k == 2 else passes(bits, short)
-            at = at[may[at]]
-            if not len(at):
-                continue
-            word = s.token[at + k - 1]
-            string = np.where(may[at + 1], longer(short[at], word), np.uint64(0))
-            held.append((short[at], string, word, s.string(k - 2)[at + 1] if k > 2 else word[:0]))
-            if sum(len(x[0]) for x in held) > HELD:
-                yield from _block_table(list(blocks(held))).to_batches(200)
+        held = []
+        for part in _learned(batches):
+            bits = sieve.table()
+            known = passes(bits, word_key(part.kinds)) if k == 2 else None
+            for s, _ in part.streams():
+                short, at = s.string(k - 1), s.starts(k)
+                may = known[s.kind] if k == 2 else passes(bits, short)
+                at = at[may[at]]
+                if not len(at):
+                    continue
+                word = s.token[at + k - 1]
+                string = np.where(may[at + 1], longer(short[at], word), np.uint64(0))
+                held.append((short[at], string, word, s.string(k - 2)[at + 1] if k > 2 else word[:0]))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from _block_table(list(blocks(held))).to_batches(200)
         if held:
             yield from _block_table(list(blocks(held))).to_batches(200)
 
@@ -402,8 +412,8 @@ def _level(k: int, words: Table, n: int, total: float):
         string, log = longer(named, word), np.log10(p)
         mine = stays[of]
         rows = _entries(0, string, numbers(np.where(mine, log, np.log10(low))), n) if k <= DEPTH else []
-        rows += _entries(1, string[mine], numbers((log - np.log10(low * mass[of]))[mine]), n)
-        return _block_table(rows + _entries(1, context[stays], numbers(np.log10(mass[stays])), n))
+        values = np.r_[(log - np.log10(low * mass[of]))[mine], np.log10(mass[stays])]
+        return _block_table(rows + _entries(1, np.r_[string[mine], context[stays]], numbers(values), n))
 
     return run
 
@@ -525,82 +535,129 @@ def build_tree(words: Table, total: float, strings) -> SuffixTree:
 # -- scores
 
 
+@dataclass
+class Part:
+    """Rows and their tokens, by the number that each has among the part's distinct tokens."""
+
+    rows: pa.RecordBatch
+    #: of each row
+    count: np.ndarray
+    #: distinct tokens, those that come most often first
+    kinds: np.ndarray
+    kind: np.ndarray
+
+    def streams(self) -> Iterator[tuple[Stream, pa.RecordBatch]]:
+        """The tokens of runs of rows of about CHUNK_TOKENS, and those rows; whole texts only."""
+        ends, at = np.r_[0, np.cumsum(self.count)], 0
+        while at < len(self.count):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_TOKENS, "right")) - 1)
+            yield Stream.of(self.kinds, self.kind[ends[at] : ends[to]], self.count[at:to]), self.rows.slice(at, to - at)
+            at = to
+
+    def learned(self) -> Part:
+        """The training rows alone."""
+        mine = pc.invert(self.rows.column(1))
+        some = np.asarray(mine)
+        return Part(self.rows.filter(mine), self.count[some], self.kinds, self.kind[np.repeat(some, self.count)])
+
+
+def _pack_part(rows: pa.RecordBatch, count: np.ndarray, token: np.ndarray) -> tuple[bytes, bytes]:
+    """A part as two blocks: its rows, and its tokens."""
+    order, first, times = grouped(token)
+    number = np.empty(len(times), np.int32)
+    number[_by_times(times)] = np.arange(len(times), dtype=np.int32)
+    kind = np.zeros(len(token) + len(token) % 2, np.int32)  # two make a number of 8 bytes
+    kind[order] = np.repeat(number, times)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes(), pack(steps(token[order[first]]), times, count, kind.view(np.uint64))
+
+
+def _by_times(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times, kind="stable")
+
+
+def _unpack_part(a: bytes, b: bytes) -> Part:
+    with pa.ipc.open_stream(a) as batches:
+        rows = batches.read_next_batch()
+    kinds, times, count, kind = unpack(b)
+    count = count.view(np.int64)
+    return Part(rows, count, np.cumsum(kinds, dtype=np.uint64)[_by_times(times.view(np.int64))], kind.view(np.int32)[: count.sum()])
+
+
 def _parts(batches):
-    """The rows in blocks (a) of about PART_BYTES of text, each a source."""
+    """The rows in blocks (a: doc_id and held_out, b: tokens) of about PART_BYTES of text, each a source."""
     from pyspark import TaskContext
 
     source, held, size = TaskContext.get().partitionId() << 32, [], 0
 
     def block():
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for b in held:
-                out.write_batch(b)
-        return _block_table([(0, None, source, sink.getvalue().to_pybytes(), None)]).to_batches()[0]
+        rows, count, token = zip(*held)
+        rows = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        return _block_table([(0, None, source, *_pack_part(rows, np.concatenate(count), np.concatenate(token)))]).to_batches()[0]
 
     for b in batches:
-        ends = np.cumsum(np.asarray(pc.binary_length(b.column(2))).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            to = min(b.num_rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES - size, "right"))))
-            held.append(b.slice(at, to - at))
-            size += int(ends[to - 1] - (ends[at - 1] if at else 0))
-            at = to
-            if size >= PART_BYTES or at < b.num_rows:
+        for at, data, offs in chunks(b.column(2)):
+            s = Stream(data, offs)
+            held.append((b.select([0, 1]).slice(at, s.rows), s.count, s.token))
+            size += len(data)
+            if size >= PART_BYTES:
                 yield block()
                 source, held, size = source + 1, [], 0
     if held:
         yield block()
 
 
-def _streams(block: bytes):
-    """(Stream, doc_id, held_out) of the chunks of a part."""
-    with pa.ipc.open_stream(block) as batches:
-        for b in batches:
-            for at, data, offs in chunks(b.column(2)):
-                s = Stream(data, offs)
-                yield s, b.column(0).slice(at, s.rows), b.column(1).slice(at, s.rows)
-
-
-def _learned(batches) -> Iterator[Stream]:
-    """The chunks of the training texts of parts."""
+def _learned(batches) -> Iterator[Part]:
+    """The training texts of parts."""
     for parts in batches:
-        for block in parts.column(0):
-            with pa.ipc.open_stream(block.as_py()) as texts:
-                for b in texts:
-                    for _, data, offs in chunks(b.column(2).filter(pc.invert(b.column(1)))):
-                        yield Stream(data, offs)
+        for a, b in zip(parts.column("a"), parts.column("b")):
+            yield _unpack_part(a.as_py(), b.as_py()).learned()
+
 
+def _asked(s: Stream, listed: np.ndarray, may: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token, key) of the entries that a chunk may have: counts of words that aren't listed first, then strings.
 
-def _asked(s: Stream, listed: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(token, key) of the entries that a chunk may have: counts of words that aren't listed first, then strings."""
-    at = np.flatnonzero(~listed)
+    listed, may: of each kind of token, whether it is listed, whether the sieve
+    lets it pass.  The longest strings are no states, and have their contexts as
+    states in the tree: they are tried only where their contexts may be there.
+    """
+    at = np.flatnonzero(~listed[s.kind])
     yield at, word_key(s.token[at])
-    at = np.flatnonzero(passes(table, s.kinds)[s.kind])
+    at = np.flatnonzero(may[s.kind])
     yield at, s.token[at]
     for k in range(2, DEPTH + 2):
-        at = s.starts(k)
-        h = s.string(k)[at]
-        may = passes(table, h)
-        yield at[may], h[may]
-
-
-def _listed(words: Table, s: Stream) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each token's word is among the words, and its count."""
-    listed, count = np.zeros(len(s.kinds), bool), np.zeros(len(s.kinds))
-    at, c = words.find(s.kinds)
+        if k <= DEPTH:
+            at = s.starts(k)
+            h = s.string(k)[at]
+        else:
+            at = at[: np.searchsorted(at, len(s.token) - DEPTH)]
+            at = at[s.row[at] == s.row[at + DEPTH]]
+            h = longer(s.string(DEPTH)[at], s.token[at + DEPTH])
+        more = passes(table, h)
+        at, h = at[more], h[more]
+        yield at, h
+
+
+def _listed(words: Table, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of the kinds of tokens is among the words, and its count."""
+    listed, count = np.zeros(len(kinds), bool), np.zeros(len(kinds))
+    at, c = words.find(kinds)
     listed[at], count[at] = True, c
-    return listed[s.kind], count[s.kind]
+    return listed, count
 
 
 def _ask(words: Table, sieve: Sieve, n: int):
     """Requests for all entries that a part may need."""
 
     def run(batches):
-        for b in batches:
+        for batch in batches:
             table = sieve.table()
-            for source, block in zip(b.column(0).to_pylist(), b.column(1)):
-                found = [distinct(np.concatenate([h for _, h in _asked(s, _listed(words, s)[0], table)])) for s, _, _ in _streams(block.as_py())]
+            for source, a, b in zip(batch.column("source").to_pylist(), batch.column("a"), batch.column("b")):
+                part = _unpack_part(a.as_py(), b.as_py())
+                listed, may = _listed(words, part.kinds)[0], passes(table, part.kinds)
+                found = [distinct(np.concatenate([h for _, h in _asked(s, listed, may, table)])) for s, _ in part.streams()]
                 yield from _block_table(_requests(0, distinct(np.concatenate(found)), source, n)).to_batches(1000)
 
     return run
@@ -611,13 +668,15 @@ def _score(words: Table, total: float, sieve: Sieve):
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         table, held, keys = sieve.table(), [], []
-        for s, doc_id, held_out in _streams(texts["a"][0].as_py()):
-            listed, count = _listed(words, s)
-            asked = list(_asked(s, listed, table))
+        part = _unpack_part(texts["a"][0].as_py(), texts["b"][0].as_py())
+        listed, count = _listed(words, part.kinds)
+        may, log = passes(table, part.kinds), np.log10(count + 1)
+        for s, rows in part.streams():
+            asked = list(_asked(s, listed, may, table))
             own, back = np.unique(np.concatenate([h for _, h in asked]), return_inverse=True)
-            row = np.concatenate([s.row[at] for at, _ in asked]).astype(np.int32)
-            sums = np.add.reduceat(np.log10(count + 1), s.first[:-1]), np.add.reduceat(listed, s.first[:-1], dtype=np.int64)
-            held.append((doc_id, held_out, s.count, *sums, len(asked[0][0]), row, back.astype(np.int32)))
+            row = np.concatenate([s.row[at] for at, _ in asked])
+            sums = np.add.reduceat(log[s.kind], s.first[:-1]), np.add.reduceat(listed[s.kind], s.first[:-1], dtype=np.int64)
+            held.append((rows.column(0), rows.column(1), s.count, *sums, len(asked[0][0]), row, back.astype(np.int32)))
             keys.append(own)
         every, value, out = distinct(np.concatenate(keys)), _answers(answers), []
         for own, (doc_id, held_out, tokens, base, known, n_words, row, back) in zip(keys, held):
@@ -650,7 +709,7 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(~training, F.lit(True)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     parts = stash(arrow_map(texts, _parts, _BLOCKS), "parts", True)
     n = max(PLACES, parts.count() * PART_BYTES // PLACE_BYTES)
-    learn = parts.select("a")
+    learn = parts.select("a", "b")
     words = stash(arrow_map(learn, _count_words(n), _BLOCKS).groupBy("place").applyInArrow(_add_words, _BLOCKS), "words", True)
     counts = words.where("kind = 0").select("a", "b")
     tokens, distinct_words = arrow_map(counts, _totals, "tokens bigint, words bigint").agg(F.sum("tokens"), F.sum("words")).first()
@@ -664,7 +723,7 @@ def suffix_tree_scores(docs: DataFrame, training) -> DataFrame:
     scored = []
     for turn in range(TURNS):  # each time a part of the requests and answers lies about
         mine = parts.where(F.pmod(F.xxhash64("source"), F.lit(TURNS)) == turn)
-        answers = stash(lookup(arrow_map(mine.select("source", "a"), _ask(often, sieve, n), _BLOCKS), tree), "answers", True)
+        answers = stash(lookup(arrow_map(mine.select("source", "a", "b"), _ask(often, sieve, n), _BLOCKS), tree), "answers", True)
         score = mine.groupBy("source").cogroup(answers.groupBy("source")).applyInArrow(_score(often, total, sieve), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
         scored.append(stash(score, "scored"))
         release(answers)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import decontamination, fingerprints, licenses, suffix_tree, token_counts, toxicity
-from quarry.llm.spark import crc_mod
+from quarry.llm.spark import arrow_map, crc_mod
 from quarry.llm.text import NOT_ALNUM, Words, chunks
 from tests.llm.conftest import as_table, odd_rows, words
 
@@ -131,6 +131,59 @@ def test_strings_seen_twice_are_learned_in_a_large_corpus(spark):
     assert r.score > r.base_score + 100
 
 
+def test_texts_are_cut_into_words_once(spark):
+    """What is kept of the texts is their tokens: counting doesn't read the words again."""
+    from pyspark.sql import functions as F
+
+    rows = [*odd_rows(), *((1000 + i, " ".join(words(i, 50))) for i in range(30))]
+    counts = collections.Counter(x for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for x in tokens(t))
+    texts = as_table(spark, rows).select("doc_id", (crc_mod(7) == 2).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = arrow_map(texts, suffix_tree._parts, suffix_tree._BLOCKS).select("a", "b").toArrow()
+
+    def again(*_):
+        raise AssertionError("the words are read again")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_tree, "Words", again)
+        found = pa.Table.from_batches(suffix_tree._count_words(64)(parts.to_batches()))
+    found = [suffix_tree.unpack(x.as_py())[0].view(np.int64) for x in found["b"]]
+    assert sorted(np.concatenate(found).tolist()) == sorted(counts.values())
+
+
+def test_long_states_without_their_shorter_beginnings(spark):
+    """A word depends on the third before it alone: three words are a state, and one or two of them are not in the tree."""
+    rng = random.Random(5)
+
+    def text():
+        out = [rng.randrange(6) for _ in range(3)]
+        for _ in range(300):
+            out.append((out[-3] + 1) % 6 if rng.random() < 0.9 else rng.randrange(6))
+        return " ".join(f"w{x}" for x in out)
+
+    rows = [(i, text()) for i in range(60)]
+    strings, counts, facts = collections.Counter(), collections.Counter(), {}
+
+    def stream(t):
+        (_, d, o), *_ = chunks(pa.array([t]))
+        return suffix_tree.Stream(d, o)
+
+    for _, t in (r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2):
+        s = stream(t)
+        counts.update(s.token.tolist())
+        for k in (2, 3, 4):
+            for i in s.starts(k).tolist():
+                strings[key := int(s.string(k)[i])] += 1
+                facts[key] = (k, key, int(s.string(k - 1)[i]), int(s.string(k - 1)[i + 1]), int(s.token[i + k - 1]))
+    kept = [x for x in strings if strings[x] >= 2]
+    columns = {n: np.array([facts[x][j] for x in kept], np.int32 if n == "length" else np.uint64) for j, n in enumerate(("length", "string", "context", "suffix", "word"))}
+    columns["count"] = np.array([strings[x] for x in kept])
+    table = suffix_tree.Table(np.array(list(counts), np.uint64), np.array(list(counts.values()), float))
+    tree = suffix_tree.build_tree(table, sum(counts.values()) + len(counts) + 1.0, columns)
+    assert len(tree.left[3].keys) > 100 and not len(tree.next[1].keys) and not len(tree.left[2].keys)
+    out = suffix_tree.suffix_tree_scores(as_table(spark, rows), crc_mod(7) != 2).collect()
+    assert {r.doc_id: r.score for r in out} == pytest.approx({i: tree.log_probabilities(stream(t))[0].sum() for i, t in rows}, abs=1e-6)
+
+
 # -- toxicity
 
 
